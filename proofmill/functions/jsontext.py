@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as K
+from .stage import once
 from .text import strip_ws
 
 # An escape pair, a quote, a brace, or a run of anything else.
@@ -51,6 +52,24 @@ def _object_end(text: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["end"])
 
 
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_FLAT = rf'[^{{}}"]++|{_STRING}'
+_SHALLOW = rf"\{{(?:{_FLAT})*+\}}"
+for _ in range(3):
+    _SHALLOW = rf"\{{(?:{_FLAT}|{_SHALLOW})*+\}}"
+# Objects up to four deep, found in one pass: possessive, so neither backtracking nor stack.
+_SHALLOW = r"(?s)\A" + _SHALLOW
+
+
+def _with_object_end(rows: DataFrame, text: str, end: str) -> DataFrame:
+    """Adds the length of the object ``text`` starts with, 0 when it never closes."""
+    found = F.regexp_extract(text, _SHALLOW, 0)
+    rows = rows.withColumn("__flat", F.length(found))
+    deep = F.when(F.contains(F.col(text), F.lit("}")), _object_end(F.col(text))).otherwise(0)
+    return rows.withColumn(
+        end, F.when(F.col("__flat") > 0, F.col("__flat")).otherwise(deep)).drop("__flat")
+
+
 def with_json(rows: DataFrame, raw: str, out: str) -> DataFrame:
     """Adds the JSON object of a model answer: what is inside a code fence if there is one,
     from the first brace to the one that closes it, else what there is, stripped.
@@ -60,134 +79,138 @@ def with_json(rows: DataFrame, raw: str, out: str) -> DataFrame:
     pattern = "(?sU)" + K.CODE_FENCE
     t, r, s, e = "__text", "__rest", "__start", "__end"
     staged = (
-        rows.withColumn(t, F.when(F.col(raw).rlike(pattern), F.regexp_extract(raw, pattern, 1))
-                        .otherwise(F.col(raw)))
+        rows.withColumn(t, F.when(
+            F.contains(F.col(raw), F.lit("```")) & F.col(raw).rlike(pattern),
+            F.regexp_extract(raw, pattern, 1)).otherwise(F.col(raw)))
         .withColumn(s, F.instr(t, "{"))
         # a start of 0 reads the whole text, whose result is then not used
         .withColumn(r, F.substr(t, F.greatest(F.col(s), F.lit(1))))
-        .withColumn(e, _object_end(F.col(r)))
     )
     found = (
         F.when(F.col(s) == 0, strip_ws(F.col(t)))
         .when(F.col(e) > 0, F.substr(r, F.lit(1), F.col(e)))
         .otherwise(strip_ws(F.col(r))))
-    return staged.withColumn(out, found).drop(t, r, s, e)
+    return _with_object_end(staged, r, e).withColumn(out, found).drop(t, r, s, e)
 
 
 def with_strict_json(rows: DataFrame, raw: str, out: str) -> DataFrame:
     """Adds the text itself when it is exactly one object, else null."""
     t, e = "__text", "__end"
-    staged = rows.withColumn(
-        t, F.regexp_replace(raw, r"^[ \t\r\n]+|[ \t\r\n]+\z", "")).withColumn(
-        e, _object_end(F.col(t)))
-    return staged.withColumn(out, F.when(
+    staged = rows.withColumn(t, F.regexp_replace(raw, r"^[ \t\r\n]+|[ \t\r\n]+\z", ""))
+    return _with_object_end(staged, t, e).withColumn(out, F.when(
         F.col(t).startswith("{") & (F.col(e) == F.length(t)), F.col(t))).drop(t, e)
 
 
 def parse_object(json: Column) -> Column:
-    """Variant of a JSON object, null for anything else."""
-    variant = F.try_parse_json(json)
-    return F.when(F.schema_of_variant(variant).startswith("OBJECT"), variant)
+    """Variant of a text that is one JSON object, null for anything else."""
+    return F.when(json.startswith("{"), F.try_parse_json(json))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _with_fields(rows: DataFrame, node: str, fields: tuple[str, ...]) -> DataFrame:
+    """Adds value, kind and text of each field of a parsed object, each read once."""
+    rows = rows.withColumns({
+        f"__v_{f}": F.try_variant_get(node, f"$.{f}", "variant") for f in fields})
+    rows = rows.withColumns({f"__k_{f}": F.schema_of_variant(f"__v_{f}") for f in fields})
+    return rows.withColumns({
+        f"__t_{f}": F.try_variant_get(f"__v_{f}", "$", "string") for f in fields})
 
 
-def _get(node: Column, path: str, to: str) -> Column:
-    return F.try_variant_get(node, path, to)
+def _drop_fields(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    return rows.drop(*[f"__{x}_{f}" for x in "vkt" for f in fields])
 
 
-def truthy(node: Column, path: str) -> Column:
+def _truthy(field: str) -> Column:
     """A value counts as true unless it is absent, null, false, 0, "" or an empty container."""
-    value = _get(node, path, "variant")
-    kind = _kind(value)
-    text = _get(node, path, "string")
+    kind, text = F.col(f"__k_{field}"), F.col(f"__t_{field}")
     return (
-        F.when(value.isNull() | (kind == "VOID"), False)
-        .when(kind == "BOOLEAN", _get(node, path, "boolean"))
+        F.when(kind.isNull() | (kind == "VOID"), False)
+        .when(kind == "BOOLEAN", text == "true")
         .when(kind == "STRING", text != "")
         .when(kind.startswith("ARRAY"), text != "[]")
         .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(F.coalesce(_get(node, path, "double") != 0.0, F.lit(True)))
+        .otherwise(F.coalesce(text.try_cast("double") != 0.0, F.lit(True)))
     )
 
 
-def text_or_empty(node: Column, path: str) -> Column:
+def _text_or_empty(field: str) -> Column:
     """Text of a value, empty when the value does not count as true."""
-    kind = _kind(_get(node, path, "variant"))
-    text = _get(node, path, "string")
+    kind, text = F.col(f"__k_{field}"), F.col(f"__t_{field}")
     return (
-        F.when(~truthy(node, path), "")
+        F.when(kind == "STRING", text)
+        .when(~_truthy(field), "")
         .when(kind == "BOOLEAN", F.initcap(text))
         .otherwise(text)
     )
 
 
-def clamped_score(node: Column, path: str) -> Column:
+def _clamped_score(field: str) -> Column:
     """0..5: numbers lose their fraction, whole-number text counts, the rest is 0."""
-    kind = _kind(_get(node, path, "variant"))
-    text = _get(node, path, "string")
+    kind, text = F.col(f"__k_{field}"), F.col(f"__t_{field}")
+    plain = strip_ws(text)
     number = (
-        F.when(kind == "STRING", strip_ws(text).try_cast("double")
-               * F.when(strip_ws(text).rlike(r"^[+-]?[0-9]+(_[0-9]+)*\z"), 1.0))
-        .when(kind == "BOOLEAN", _get(node, path, "int").cast("double"))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), _get(node, path, "double"))
+        F.when(kind == "STRING", F.when(plain.rlike(r"^[+-]?[0-9]+\z"), plain.try_cast("double")))
+        .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double"))
     )
     whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
     return F.coalesce(F.least(F.lit(5), F.greatest(F.lit(0), whole)), F.lit(0)).cast("int")
 
 
-def _actions(node: Column) -> Column:
-    value = _get(node, "$.suggestedActions", "variant")
-    kind = _kind(value)
-    text = _get(node, "$.suggestedActions", "string")
-    items = F.transform(
-        _get(node, "$.suggestedActions", "array<variant>"),
-        lambda v: F.when(_kind(v) == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string")))
-        .when(_kind(v) == "VOID", "None")
-        .otherwise(F.try_variant_get(v, "$", "string")),
-    )
+def _items(field: str) -> Column:
+    """Items of a list, characters of a text, keys of an object; null for a bare number."""
+    kind, text = F.col(f"__k_{field}"), F.col(f"__t_{field}")
+
+    def shown(v: Column) -> Column:
+        as_text = F.try_variant_get(v, "$", "string")
+        item = F.schema_of_variant(v)
+        return (F.when(item == "STRING", as_text).when(item == "VOID", "None")
+                .when(item == "BOOLEAN", F.initcap(as_text)).otherwise(as_text))
+
     empty = F.array().cast("array<string>")
     return (
-        F.when(~truthy(node, "$.suggestedActions"), empty)
-        .when(kind.startswith("ARRAY"), items)
+        F.when(~_truthy(field), empty)
+        .when(kind == "ARRAY<STRING>", F.from_json(text, "array<string>"))
+        .when(kind.startswith("ARRAY"), F.transform(
+            F.try_variant_get(f"__v_{field}", "$", "array<variant>"), shown))
         .when(kind == "STRING", F.filter(F.split(text, ""), lambda c: c != ""))
         .when(kind.startswith("OBJECT"), F.json_object_keys(text))
-    )  # a bare number or true has no items: null, a parse failure
+    )
+
 
+_ANALYSIS_FIELDS = ("summary", "rootCauseHypothesis", "suggestedActions", "evidenceFound", "evidenceLine")
+_SCORE_FIELDS = ("accuracy", "groundedness", "hallucinationDetected", "verdict", "rationale")
 
-def analysis_of(node: Column) -> Column:
-    """Analysis struct of a parsed object, null when it is not a usable one."""
-    actions = _actions(node)
-    return F.when(
-        node.isNotNull() & actions.isNotNull(),
+
+def with_analysis(rows: DataFrame, node: str, out: str) -> DataFrame:
+    """Adds the analysis struct of a parsed object, null when it is not a usable one."""
+    staged = _with_fields(rows, node, _ANALYSIS_FIELDS).withColumn("__items", _items("suggestedActions"))
+    value = F.when(
+        F.col(node).isNotNull() & F.col("__items").isNotNull(),
         F.struct(
-            text_or_empty(node, "$.summary").alias("summary"),
-            text_or_empty(node, "$.rootCauseHypothesis").alias("root_cause_hypothesis"),
-            actions.alias("suggested_actions"),
-            truthy(node, "$.evidenceFound").alias("evidence_found"),
-            text_or_empty(node, "$.evidenceLine").alias("evidence_line"),
+            _text_or_empty("summary").alias("summary"),
+            _text_or_empty("rootCauseHypothesis").alias("root_cause_hypothesis"),
+            F.col("__items").alias("suggested_actions"),
+            _truthy("evidenceFound").alias("evidence_found"),
+            _text_or_empty("evidenceLine").alias("evidence_line"),
         ),
     )
-
-
-def score_of(node: Column) -> Column:
-    """Judge score struct of a parsed object; null (no JSON object) is a FAIL that says so."""
-    ok = node.isNotNull()
-    verdict = F.when(
-        (_kind(_get(node, "$.verdict", "variant")) == "STRING")
-        & (_get(node, "$.verdict", "string") == "PASS"), "PASS"
-    ).otherwise("FAIL")
-    return F.struct(
-        F.when(ok, clamped_score(node, "$.accuracy")).otherwise(0).alias("accuracy"),
-        F.when(ok, clamped_score(node, "$.groundedness")).otherwise(0).alias("groundedness"),
-        F.when(ok, truthy(node, "$.hallucinationDetected")).otherwise(False)
-        .alias("hallucination_detected"),
-        F.when(ok, verdict).otherwise("FAIL").alias("verdict"),
-        F.when(ok, text_or_empty(node, "$.rationale"))
-        .otherwise("judge answer is not a JSON object").alias("rationale"),
+    return _drop_fields(once(staged, **{out: value}), _ANALYSIS_FIELDS).drop("__items")
+
+
+def with_score(rows: DataFrame, node: str, out: str) -> DataFrame:
+    """Adds the judge-score struct; null (no JSON object) is a FAIL that says so."""
+    staged = _with_fields(rows, node, _SCORE_FIELDS)
+    ok = F.col(node).isNotNull()
+    passed = (F.col("__k_verdict") == "STRING") & (F.col("__t_verdict") == "PASS")
+    value = F.struct(
+        F.when(ok, _clamped_score("accuracy")).otherwise(0).alias("accuracy"),
+        F.when(ok, _clamped_score("groundedness")).otherwise(0).alias("groundedness"),
+        F.when(ok, _truthy("hallucinationDetected")).otherwise(False).alias("hallucination_detected"),
+        F.when(ok & passed, "PASS").otherwise("FAIL").alias("verdict"),
+        F.when(ok, _text_or_empty("rationale")).otherwise(
+            "judge answer is not a JSON object").alias("rationale"),
     )
+    return _drop_fields(once(staged, **{out: value}), _SCORE_FIELDS)
 
 
 def target_json(analysis: Column) -> Column:

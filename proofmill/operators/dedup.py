@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
+from ..functions.stage import once
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -19,8 +20,8 @@ def with_signature(scenarios: DataFrame) -> DataFrame:
     pairs, not copies.
     """
     a = F.col("alert")
-    return scenarios.withColumn("span", X.span_minutes(F.col("log_samples"))).withColumn(
-        "signature", F.sha2(F.to_json(F.struct(
+    spanned = scenarios.withColumn("span", X.span_minutes(F.col("log_samples")))
+    return once(spanned, signature=F.sha2(F.to_json(F.struct(
             a["alertname"].alias("name"),
             X.normalize_alert_text(a["summary"]).alias("summary"),
             X.normalize_alert_text(a["description"]).alias("description"),
@@ -81,7 +82,7 @@ def prompt_log_lines(content) -> F.Column:
 
 def train_valid_leaks(chat: DataFrame) -> DataFrame:
     """Validation rows whose prompt signature also occurs in training (split, line_no, user)."""
-    signed = chat.withColumn("signature", prompt_signature(F.col("user")))
+    signed = once(chat, signature=prompt_signature(F.col("user")))
     train = signed.filter(F.col("split") == "train").select("signature").distinct()
     return signed.filter(F.col("split") == "valid").join(train, "signature", "left_semi").drop(
         "signature")
@@ -92,7 +93,7 @@ def contaminated_prompts(chat: DataFrame, golden: DataFrame) -> DataFrame:
     digest = lambda lines: F.sha2(F.to_json(F.struct(lines.alias("l"))), 256)
     held = golden.select(digest(F.transform(
         F.col("log_samples"), X.normalize_message)).alias("logs")).distinct()
-    return chat.withColumn("logs", digest(prompt_log_lines(F.col("user")))).join(
+    return once(chat, logs=digest(prompt_log_lines(F.col("user")))).join(
         held, "logs", "left_semi").drop("logs")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as K
 from ..functions import jsontext as J, text as X
+from ..functions.stage import once
 from ..schemas import RewardSpec
 
 # --------------------------------------------------------------------------------------
@@ -47,24 +48,16 @@ def parse_outputs(outputs: DataFrame, raw: str = "raw", lenient: bool = True) ->
     to be one object.
     """
     find = J.with_json if lenient else J.with_strict_json
-    staged = (
-        find(outputs, raw, "__json")
-        .withColumn("__node", F.try_parse_json("__json"))
-        .withColumn("__node", F.when(
-            F.schema_of_variant("__node").startswith("OBJECT"), F.col("__node")))
-        .withColumn("analysis", J.analysis_of(F.col("__node")))
-    )
-    return staged.withColumn("parse_failed", F.col("analysis").isNull()).drop("__json", "__node")
+    staged = find(outputs, raw, "__json").withColumn("__node", J.parse_object(F.col("__json")))
+    parsed = J.with_analysis(staged, "__node", "analysis").drop("__json", "__node")
+    return parsed.withColumn("parse_failed", F.col("analysis").isNull())
 
 
 def parse_scores(judged: DataFrame, raw: str = "judge_raw") -> DataFrame:
     """Adds the judge's ``score`` struct."""
-    return (
-        J.with_strict_json(judged, raw, "__json")
-        .withColumn("__node", J.parse_object(F.col("__json")))
-        .withColumn("score", J.score_of(F.col("__node")))
-        .drop("__json", "__node")
-    )
+    staged = J.with_strict_json(judged, raw, "__json").withColumn(
+        "__node", J.parse_object(F.col("__json")))
+    return J.with_score(staged, "__node", "score").drop("__json", "__node")
 
 
 # --------------------------------------------------------------------------------------
@@ -93,8 +86,7 @@ def ground(parsed: DataFrame, rules=None, logs: str = "log_samples") -> DataFram
     holds = claimed
     for rule in rules.values():
         holds = holds & rule(F.col("analysis"), F.col(logs))
-    step = parsed.withColumn("claimed", claimed).withColumn(
-        "grounded", F.coalesce(holds, F.lit(False)))
+    step = once(parsed.withColumn("claimed", claimed), grounded=F.coalesce(holds, F.lit(False)))
     a, g = F.col("analysis"), F.col("grounded")
     return step.withColumn("settled", F.when(a.isNotNull(), F.struct(
         F.when(g, a["summary"]).otherwise(K.NO_EVIDENCE_SUMMARY).alias("summary"),
@@ -164,14 +156,15 @@ def identifier_reasons(text: Column, lines: Column, alert: Column) -> Column:
     about = F.concat_ws(
         "\n", alert["summary"], alert["description"], alert["alertname"],
         F.array_join(F.map_values(alert["labels"]), " "))
-    found = []
-    for family, pattern in K.IDENTIFIER_FAMILIES:
+
+    def missing(family: str, pattern: str) -> Column:
         values = F.regexp_extract_all(text, F.lit(X.rx(pattern)), F.lit(1))
-        missing = F.filter(values, lambda v: ~F.lower(v).isin(*K.IDENTIFIER_STOPWORDS)
+        unknown = F.filter(values, lambda v: ~F.lower(v).isin(*K.IDENTIFIER_STOPWORDS)
                            & ~about.contains(v)
                            & ~F.exists(lines, lambda line: line.contains(v)))
-        found.append(F.transform(missing, lambda v, f=family: F.concat(F.lit(f + ":"), v)))
-    return F.concat(*found)
+        return F.transform(unknown, lambda v: F.concat(F.lit(family + ":"), v))
+
+    return F.concat(*[missing(family, pattern) for family, pattern in K.IDENTIFIER_FAMILIES])
 
 
 def identifiers_grounded(a: Column, lines: Column, alert: Column) -> Column:
@@ -201,7 +194,7 @@ def verify_target(rows: DataFrame, rules=None) -> DataFrame:
     """Adds ``failures`` (rule -> reasons), ``n_reasons`` and ``first_rule`` (null if sound)."""
     rules = TARGET_RULES if rules is None else rules
     view = {c: F.col(c) for c in rows.columns}
-    step = rows.withColumn("failures", F.map_from_arrays(
+    step = once(rows, failures=F.map_from_arrays(
         F.array(*[F.lit(n) for n in rules]), F.array(*[rule(view) for rule in rules.values()])))
     first = F.filter(F.map_entries("failures"), lambda e: F.size(e["value"]) > 0)
     return step.withColumn("n_reasons", F.aggregate(
@@ -253,10 +246,10 @@ def with_reward(rows: DataFrame, spec: RewardSpec = RewardSpec()) -> DataFrame:
     """
     a, yes = F.col("analysis"), F.col("expects_yes")
     points = lambda ok, weight: F.when(ok, F.lit(weight)).otherwise(F.lit(0.0))
+    usable = ~F.col("parse_failed")
     step = rows.withColumns({
-        "strict_ok": F.coalesce(
-            F.size(citation_reasons(a, F.col("log_samples"))) == 0, F.lit(False)),
-        "names_component": F.coalesce(names_component(a, yes), F.lit(False)),
+        "strict_ok": usable & (F.size(citation_reasons(a, F.col("log_samples"))) == 0),
+        "names_component": usable & F.coalesce(names_component(a, yes), F.lit(False)),
     })
     step = step.withColumns({
         "p_schema": points(F.size(schema_reasons(a)) == 0, spec.schema),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
+from ..functions.stage import once
 
 
 def pair_base(name: Column) -> Column:
@@ -24,9 +25,9 @@ def _sides(candidates: DataFrame) -> DataFrame:
     """
     lines = F.col("log_samples")
     digest = lambda value: F.sha2(F.to_json(F.struct(value.alias("v"))), 256)
-    facts = candidates.select(
-        pair_base(F.col("name")).alias("base"), pair_side(F.col("name")).alias("side"), "seq",
-        F.struct(
+    named = candidates.select("*", pair_base(F.col("name")).alias("base"),
+                              pair_side(F.col("name")).alias("side"))
+    facts = once(named.filter(F.col("base").isNotNull()), v=F.struct(
             F.size(lines).alias("n_lines"),
             digest(lines).alias("logs"),
             digest(F.transform(lines, X.without_stamp)).alias("skeleton"),
@@ -34,7 +35,7 @@ def _sides(candidates: DataFrame) -> DataFrame:
             F.col("expected"),
             digest(F.struct(F.col("alert.summary"), F.col("alert.description"))).alias("text"),
             F.col("log_environment").alias("env"),
-        ).alias("v")).filter(F.col("base").isNotNull())
+        )).select("base", "side", "seq", "v")
     side = lambda s: F.max_by(F.when(F.col("side") == s, F.col("v")),
                               F.when(F.col("side") == s, F.col("seq")))
     return facts.groupBy("base").agg(side("a").alias("a"), side("b").alias("b"))

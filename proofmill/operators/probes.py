@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
+from ..functions.stage import once
 from . import outputs as O
 
 
@@ -45,7 +46,7 @@ def build_probes(answers: DataFrame, which: str = "all") -> DataFrame:
     table = F.array(*[F.struct(
         F.lit(name).alias("mutation"), F.lit(verdict).alias("expected_verdict"),
         F.lit(claim).cast("string").alias("claim")) for name, verdict, _, claim in mutations(which)])
-    flat = answers.withColumn("flat", flat_parts(F.col("answer"))).filter(
+    flat = once(answers, flat=flat_parts(F.col("answer"))).filter(
         F.col("flat").isNotNull()).withColumn("m", F.explode(table))
     f, name = F.col("flat"), F.col("m.mutation")
     mentions = X.any_of([F.coalesce(F.col("rubric"), F.lit("")).contains(w) for w in K.MENTION_WORDS])
@@ -67,7 +68,7 @@ def build_probes(answers: DataFrame, which: str = "all") -> DataFrame:
 
 def detector_flags(probes: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Does the identifier check (with actions, and without) flag each probe?"""
-    rows = O.attach_scenarios(probes, scenarios).withColumn("flat", flat_parts(F.col("answer")))
+    rows = once(O.attach_scenarios(probes, scenarios), flat=flat_parts(F.col("answer")))
     f = F.col("flat")
     analysis = F.struct(
         f["summary"].alias("summary"), f["cause"].alias("root_cause_hypothesis"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
+from ..functions.stage import once
 from . import dedup
 
 
@@ -208,8 +209,9 @@ def validate_rows(
     c = candidates.withColumn("parsed", F.coalesce(
         parse_lines(F.col("log_samples")), parse_lines(F.array().cast("array<string>"))))
     row = {name: F.col(name) for name in c.columns}
-    return c.withColumns(
-        {f"v_{name}": rule(row, catalog) for name, rule in validators.items()}).drop("parsed")
+    reasons = F.struct(*[rule(row, catalog).alias(f"v_{n}") for n, rule in validators.items()])
+    return once(c, __reasons=reasons).drop("parsed").select(
+        *[x for x in candidates.columns], "__reasons.*")
 
 
 def duplicate_names(

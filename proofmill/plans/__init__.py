@@ -1,4 +1,4 @@
 """The registered queries: operators applied to tables derived from the driver's."""
 
-from . import q_outputs  # noqa: F401
+from . import q_metrics, q_outputs  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

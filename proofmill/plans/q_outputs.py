@@ -415,23 +415,23 @@ def raw_output_fact(spark, sf):
 
 
 @query("report_rows", sql("""
-SELECT arm, printf('%.3f', avg(reward) FILTER (sample_idx = -1)) AS greedy_mean,
+SELECT arm, printf('%.4f', avg(reward) FILTER (sample_idx = -1)) AS greedy_mean,
   count(*) FILTER (sample_idx = -1 AND expects_yes AND grounded) || '/' || count(*) FILTER (sample_idx = -1 AND expects_yes) AS citation_pass,
   count(*) FILTER (sample_idx = -1 AND NOT expects_yes AND grounded) || '/' || count(*) FILTER (sample_idx = -1 AND NOT expects_yes) AS false_positives
 FROM b_fact GROUP BY arm""", "b_fact"))
 def report_rows(spark, sf):
     board = M.arm_leaderboard(fact(spark, sf))
     ratio = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
-    return board.select("arm", F.format_string("%.3f", "greedy_mean").alias("greedy_mean"),
+    return board.select("arm", F.format_string("%.4f", "greedy_mean").alias("greedy_mean"),
                         ratio("citation_pass", "positives").alias("citation_pass"),
                         ratio("false_positives", "negatives").alias("false_positives"))
 
 
-_TODO = "SELECT name, seq FROM b_scenario WHERE name NOT IN (SELECT scenario FROM b_fact WHERE arm = 'trained' AND sample_idx = -1 AND NOT parse_failed)"
+_TODO = "SELECT name, seq FROM b_scenario WHERE name NOT IN (SELECT scenario FROM b_fact WHERE arm = 'base' AND sample_idx = -1 AND NOT parse_failed)"
 
 
 def _done(spark, sf):
-    return _parsed(spark, sf).filter("arm = 'trained' AND sample_idx = -1 AND NOT parse_failed").select("scenario")
+    return _parsed(spark, sf).filter("arm = 'base' AND sample_idx = -1 AND NOT parse_failed").select("scenario")
 
 
 @query("resume_todo", sql(_TODO, "b_scenario", "b_fact"))
