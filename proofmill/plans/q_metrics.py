@@ -159,20 +159,20 @@ r AS (SELECT stddev_samp(mean) AS se, quantile_cont(mean, 0.025) AS ci_low, quan
 x AS (SELECT CAST(k.n AS BIGINT) AS n, k.k AS n_clusters, observed, se, ci_low, ci_high, 2.8::DOUBLE * se AS mde FROM k, r)"""
 
 
-_RESULT = "n, n_clusters, round(observed, 6) AS observed, round(se, 6) AS se, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high"
+_RESULT = "n, n_clusters, round(observed, 9) AS observed, round(se, 9) AS se, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high"
 _ROUNDED = ("observed", "se", "ci_low", "ci_high")
 
 
 @query("paired_bootstrap", sql(_boot("cluster", 10000) + f" SELECT {_RESULT} FROM x", "b_fact"))
 def paired_bootstrap(spark, sf):
-    return S.paired_bootstrap(_pairs(spark, sf)).withColumns({c: r6(c) for c in _ROUNDED})
+    return S.paired_bootstrap(_pairs(spark, sf)).withColumns({c: F.round(c, 9) for c in _ROUNDED})
 
 
 @query("paired_bootstrap_scenario", sql(_boot("scenario", 200) + f" SELECT {_RESULT} FROM x", "b_fact"))
 def paired_bootstrap_scenario(spark, sf):
     """Scenarios as units: as many draws per iteration as scenarios, so fewer iterations."""
     return S.paired_bootstrap(_pairs(spark, sf), "scenario", iters=200).withColumns(
-        {c: r6(c) for c in _ROUNDED})
+        {c: F.round(c, 9) for c in _ROUNDED})
 
 
 @query("power_report", sql(_boot("cluster", 10000) + """
@@ -323,7 +323,7 @@ def flat_answer_parse(spark, sf):
 _MUT = "(VALUES " + ", ".join(
     f"({q(n)}, {q(v)}, {q(s)}, {q(c) if c else 'NULL'})" for n, v, s, c in K.MUTATIONS) + ") m(mutation, expected_verdict, kind, claim)"
 _PROBES = f"""SELECT f.scenario, mutation, expected_verdict, kind,
-  '요약: ' || CASE mutation WHEN 'benign-paraphrase' THEN {q(K.PARAPHRASE_START)} || summary WHEN 'hedged-summary' THEN summary || {q(K.HEDGE_END)} ELSE summary END
+  '요약: ' || CASE mutation WHEN 'benign-paraphrase' THEN {q(K.PARAPHRASE_START)} || f.summary WHEN 'hedged-summary' THEN f.summary || {q(K.HEDGE_END)} ELSE f.summary END
   || chr(10) || '근거 발견: ' || CASE WHEN yes <> (mutation = 'verdict-flip') THEN '예' ELSE '아니오' END
   || chr(10) || '원인 가설: ' || coalesce(claim, cause) || chr(10)
   || CASE WHEN mutation = 'no-actions' THEN '제안 조치: (없음)' ELSE actions END AS answer
