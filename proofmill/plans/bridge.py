@@ -209,8 +209,11 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_lines_of(table(spark, sf_dir, "events"))
+
+
+def log_lines_of(e: DataFrame) -> DataFrame:
     """(seq, ts_ns, ts, line) from events; times are cut to the minute, so ties occur."""
-    e = table(spark, sf_dir, "events")
     u, k = F.col("user_id"), F.get_json_object("props", "$.k")
     kind = F.col("event_type")
     minute = (F.unix_seconds(F.col("ts").cast("timestamp")) / 60).cast("long") * 60

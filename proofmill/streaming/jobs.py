@@ -37,7 +37,7 @@ def live_windows(
             yield rows.groupby("bucket", sort=False).head(limit)
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (bucket,) = key
+        bucket = int(key[0])
         held = list(zip(*state.get)) if state.exists else []
         if state.hasTimedOut:
             state.remove()
