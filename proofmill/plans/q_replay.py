@@ -143,7 +143,7 @@ def _drain(writer) -> None:
     q.awaitTermination()
 
 
-@query("stream_replay_windows", sql(f"""WITH {_windows(1800, 20)}, m AS (SELECT max(ts_ns) - 600 * 1000000000 AS mark FROM b_error)
+@query("stream_replay_windows", sql(f"""WITH {_windows(1800, 20)}, m AS (SELECT max(ts_ns) - 600000000000 AS mark FROM b_error)
 SELECT CAST(end_ns AS BIGINT) AS end_ns, md5(samples) AS samples, CAST(n_lines AS INTEGER) AS n_lines, family FROM win, m WHERE end_ns < mark""", "b_error"))
 def stream_replay_windows(spark, sf):
     """Windows the watermark has closed; the newest ones are still open at the end."""
