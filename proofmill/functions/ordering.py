@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 _HEX = 4  # 16^4 = 65,536 hash buckets
 
@@ -39,12 +39,10 @@ def running_totals(
     shifted by the sums of the partitions before it, one row per partition. The sorted
     rows are checkpointed once, so that both uses see the same partition bounds.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = df.select("*", *[c.alias(f"__v_{name}") for name, c in totals.items()])
-    placed = placed.repartitionByRange(parts, *order).withColumn(
-        "__part", F.spark_partition_id()).checkpoint()
+    placed = materialize(placed.repartitionByRange(parts, *order).withColumn(
+        "__part", F.spark_partition_id()))
     per_part = placed.groupBy("__part").agg(
         *[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in totals])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

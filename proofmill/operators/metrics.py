@@ -100,18 +100,24 @@ def arm_leaderboard(scores: DataFrame) -> DataFrame:
     return out.withColumn("headroom", F.col("best_mean") - F.col("greedy_mean"))
 
 
+def _side_by_side(rows: DataFrame, left: str, right: str, columns: list[str]) -> DataFrame:
+    """One row per scenario with ``l_`` and ``r_`` columns, null where an arm lacks it.
+
+    One grouping instead of a self-join, so the rows are computed once.
+    """
+    at = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    return rows.filter(F.col("arm").isin(left, right)).groupBy("scenario").agg(
+        *[at(arm, c).alias(f"{p}_{c}") for arm, p in ((left, "l"), (right, "r")) for c in columns])
+
+
 def replay_agreement(outcomes: DataFrame, left: str, right: str) -> DataFrame:
     """Two arms over replayed scenarios: counters per sign, then the agreement row ``all``.
 
     Right-arm counters only cover scenarios that the left arm has too. Positives carry no
     label, so the agreement says nothing about accuracy.
     """
-    cols = ["scenario", "negative", "parse_failed", "claimed", "grounded"]
-    sides = [
-        outcomes.filter(F.col("arm") == arm).select(
-            "scenario", *[F.col(c).alias(f"{p}_{c}") for c in cols[1:]])
-        for arm, p in ((left, "l"), (right, "r"))]
-    both = sides[0].join(sides[1], "scenario", "left")
+    both = _side_by_side(outcomes, left, right, ["negative", "parse_failed", "claimed", "grounded"])
+    both = both.filter(F.col("l_grounded").isNotNull())
     shared = F.col("r_grounded").isNotNull()
     same = F.col("l_grounded") == F.col("r_grounded")
     counts = {
@@ -130,9 +136,8 @@ def replay_agreement(outcomes: DataFrame, left: str, right: str) -> DataFrame:
 
 def disagreements(outcomes: DataFrame, left: str, right: str) -> DataFrame:
     """Scenarios on which the two arms ground differently."""
-    a = outcomes.filter(F.col("arm") == left).select("scenario", F.col("grounded").alias("l"))
-    b = outcomes.filter(F.col("arm") == right).select("scenario", F.col("grounded").alias("r"))
-    return a.join(b, "scenario").filter(F.col("l") != F.col("r")).select("scenario")
+    both = _side_by_side(outcomes, left, right, ["grounded"])
+    return both.filter(F.col("l_grounded") != F.col("r_grounded")).select("scenario")
 
 
 # --------------------------------------------------------------------------------------
@@ -196,16 +201,14 @@ def filter_stats(validated: DataFrame) -> DataFrame:
     ``drop`` row per validator.
     """
     failing = F.map_keys(F.map_filter("failures", lambda k, v: F.size(v) > 0))
-    tagged = validated.select(failing.alias("failing"))
-    drops = tagged.select(F.explode("failing").alias("name")).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n")).select(F.lit("drop").alias("kind"), "name", "n")
-    totals = tagged.agg(
-        F.count(F.lit(1)).alias("total"), n_if(F.size("failing") == 0).alias("passed"))
-    totals = totals.select(F.explode(F.array(
-        F.struct(F.lit("total").alias("kind"), F.lit("").alias("name"), F.col("total").alias("n")),
-        F.struct(F.lit("passed").alias("kind"), F.lit("").alias("name"), F.col("passed").alias("n")),
-    )).alias("r")).select("r.*")
-    return totals.unionByName(drops)
+    entry = lambda kind, name, n: F.struct(
+        F.lit(kind).alias("kind"), name.alias("name"), n.cast("long").alias("n"))
+    entries = F.concat(
+        F.array(entry("total", F.lit(""), F.lit(1)),
+                entry("passed", F.lit(""), (F.size(failing) == 0).cast("int"))),
+        F.transform(failing, lambda name: entry("drop", name, F.lit(1))))
+    return validated.select(F.explode(entries).alias("e")).groupBy("e.kind", "e.name").agg(
+        F.sum("e.n").alias("n"))
 
 
 def reason_detail(validated: DataFrame, name: str = "name") -> DataFrame:

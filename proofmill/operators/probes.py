@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
@@ -91,15 +91,16 @@ def passing_answers(trials: DataFrame) -> DataFrame:
 def pick_balanced(answers: DataFrame, limit: int) -> DataFrame:
     """Names of at most ``limit`` answers, half of them with verdict yes, then no.
 
-    The second quota is what the first left over. Both sides are top-k by name, so only
-    ``limit`` rows of each reach one task.
+    The second quota is what the first left over. Both sides are top-k by name, cut before
+    the shuffle, so only ``limit`` rows of each per input partition reach one task.
     """
     half = max(1, limit // 2)
     a = F.col("answer")
-    first = lambda df, n: df.select("scenario").orderBy("scenario").limit(n)
-    yes = first(answers.filter(a.contains(K.RUBRIC_YES)), half)
-    no = first(answers.filter(a.contains(K.RUBRIC_NO)), limit)
-    both = yes.select("scenario", F.lit(0).alias("side")).unionByName(
-        no.select("scenario", F.lit(1).alias("side")))
-    return both.orderBy("side", "scenario").limit(limit).select(
+    sides = F.array_compact(F.array(
+        F.when(a.contains(K.RUBRIC_YES), 0), F.when(a.contains(K.RUBRIC_NO), 1)))
+    w = Window.partitionBy("side").orderBy("scenario")
+    ranked = answers.select("scenario", F.explode(sides).alias("side")).withColumn(
+        "rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    kept = ranked.filter((F.col("side") == 1) | (F.col("rn") <= half))
+    return kept.orderBy("side", "scenario").limit(limit).select(
         "scenario", F.when(F.col("side") == 0, "yes").otherwise("no").alias("polarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
+from ..functions.ordering import running_totals
 
 _NS = 1_000_000_000
 
@@ -45,9 +46,8 @@ def build_windows(
     first, that is, with the latest line.
     """
     windows = collect_windows(latest_lines(lines, width_seconds, limit), width_seconds)
-    # one row per window of time: bounded by the period covered, not by the lines in it
-    index = (F.row_number().over(Window.orderBy("bucket")) - 1).cast("long")
-    return windows.select(index.alias("index"), "end_ns", "samples", "family")
+    counted = running_totals(windows, [F.col("bucket").asc()], {"upto": F.lit(1)})
+    return counted.select((F.col("upto") - 1).alias("index"), "end_ns", "samples", "family")
 
 
 def collect_windows(latest: DataFrame, width_seconds: int) -> DataFrame:

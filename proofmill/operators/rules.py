@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
@@ -327,14 +327,17 @@ def alert_coverage(scenarios: DataFrame, catalog: Catalog = Catalog()) -> DataFr
 def pick_exemplars(scenarios: DataFrame, per_axis: int = 2) -> DataFrame:
     """(axis, name): the first scenarios whose rubric has the axis's polarity, or the first
     of all when no scenario has it."""
-    ranked = scenarios.select("seq", "name", F.col("rubric").contains(K.RUBRIC_YES).alias("yes"))
-    firsts = lambda df: df.orderBy("seq").limit(per_axis)
-    pos, neg = firsts(ranked.filter("yes")), firsts(ranked.filter("NOT yes"))
-    every = firsts(ranked)
-    out = None
-    for key, expected, _, _ in K.AXES:
-        own = pos if expected == K.YES else neg
-        fallback = every.join(own.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti")
-        part = own.unionByName(fallback).select(F.lit(key).alias("axis"), "name")
-        out = part if out is None else out.unionByName(part)
-    return out
+    w = Window.partitionBy("yes").orderBy("seq")
+    ranked = scenarios.select(
+        "seq", "name", F.col("rubric").contains(K.RUBRIC_YES).alias("yes")
+    ).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_axis)
+    # a handful of rows from here on: the first ones of each polarity
+    groups = ranked.groupBy(F.lit(1).alias("one")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "name", "yes"))).alias("all"))
+    pick = lambda want: F.filter("all", lambda x: x["yes"] == F.lit(want))
+    choice = lambda want: F.when(F.size(pick(want)) > 0, pick(want)).otherwise(
+        F.slice("all", 1, per_axis))
+    axes = F.array(*[F.struct(F.lit(key).alias("axis"), choice(expected == K.YES).alias("picked"))
+                     for key, expected, _, _ in K.AXES])
+    return groups.select(F.explode(axes).alias("a")).select(
+        "a.axis", F.explode("a.picked").alias("p")).select("axis", F.col("p.name").alias("name"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed_values as K
 from ..functions.ordering import hash_rank, running_totals
 from ..schemas import GREEDY
-from ..session import BROADCAST_ROWS
+from ..session import materialize
 
 
 def load_arm(scores: DataFrame, arm: str) -> DataFrame:
@@ -18,16 +18,30 @@ def load_arm(scores: DataFrame, arm: str) -> DataFrame:
 
 def paired_diff(a: DataFrame, b: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Score pairs by scenario; fails while running if the two sets of scenarios differ."""
-    both = a.select("scenario", F.col("score").alias("a")).join(
-        b.select("scenario", F.col("score").alias("b")), "scenario", "full_outer")
-    checked = F.when(
+    side = lambda df, n: df.select("scenario", "score", F.lit(n).alias("side"))
+    at = lambda n: F.max(F.when(F.col("side") == n, F.col("score")))
+    both = side(a, "a").unionByName(side(b, "b")).groupBy("scenario").agg(
+        at("a").alias("a"), at("b").alias("b"))
+    both = both.select("scenario", "a", "b", _checked_diff().alias("diff"))
+    return both if clusters is None else both.join(clusters, "scenario")
+
+
+def _checked_diff() -> Column:
+    return F.when(
         F.col("a").isNull() | F.col("b").isNull(),
         F.raise_error(F.concat(F.lit("scenario in one arm only: "), F.col("scenario"))).cast("double"),
     ).otherwise(F.col("b") - F.col("a"))
-    both = both.select("scenario", "a", "b", checked.alias("diff"))
-    if clusters is None:
-        return both
-    return both.join(clusters, "scenario")
+
+
+def paired_scores(scores: DataFrame, before: str, after: str) -> DataFrame:
+    """Score pairs of two arms of one fact table, which is read once:
+    (scenario, cluster, a, b, diff, after_failed)."""
+    greedy = scores.filter((F.col("sample_idx") == GREEDY) & F.col("arm").isin(before, after))
+    at = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    both = greedy.groupBy("scenario").agg(
+        F.max("alertname").alias("cluster"), at(before, "reward").alias("a"),
+        at(after, "reward").alias("b"), at(after, "parse_failed").alias("after_failed"))
+    return both.select("scenario", "cluster", "a", "b", _checked_diff().alias("diff"), "after_failed")
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
@@ -39,11 +53,11 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 def paired_counts(scores: DataFrame, before: str, after: str) -> DataFrame:
     """Better, worse, same per sign. On negatives a grounded claim is an error, so the
     direction flips there. A scenario the later arm lacks counts as the same."""
-    greedy = scores.filter(F.col("sample_idx") == GREEDY)
-    lhs = greedy.filter(F.col("arm") == before).select(
-        "scenario", "expects_yes", F.col("grounded").alias("was"))
-    rhs = greedy.filter(F.col("arm") == after).select("scenario", F.col("grounded").alias("now"))
-    j = lhs.join(rhs, "scenario", "left")
+    greedy = scores.filter((F.col("sample_idx") == GREEDY) & F.col("arm").isin(before, after))
+    at = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("grounded")))
+    j = greedy.groupBy("scenario").agg(
+        F.max("expects_yes").alias("expects_yes"), at(before).alias("was"), at(after).alias("now"),
+    ).filter(F.col("was").isNotNull())
     changed = F.coalesce(F.col("was") != F.col("now"), F.lit(False))
     better = changed & (F.col("now") == F.col("expects_yes"))
     return j.groupBy(F.when(F.col("expects_yes"), "positive").otherwise("negative").alias("sign")).agg(
@@ -82,6 +96,9 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------
 
 
+_CHUNK = 10_000
+
+
 def paired_bootstrap(
     pairs: DataFrame, unit: str = "cluster", iters: int = 10_000, seed: int = 20260901,
     by: list[str] | None = None,
@@ -94,7 +111,8 @@ def paired_bootstrap(
     the same ones. Means are summed per iteration with partial aggregation.
     """
     by = by or []
-    units = pairs.groupBy(*by, unit).agg(F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c"))
+    units = materialize(pairs.groupBy(*by, unit).agg(
+        F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c")))
     numbered = hash_rank(units, F.col(unit), "idx", by).select(
         *by, (F.col("idx") - 1).alias("idx"), "s", "c")
     observed = units.groupBy(*by).agg(
@@ -103,7 +121,11 @@ def paired_bootstrap(
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = observed.select(*by, F.col("n_clusters").alias("k")).withColumn(
         "t", F.explode(F.sequence(F.lit(1), F.lit(iters)))).repartition(parts, "t")
-    draws = rounds.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+    # draws come in chunks, so that no row ever holds the draws of a whole iteration
+    last = F.floor((F.col("k") - 1) / F.lit(_CHUNK))
+    chunks = rounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    draws = chunks.withColumn("j", F.explode(F.sequence(
+        F.col("chunk") * _CHUNK + 1, F.least(F.col("k"), (F.col("chunk") + 1) * _CHUNK))))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"),
                                F.col("j").cast("string")))
     draws = draws.withColumn(
@@ -169,10 +191,11 @@ def compare_arms(pairs: DataFrame) -> DataFrame:
 
 def failure_overlap(results: DataFrame, left: str, right: str) -> DataFrame:
     """2x2 counts of failures shared by two arms (arm, scenario, failed)."""
-    a = results.filter(F.col("arm") == left).select("scenario", F.col("failed").alias("fa"))
-    b = results.filter(F.col("arm") == right).select("scenario", F.col("failed").alias("fb"))
+    at = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("failed")))
+    both = results.filter(F.col("arm").isin(left, right)).groupBy("scenario").agg(
+        at(left).alias("fa"), at(right).alias("fb")).dropna()
     fa, fb = F.col("fa"), F.col("fb")
-    return a.join(b, "scenario").agg(
+    return both.agg(
         F.count_if(fa & fb).alias("both_fail"), F.count_if(fa & ~fb).alias("only_left"),
         F.count_if(~fa & fb).alias("only_right"), F.count_if(~fa & ~fb).alias("none"))
 

@@ -8,6 +8,7 @@ from .. import fixed_values as K
 from ..functions import jsontext as J
 from ..functions.ordering import hash_rank
 from ..schemas import GREEDY
+from ..session import materialize
 from . import outputs as O, prompts as P
 
 
@@ -175,6 +176,7 @@ def train_valid_split(
 ) -> DataFrame:
     """Adds ``split``: the first max(1, floor(n * ratio)) samples in seeded hash order of
     their name are for validation."""
+    samples = materialize(samples)  # counted, ranked and sized: computed once
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank")
     size = samples.agg(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio))).alias("__size"))
@@ -189,6 +191,7 @@ def mix_ratio(samples: DataFrame, yes_share: float, seed: int = 20260826) -> Dat
 
     ``samples`` has name and expects_yes.
     """
+    samples = materialize(samples)
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank", ["expects_yes"])
     yes, no = F.count_if("expects_yes"), F.count_if(~F.col("expects_yes"))
     size = samples.agg(yes.alias("y"), no.alias("n"), F.lit(1).alias("__one")).select(

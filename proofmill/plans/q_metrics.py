@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as K
 from ..operators import metrics as M, outputs as O, probes as PR, stats as S
+from ..session import materialize
 from . import bridge as B
 from .oracle import q, sql
 from .q_outputs import fact
@@ -101,10 +102,7 @@ def load_arm(spark, sf):
 
 
 def _pairs(spark, sf):
-    f = fact(spark, sf)
-    clusters = B.scenarios(spark, sf).select(
-        F.col("name").alias("scenario"), F.col("alert.alertname").alias("cluster"))
-    return S.paired_diff(S.load_arm(f, "base"), S.load_arm(f, "trained"), clusters)
+    return S.paired_scores(fact(spark, sf), "base", "trained")
 
 
 _PAIRS = """SELECT a.scenario, a.reward AS a, b.reward AS b, b.reward - a.reward AS diff, a.alertname AS cluster
@@ -112,9 +110,21 @@ _PAIRS = """SELECT a.scenario, a.reward AS a, b.reward AS b, b.reward - a.reward
   JOIN (SELECT * FROM b_fact WHERE arm = 'trained' AND sample_idx = -1) b USING (scenario)"""
 
 
-@query("paired_diff", sql(f"""
-SELECT scenario, cluster, round(a, 6) AS a, round(b, 6) AS b, round(diff, 6) AS diff FROM ({_PAIRS})""", "b_fact"))
+_DIFF = f"SELECT scenario, cluster, round(a, 6) AS a, round(b, 6) AS b, round(diff, 6) AS diff FROM ({_PAIRS})"
+
+
+@query("paired_diff", sql(_DIFF, "b_fact"))
 def paired_diff(spark, sf):
+    """Two score tables and a cluster table, as they come from separate runs."""
+    f = fact(spark, sf)
+    clusters = B.scenarios(spark, sf).select(
+        F.col("name").alias("scenario"), F.col("alert.alertname").alias("cluster"))
+    pairs = S.paired_diff(S.load_arm(f, "base"), S.load_arm(f, "trained"), clusters)
+    return pairs.select("scenario", "cluster", *[r6(c).alias(c) for c in ("a", "b", "diff")])
+
+
+@query("paired_scores", sql(_DIFF, "b_fact"))
+def paired_scores(spark, sf):
     return _pairs(spark, sf).select("scenario", "cluster", *[r6(c).alias(c) for c in ("a", "b", "diff")])
 
 
@@ -204,9 +214,9 @@ def _size_verdicts(spark, sf):
     size = B.scenarios(spark, sf).select(
         F.col("name").alias("scenario"),
         F.when(n <= 2, "small").when(n <= 6, "medium").otherwise("large").alias("size"))
-    boot = S.paired_bootstrap(_pairs(spark, sf).join(size, "scenario"), iters=2000, by=["size"])
-    failures = fact(spark, sf).filter("arm = 'trained' AND sample_idx = -1").join(size, "scenario").groupBy(
-        "size").agg(F.count_if("parse_failed").alias("parse_failures"))
+    pairs = materialize(_pairs(spark, sf).join(size, "scenario"))
+    boot = S.paired_bootstrap(pairs, iters=2000, by=["size"])
+    failures = pairs.groupBy("size").agg(F.count_if("after_failed").alias("parse_failures"))
     return S.effect_verdict(S.with_power(boot).join(failures, "size"))
 
 

@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-#: Largest table an operator hands to ``broadcast``.
-BROADCAST_ROWS = 100_000
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings: UTC, adaptive plans, and splitting of skewed join partitions."""
     for key, value in (
@@ -25,6 +21,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def materialize(rows):
+    """Rows computed once and kept in the shared checkpoint folder; later plans start there."""
+    checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a fresh local one only if none is named."""
     path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

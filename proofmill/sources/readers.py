@@ -5,9 +5,10 @@ Order carries meaning in most of them, so every reader adds an explicit order co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as K
+from ..functions.ordering import running_totals
 from ..schemas import SCENARIO_FILE
 
 
@@ -69,24 +70,26 @@ def ingest_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_seq(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``seq``, a hash-free order key for small file listings: rank of the file name.
-
-    Meant for directories, whose file count a driver lists anyway; tables bring their own.
-    """
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Adds ``seq``, the position in the order of the given columns (file, for files)."""
+    return running_totals(df, [F.col(c).asc() for c in order], {"seq": F.lit(1)})
 
 
 def load_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Log JSONL with ``ts`` (epoch ns, number or text) and ``line``; blank lines skipped.
 
-    ``seq`` grows with the position in the file and decides between equal times.
+    ``seq`` is the position (file, block of the file, place in the block), which decides
+    between equal times without numbering the lines.
     """
-    text = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("file"),
+    text = spark.read.text(path).select("value", _position().alias("pos"))
+    return parse_log_lines(text).select(F.col("pos").alias("seq"), "ts_ns", "line")
+
+
+def _position() -> Column:
+    """Orderable position of a text line: ids grow within a block, blocks within a file."""
+    return F.struct(
+        F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
-    return parse_log_lines(text.select("value", F.struct("file", "block", "at").alias("pos"))).select(
-        F.col("pos.at").alias("seq"), "ts_ns", "line")
 
 
 def parse_log_lines(rows: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def load_chat(spark: SparkSession, path: str) -> DataFrame:
     m = F.col("m.messages")
     rows = text.select(
         msgs.alias("m"), F.regexp_extract("_metadata.file_name", r"^(\w+)", 1).alias("split"),
-        F.monotonically_increasing_id().alias("line_no"))
+        _position().alias("line_no"))
     return rows.filter(F.col("split").isin("train", "valid")).select(
         "split", F.when(F.col("split") == "train", 0).otherwise(1).alias("split_order"), "line_no",
         F.get(m, F.lit(1))["content"].alias("user"), F.element_at(m, -1)["content"].alias("assistant"))
@@ -173,7 +176,7 @@ def load_trials(spark: SparkSession, path: str) -> DataFrame:
                                "analyzer_latency_ms long, error string>")
     text = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
     return text.select(
-        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"),
+        F.col("_metadata.file_name").alias("file"), _position().alias("line_no"),
         row.alias("r")).select(
         "file", "line_no", F.col("r.scenario_name").alias("scenario"), "r.trial", "r.answer",
         "r.score.accuracy", "r.score.groundedness", "r.score.hallucination_detected",
