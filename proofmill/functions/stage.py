@@ -16,3 +16,11 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
         kept = [F.col(f"`{c}`") for c in rows.columns if c != name]
         rows = rows.select(*kept, F.explode(F.array(value)).alias(name))
     return rows
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, for use inside functions over arrays.
+
+    An expression written inside such a function is evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,10 @@ from pyspark.sql import Column, functions as F
 from .. import fixed_values as K
 
 FLAGS = "(?dU)"
-BLANK = r"[\s\x1c-\x1f]"
+#: Every blank there is; ``trim`` alone only knows U+0020.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_BLANK_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _META = set("\\^$.|?*+()[]{}")
 
 
@@ -47,22 +50,23 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def strip_ws(value: Column) -> Column:
-    """Drop blanks of any kind at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(value, rx(f"^{BLANK}+|{BLANK}+\\z"), "")
+    """Drop blanks of any kind at both ends."""
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def squash_ws(value: Column) -> Column:
     """Strip, then one space for every run of blanks."""
-    return F.regexp_replace(strip_ws(value), rx(f"{BLANK}+"), " ")
+    return F.regexp_replace(strip_ws(value), _BLANK_RUN, " ")
 
 
 def is_blank(value: Column) -> Column:
-    return ~value.rlike(rx(r"[^\s\x1c-\x1f]"))
+    return strip_ws(value) == ""
 
 
 def _replace_all(value: Column, rules) -> Column:
-    for pattern, placeholder in rules:
-        value = F.regexp_replace(value, rx(pattern), placeholder)
+    # the look-ahead rejects most positions before the costlier Unicode word boundary
+    for start, pattern, placeholder in rules:
+        value = F.regexp_replace(value, rx(f"(?={start}){pattern}"), placeholder)
     return strip_ws(value)
 
 

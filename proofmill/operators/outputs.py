@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as K
 from ..functions import jsontext as J, text as X
-from ..functions.stage import once
+from ..functions.stage import let, once
 from ..schemas import RewardSpec
 
 # --------------------------------------------------------------------------------------
@@ -66,14 +66,21 @@ def parse_scores(judged: DataFrame, raw: str = "judge_raw") -> DataFrame:
 
 
 def cites_log(evidence: Column, lines: Column) -> Column:
-    """Does the citation occur in some line, blanks aside? The cheap exact test comes first:
-    a stripped citation found as it is will also be found with blanks squashed."""
-    needle, stripped = X.squash_ws(evidence), X.strip_ws(evidence)
-    return F.coalesce(
-        (stripped != "") & F.exists(
-            lines,
-            lambda line: line.contains(stripped) | X.squash_ws(line).contains(needle)),
-        F.lit(False))
+    """Does the citation occur in some line, blanks aside?
+
+    Cheap exact tests come first: a stripped citation found as it is will also be found with
+    blanks squashed, and a line without its first or last word cannot hold it at all.
+    """
+    squashed = X.squash_ws(evidence)
+    parts = F.struct(
+        X.strip_ws(evidence).alias("plain"), squashed.alias("squashed"),
+        F.substring_index(squashed, " ", 1).alias("first"),
+        F.substring_index(squashed, " ", -1).alias("last"))
+    found = let(parts, lambda n: (n["plain"] != "") & F.exists(
+        lines, lambda line: line.contains(n["plain"]) | (
+            line.contains(n["first"]) & line.contains(n["last"])
+            & X.squash_ws(line).contains(n["squashed"]))))
+    return F.coalesce(found, F.lit(False))
 
 
 GROUNDING_RULES = {"citation-exists": lambda a, logs: cites_log(a["evidence_line"], logs)}
@@ -157,14 +164,16 @@ def identifier_reasons(text: Column, lines: Column, alert: Column) -> Column:
         "\n", alert["summary"], alert["description"], alert["alertname"],
         F.array_join(F.map_values(alert["labels"]), " "))
 
-    def missing(family: str, pattern: str) -> Column:
-        values = F.regexp_extract_all(text, F.lit(X.rx(pattern)), F.lit(1))
+    def missing(family: str, pattern: str, said: Column, known: Column) -> Column:
+        values = F.regexp_extract_all(said, F.lit(X.rx(pattern)), F.lit(1))
         unknown = F.filter(values, lambda v: ~F.lower(v).isin(*K.IDENTIFIER_STOPWORDS)
-                           & ~about.contains(v)
+                           & ~known.contains(v)
                            & ~F.exists(lines, lambda line: line.contains(v)))
         return F.transform(unknown, lambda v: F.concat(F.lit(family + ":"), v))
 
-    return F.concat(*[missing(family, pattern) for family, pattern in K.IDENTIFIER_FAMILIES])
+    return let(F.struct(text.alias("said"), about.alias("known")), lambda x: F.concat(
+        *[missing(family, pattern, x["said"], x["known"])
+          for family, pattern in K.IDENTIFIER_FAMILIES]))
 
 
 def identifiers_grounded(a: Column, lines: Column, alert: Column) -> Column:
@@ -209,12 +218,11 @@ def verify_target(rows: DataFrame, rules=None) -> DataFrame:
 
 def repair_citation(a: Column, lines: Column) -> Column:
     """A citation that is part of exactly one line becomes that line."""
-    needle = X.strip_ws(a["evidence_line"])
-    holders = F.filter(lines, lambda line: line.contains(needle))
-    fixed = F.when(
-        (needle != "") & ~F.array_contains(lines, needle) & (F.size(holders) == 1),
-        F.get(holders, F.lit(0))).otherwise(a["evidence_line"])
-    return a.withField("evidence_line", fixed)
+    holders = lambda n: F.filter(lines, lambda line: line.contains(n))
+    whole = let(X.strip_ws(a["evidence_line"]), lambda n: F.when(
+        (n != "") & ~F.array_contains(lines, n),
+        let(holders(n), lambda held: F.when(F.size(held) == 1, F.get(held, F.lit(0))))))
+    return a.withField("evidence_line", F.coalesce(whole, a["evidence_line"]))
 
 
 def evidence_identifiers(line: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as K
 from ..session import tune
+from ..sources.readers import spread
 
 ARMS = ("base", "trained")
 SAMPLES = (-1, 0, 1, 2, 3)
@@ -26,7 +27,12 @@ RULE_NAMES = ("CircuitBreakerOpen", "AppInstanceDown", "RedisStreamE2eLatencyHig
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
+
+
+#: Tables whose rows are worked on one by one, with the key to spread a small file by.
+_SPREAD = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
 
 
 def text_lines(text: Column) -> Column:

@@ -12,6 +12,17 @@ from ..functions.ordering import running_totals
 from ..schemas import SCENARIO_FILE
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """A small input spread evenly over all cores.
+
+    Small means at most two splits per core: its few row groups may sit in one of them, and
+    parsing and pattern work cost far more than moving such an input once. A large input
+    has many splits per core and stays where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() <= 2 * cores else rows
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """One row per file: its name and text."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(
