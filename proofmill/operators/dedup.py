@@ -8,6 +8,7 @@ from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
 from ..functions.stage import once
+from ..session import materialize
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -81,8 +82,10 @@ def prompt_log_lines(content) -> F.Column:
 
 
 def train_valid_leaks(chat: DataFrame) -> DataFrame:
-    """Validation rows whose prompt signature also occurs in training (split, line_no, user)."""
-    signed = once(chat, signature=prompt_signature(F.col("user")))
+    """Validation rows whose prompt signature also occurs in training."""
+    signed = chat
+    if "signature" not in chat.columns:
+        signed = materialize(once(chat, signature=prompt_signature(F.col("user"))).drop("user"))
     train = signed.filter(F.col("split") == "train").select("signature").distinct()
     return signed.filter(F.col("split") == "valid").join(train, "signature", "left_semi").drop(
         "signature")
@@ -90,11 +93,19 @@ def train_valid_leaks(chat: DataFrame) -> DataFrame:
 
 def contaminated_prompts(chat: DataFrame, golden: DataFrame) -> DataFrame:
     """Built prompts whose normalised log lines are those of an evaluation scenario."""
-    digest = lambda lines: F.sha2(F.to_json(F.struct(lines.alias("l"))), 256)
-    held = golden.select(digest(F.transform(
-        F.col("log_samples"), X.normalize_message)).alias("logs")).distinct()
-    return once(chat, logs=digest(prompt_log_lines(F.col("user")))).join(
-        held, "logs", "left_semi").drop("logs")
+    if "logs" not in chat.columns:
+        chat = once(chat, logs=_line_digest(prompt_log_lines(F.col("user"))))
+    if "logs" not in golden.columns:
+        golden = golden.select(_golden_digest().alias("logs"))
+    return chat.join(golden.select("logs").distinct(), "logs", "left_semi").drop("logs")
+
+
+def _line_digest(lines) -> F.Column:
+    return F.sha2(F.to_json(F.struct(lines.alias("l"))), 256)
+
+
+def _golden_digest() -> F.Column:
+    return _line_digest(F.transform(F.col("log_samples"), X.normalize_message))
 
 
 def shared_lines(rows: DataFrame, golden: DataFrame, lines: str = "log_samples") -> DataFrame:
@@ -109,12 +120,18 @@ def shared_lines(rows: DataFrame, golden: DataFrame, lines: str = "log_samples")
 
 def audit_summary(candidates: DataFrame, golden: DataFrame, chat: DataFrame) -> DataFrame:
     """Problems found by each of the four audits, plus their total and the exit status."""
-    cand, gold = with_signature(candidates), with_signature(golden)
+    # one pass over each wide table; the checks read digests
+    cand = materialize(with_signature(candidates).select("seq", "name", "signature"))
+    gold = materialize(with_signature(golden).select(
+        "seq", "name", "signature", _golden_digest().alias("logs")))
+    chat = materialize(once(
+        chat, signature=prompt_signature(F.col("user")),
+        logs=_line_digest(prompt_log_lines(F.col("user")))).drop("user"))
     checks = [
         ("internal_duplicate", find_duplicates(cand)),
         ("golden_overlap", find_duplicates(cand, gold).filter(F.col("partner_side") == "against")),
         ("train_valid_leak", train_valid_leaks(chat)),
-        ("golden_in_training", contaminated_prompts(chat, golden)),
+        ("golden_in_training", contaminated_prompts(chat, gold)),
     ]
     counts = None
     for name, found in checks:

@@ -14,6 +14,7 @@ from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
 from ..functions.stage import once
+from ..session import materialize
 from . import dedup
 
 
@@ -226,12 +227,13 @@ def duplicate_names(
         old = existing.select("name", F.lit(0).alias("side"), F.lit(0).cast("long").alias("seq"))
         names = names.unionByName(old)
     firsts = names.groupBy("name").agg(
-        F.min(F.struct("side", "seq")).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        F.min(F.struct("side", "seq")).alias("__first"), F.count(F.lit(1)).alias("__n"),
+    ).filter(F.col("__n") > 1)
     linked = share_by_key(candidates, firsts, ["name"], "__n", F.xxhash64("seq"))
     first = F.col("__first")
-    known = first["side"] == 0
+    known = F.coalesce(first["side"] == 0, F.lit(False))
     if within_batch:
-        known = known | (first["seq"] < F.col("seq"))
+        known = known | F.coalesce(first["seq"] < F.col("seq"), F.lit(False))
     return linked.withColumn("v_duplicate", _flat(
         F.when(known & F.col("name").isNotNull(), _say("name", F.col("name"))))).drop("__first", "__n")
 
@@ -239,12 +241,19 @@ def duplicate_names(
 def duplicate_contents(candidates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Adds ``v_duplicate-content``. Candidates that lack a field neither count nor match;
     every other one registers its content, whatever the other validators say."""
-    whole = F.size(F.array_except(
-        F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))) == 0
-    signed = dedup.with_signature(candidates.filter(whole))
+    signed = dedup.with_signature(candidates.filter(_is_whole()))
     old = None if existing is None else dedup.with_signature(existing)
-    found = dedup.find_duplicates(signed, old).select("seq", F.col("earlier").alias("__earlier"))
-    return candidates.join(found, "seq", "left").withColumn("v_duplicate-content", _flat(
+    return _with_content(candidates, signed, old)
+
+
+def _is_whole() -> Column:
+    return F.size(F.array_except(
+        F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))) == 0
+
+
+def _with_content(rows: DataFrame, signed: DataFrame, existing: DataFrame | None) -> DataFrame:
+    found = dedup.find_duplicates(signed, existing).select("seq", F.col("earlier").alias("__earlier"))
+    return rows.join(found, "seq", "left").withColumn("v_duplicate-content", _flat(
         F.when(F.col("__earlier").isNotNull(), _say("content", F.col("__earlier"))))).drop("__earlier")
 
 
@@ -262,13 +271,15 @@ def validate(
     if "unreadable" not in base.columns:
         base = base.withColumn("unreadable", F.lit(False))
     readable = base.filter(~F.col("unreadable")).drop("unreadable")
-    row = validate_rows(readable, catalog).select("seq", *[
-        f"v_{n}" for n in ROW_VALIDATORS], "name")
-    named = duplicate_names(readable.select("seq", "name"), existing, within_batch)
-    content = duplicate_contents(readable, existing)
+    # one pass over the wide rows; both duplicate checks then read narrow ones
+    row = dedup.with_signature(validate_rows(readable, catalog))
+    row = materialize(row.select(
+        "seq", "name", "signature", _is_whole().alias("whole"), *[f"v_{n}" for n in ROW_VALIDATORS]))
+    if existing is not None:
+        existing = materialize(dedup.with_signature(existing).select("seq", "name", "signature"))
     names = [*ROW_VALIDATORS, "duplicate", "duplicate-content"]
-    checked = row.join(named.select("seq", "v_duplicate"), "seq").join(
-        content.select("seq", F.col("v_duplicate-content")), "seq")
+    checked = duplicate_names(row, existing, within_batch)
+    checked = _with_content(checked, row.filter("whole"), existing)
     checked = checked.select("seq", "name", F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]),
         F.array(*[F.col(f"v_{n}") for n in names])).alias("failures"))

@@ -137,8 +137,9 @@ def paired_bootstrap(
         F.percentile("mean", 0.025).alias("ci_low"), F.percentile("mean", 0.975).alias("ci_high"))
     if by:
         return observed.join(spread, by)
-    return observed.withColumn("__one", F.lit(1)).join(
-        spread.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    # two one-row tables side by side, without a join
+    both = observed.unionByName(spread, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def with_power(result: DataFrame, effect: float | None = None) -> DataFrame:
@@ -210,24 +211,17 @@ def verdict_prob(true_p: Column, false_p: Column) -> Column:
     return F.when(true_p + false_p > 0, true_p / (true_p + false_p)).otherwise(0.5)
 
 
-def _class_totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(
-        F.count_if("label").alias("__pos"), F.count_if(~F.col("label")).alias("__neg"))
-
-
 def roc_points(rows: DataFrame) -> DataFrame:
     """(pos, threshold, tpr, fpr): one point per row in falling score order, ties by ``idx``,
     after the starting point (1.01, 0, 0). ``rows`` has idx, label and score."""
     walk = running_totals(
         rows.select("idx", "label", "score"), [F.col("score").desc(), F.col("idx").asc()],
         {"tp": F.col("label").cast("long"), "fp": (~F.col("label")).cast("long")})
-    totals = F.broadcast(_class_totals(rows))  # one row
-    scaled = walk.withColumn("__one", F.lit(1)).join(
-        totals.withColumn("__one", F.lit(1)), "__one")
-    share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
-    points = scaled.select(
+    of = lambda label: rows.agg(F.count_if(F.col("label") == label)).scalar()
+    share = lambda n, total: F.coalesce(F.try_divide(F.col(n), total), F.lit(0.0))
+    points = walk.select(
         (F.col("tp") + F.col("fp")).alias("pos"), F.col("score").cast("double").alias("threshold"),
-        share("tp", "__pos").alias("tpr"), share("fp", "__neg").alias("fpr"))
+        share("tp", of(True)).alias("tpr"), share("fp", of(False)).alias("fpr"))
     start = rows.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("pos"), F.lit(1.01).alias("threshold"),
         F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))

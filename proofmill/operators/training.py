@@ -178,12 +178,9 @@ def train_valid_split(
     their name are for validation."""
     samples = materialize(samples)  # counted, ranked and sized: computed once
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank")
-    size = samples.agg(
-        F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio))).alias("__size"))
-    return ranked.withColumn("__one", F.lit(1)).join(
-        F.broadcast(size.withColumn("__one", F.lit(1))), "__one").withColumn(
-        "split", F.when(F.col("__rank") <= F.col("__size"), "valid").otherwise("train")
-    ).drop("__rank", "__size", "__one")
+    size = samples.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio)))).scalar()
+    return ranked.withColumn(
+        "split", F.when(F.col("__rank") <= size, "valid").otherwise("train")).drop("__rank")
 
 
 def mix_ratio(samples: DataFrame, yes_share: float, seed: int = 20260826) -> DataFrame:
@@ -194,16 +191,11 @@ def mix_ratio(samples: DataFrame, yes_share: float, seed: int = 20260826) -> Dat
     samples = materialize(samples)
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank", ["expects_yes"])
     yes, no = F.count_if("expects_yes"), F.count_if(~F.col("expects_yes"))
-    size = samples.agg(yes.alias("y"), no.alias("n"), F.lit(1).alias("__one")).select(
-        "__one",
-        F.least(F.floor(F.col("y") / F.lit(yes_share)),
-                F.floor(F.col("n") / F.lit(1 - yes_share))).alias("__total")).select(
-        "__one",
-        F.floor(F.col("__total") * F.lit(yes_share) + F.lit(1e-9)).alias("__y"),
-        F.floor(F.col("__total") * F.lit(1 - yes_share) + F.lit(1e-9)).alias("__n"))
-    j = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(size), "__one")
-    quota = F.when(F.col("expects_yes"), F.col("__y")).otherwise(F.col("__n"))
-    return j.filter(F.col("__rank") <= quota).drop("__rank", "__one", "__y", "__n", "__total")
+    total = samples.agg(F.least(
+        F.floor(yes / F.lit(yes_share)), F.floor(no / F.lit(1 - yes_share)))).scalar()
+    share = F.when(F.col("expects_yes"), F.lit(yes_share)).otherwise(F.lit(1 - yes_share))
+    return ranked.filter(
+        F.col("__rank") <= F.floor(total * share + F.lit(1e-9))).drop("__rank")
 
 
 # --------------------------------------------------------------------------------------
