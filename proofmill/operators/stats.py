@@ -145,12 +145,12 @@ def paired_bootstrap(
 def with_power(result: DataFrame, effect: float | None = None) -> DataFrame:
     """Adds the minimum detectable effect, the significance verdict and, for an effect to
     be caught, the number of units needed."""
+    if effect is not None and effect <= 0:
+        raise ValueError("the effect has to be positive")
     out = result.withColumn("mde", F.lit(K.MDE_MULTIPLIER) * F.col("se")).withColumn(
         "significant", F.abs("observed") > F.col("mde"))
     if effect is None:
         return out
-    if effect <= 0:
-        raise ValueError("the effect has to be positive")
     return out.withColumn("n_needed", F.ceil(
         F.col("n_clusters") * F.pow(F.col("mde") / F.lit(effect), F.lit(2.0))).cast("long"))
 
