@@ -39,9 +39,8 @@ def running_totals(
     shifted by the sums of the partitions before it, one row per partition. The sorted
     rows are checkpointed once, so that both uses see the same partition bounds.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = df.select("*", *[c.alias(f"__v_{name}") for name, c in totals.items()])
-    placed = materialize(placed.repartitionByRange(parts, *order).withColumn(
+    placed = materialize(placed.repartitionByRange(*order).withColumn(
         "__part", F.spark_partition_id()))
     per_part = placed.groupBy("__part").agg(
         *[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in totals])

@@ -168,10 +168,13 @@ def effect_gaps(verdicts: DataFrame, key: str) -> DataFrame:
 
     The input is a finished report with one row per compared model size.
     """
-    a = verdicts.select(F.col(key).alias("left"), F.col("observed").alias("lo"), F.lit(1).alias("g"))
-    b = verdicts.select(F.col(key).alias("right"), F.col("observed").alias("ro"), F.lit(1).alias("g"))
-    return a.join(b, "g").filter(F.col("left") < F.col("right")).select(
-        "left", "right", (F.col("ro") - F.col("lo")).alias("gap"))
+    report = verdicts.agg(F.array_sort(F.collect_list(
+        F.struct(F.col(key).alias("key"), "observed"))).alias("all"))
+    gaps = F.flatten(F.transform("all", lambda a, i: F.transform(
+        F.slice("all", i + 2, F.size("all")), lambda b: F.struct(
+            a["key"].alias("left"), b["key"].alias("right"),
+            (b["observed"] - a["observed"]).alias("gap")))))
+    return report.select(F.explode(gaps).alias("g")).select("g.*")
 
 
 def score_component(gap: Column) -> Column:

@@ -106,3 +106,9 @@ def test_once_keeps_rows_and_nulls(spark):
     df = once(spark.createDataFrame([(1,), (None,)], "v int"), w=F.col("v") * 2)
     assert [tuple(r) for r in df.collect()] == [(1, 2), (None, None)]
     assert df.select(let(F.col("w"), lambda w: w + 1).alias("x")).first()["x"] == 3
+
+
+def test_large_objects_need_no_regex_stack(spark):
+    flat = '{"a":[' + ",".join(['"x\\n{"'] * 50_000) + "]}"
+    rows = spark.createDataFrame([("pre " + flat + " }",)], "raw string")
+    assert O.extract_objects(rows).first()["json"] == flat
