@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as K
 from ..functions import text as X
@@ -67,7 +67,7 @@ def unique_names(rows: DataFrame) -> DataFrame:
         "is_first", F.struct("dir_order", "file") == F.col("first")).drop("first", "n")
 
 
-def prompt_signature(content) -> F.Column:
+def prompt_signature(content) -> Column:
     """Signature of a built prompt: its alert lines and its normalised log lines."""
     lines = F.split(content, _LINE_ENDS)
     starts = lambda line: X.any_of([line.startswith(p) for p in K.PROMPT_ALERT_LINE_STARTS])
@@ -75,7 +75,7 @@ def prompt_signature(content) -> F.Column:
         F.filter(lines, starts).alias("alert"), prompt_log_lines(content).alias("logs"))), 256)
 
 
-def prompt_log_lines(content) -> F.Column:
+def prompt_log_lines(content) -> Column:
     """Normalised log lines of a built prompt."""
     lines = F.filter(F.split(content, _LINE_ENDS), lambda line: line.startswith("- ["))
     return F.transform(lines, lambda line: X.normalize_message(F.substr(line, F.lit(3))))
@@ -100,11 +100,11 @@ def contaminated_prompts(chat: DataFrame, golden: DataFrame) -> DataFrame:
     return chat.join(golden.select("logs").distinct(), "logs", "left_semi").drop("logs")
 
 
-def _line_digest(lines) -> F.Column:
+def _line_digest(lines) -> Column:
     return F.sha2(F.to_json(F.struct(lines.alias("l"))), 256)
 
 
-def _golden_digest() -> F.Column:
+def _golden_digest() -> Column:
     return _line_digest(F.transform(F.col("log_samples"), X.normalize_message))
 
 

@@ -117,7 +117,6 @@ def to_scenarios(
     j = w.join(pools, ["coarse", "matched"]).filter(
         F.pmod(F.col("index"), F.col("size")) == F.col("pos"))
     sign = F.when(F.col("matched"), "pos").otherwise("neg")
-    label = lambda k, v: (F.lit(k), v)
     return j.select(
         F.format_string("replay-%s-%03d", sign, F.col("index")).alias("name"),
         F.lit("").alias("question"), F.lit("").alias("rubric"), F.lit("prod-replay").alias("source"),
@@ -125,8 +124,8 @@ def to_scenarios(
             F.col("name").alias("alertname"), F.col("severity"),
             F.format_string("replay-%s-%d", sign, F.col("index")).alias("fingerprint"),
             F.col("summary"), F.col("description"),
-            F.create_map(*label("alertname", F.col("name")), *label("severity", F.col("severity")),
-                         *label("job", F.lit("prod-app"))).alias("labels")).alias("alert"),
+            F.create_map(F.lit("alertname"), F.col("name"), F.lit("severity"), F.col("severity"),
+                         F.lit("job"), F.lit("prod-app")).alias("labels")).alias("alert"),
         F.col("samples").alias("log_samples"), F.lit("prod").alias("log_environment"),
         F.when(F.col("matched"), "").otherwise(K.NO).alias("expected"),
         "index", (~F.col("matched")).alias("negative"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as K
-from ..functions import jsontext as J
 from ..functions.ordering import hash_rank
 from ..schemas import GREEDY
 from ..session import materialize

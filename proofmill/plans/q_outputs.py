@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as K
 from ..functions import jsontext as J
-from ..operators import metrics as M, outputs as O, probes, prompts as P, replay, rules as V, stats as S, training as T
+from ..functions.text import render_rule
+from ..operators import metrics as M, outputs as O, prompts as P, replay
 from ..sources import readers, sinks
 from . import bridge as B
-from .oracle import evaluated, prompt, q, sql
+from .oracle import q, sql
 from .registry import joined, query, r6, scratch
 
 
@@ -69,7 +70,6 @@ def load_log_lines(spark, sf):
 SELECT name, CASE WHEN seq % 3 <> 0 THEN severity END AS severity, summary AS rendered FROM b_last_rule""", "b_last_rule"))
 def load_rules(spark, sf):
     last = replay.last_rule_per_name(B.rules(spark, sf))
-    from ..functions.text import render_rule
     return last.select("name", "severity", render_rule(F.col("summary")).alias("rendered"))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M, outputs as O, prompts as P, training as T
+from ..operators import metrics as M, outputs as O, training as T
 from ..sources import sinks
 from . import bridge as B
 from .oracle import sql
-from .q_outputs import _ids, fact
+from .q_outputs import _ids
 from .registry import query, r6, scratch
 
 

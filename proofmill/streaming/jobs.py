@@ -12,7 +12,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as K
-from ..functions import text as X
 from ..operators import dedup, outputs as O, replay
 
 _LINES = "bucket long, ts timestamp, ts_ns long, seq long, line string"

@@ -5,7 +5,7 @@ from conftest import scenario
 from pyspark.sql import functions as F
 
 from proofmill import schemas
-from proofmill.operators import dedup as D, probes as PR, prompts as P, replay as R, training as T
+from proofmill.operators import probes as PR, prompts as P, replay as R, training as T
 from proofmill.sources import readers, sinks
 from proofmill.streaming import jobs
 
