@@ -42,26 +42,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
-def sample_by_label(labelled: DataFrame, label: str, per_class: int, seed: int = 0) -> DataFrame:
-    """At most ``per_class`` rows of each label 0 and 1, the ones of the smallest id hashes.
+def clear_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of documents with one clear label.
 
-    The bound is the parameter; the choice does not depend on partitioning.
+    Repeated labels of a document that agree count once; a document whose labels disagree is
+    left out, as are null ids and labels other than 0 and 1.
     """
-    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
-    parts = [labelled.where(F.col(label) == v).orderBy(*order).limit(per_class) for v in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
+            .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
+            .where("_lo = _hi").select("doc_id", F.col("_lo").cast("int").alias(label)))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of documents with one clear label.
+def sample_by(rows: DataFrame, column: str, per_value: int, seed: int = 0) -> tuple[DataFrame, dict]:
+    """About ``per_value`` rows of each value of ``column``, and the count of every value.
 
-    Repeated labels of a document that agree count once; a document whose labels disagree is
-    left out, as are null ids and null labels.
+    A row is taken if the hash of its id falls below ``per_value`` over its value's count, so
+    the choice needs no sort, depends on no partitioning, and has that size at any input size.
     """
-    clear = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
-             .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-             .where("_lo = _hi").select("doc_id", F.col("_lo").cast("int").alias(label)))
-    return docs.select("doc_id", text_of().alias("text")).join(clear, "doc_id")
+    counts = {r[column]: r["n"] for r in rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    chance = F.lit(0.0)
+    for value, n in sorted(counts.items()):
+        chance = F.when(F.col(column) == value, F.lit(min(1.0, per_value / n))).otherwise(chance)
+    return rows.where(place < chance), counts
 
 
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

@@ -8,8 +8,8 @@ are broadcast, and every document takes the exact cosine with every one of them,
 The ``NEIGHBOURS`` most similar vote with their similarity as weight.
 
 Defined cases: null and empty texts and texts without a term have no direction; they score
-the share of label 1 among all labelled training rows; ties in similarity go to the earlier
-labelled row, in order of id hash; repeated rows get equal scores; without a labelled row
+the share of label 1 among all training labels; ties in similarity go to the earlier labelled
+row, by label and id; repeated rows get equal scores; without a labelled row
 every score is 0.5; a sample of one label scores that label; an empty table gives no row.
 """
 
@@ -22,9 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, labelled_texts, sample_by_label, small_batches, text_of
+from .common import clear_labels, fold, sample_by, small_batches, text_of
 
-#: Labelled documents of each label that the model is fitted on.
+#: Labelled documents of each label, about, that the model is fitted on.
 PER_CLASS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -122,12 +122,13 @@ def _top(cosines: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(cosines), k)
 
 
-def fit(labelled: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
+def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
         dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Model:
-    """The model of (doc_id, text, label) rows; reads all for the prior, a bounded sample to fit."""
-    small_batches(labelled.sparkSession)
-    share = labelled.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    prior = 0.5 if share is None else float(share)
+    """The model of documents and their (doc_id, label) rows: all count for the prior, a bounded
+    sample of them brings its texts."""
+    small_batches(docs.sparkSession)
+    picked, counts = sample_by(labelled, label, per_class)
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
 
     @F.pandas_udf("struct<at:binary,weight:binary>")
     def featurize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -136,7 +137,7 @@ def fit(labelled: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
             yield pd.DataFrame({"at": [a.astype("<i4").tobytes() for a, _ in found],
                                 "weight": [w.astype("<f4").tobytes() for _, w in found]})
 
-    sample = sample_by_label(labelled, label, per_class)
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
     rows = sample.select("doc_id", label, featurize("text").alias("f")).collect()
     rows.sort(key=lambda r: (r[label], r["doc_id"]))
     matrix = np.zeros((len(rows), TERMS), dtype=np.float32)
@@ -175,14 +176,14 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
     return docs.withColumn(score, judge(text_of()))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fold."""
-    return labelled_texts(docs, labels, "quality").where(fold("doc_id", 4) != 2)
+def training_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) outside the held-out fold."""
+    return clear_labels(labels, "quality").where(fold("doc_id", 4) != 2)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = fit(training_rows(docs, labels))
+    model = fit(docs, training_rows(labels))
     rows = with_score(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
                        (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -190,6 +191,6 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns only."""
-    model = fit(training_rows(docs, labels))
+    model = fit(docs, training_rows(labels))
     kept = with_score(docs, model, "__quality_score").where(F.col("__quality_score") >= threshold)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, secrets, simhash
+from . import exact_dedup, language, packing, quality, secrets, simhash, url_trust
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_url_trust", url_trust.oracle())
+def urls(spark, sf_dir):
+    return url_trust.verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op3_language")
+def languages(spark, sf_dir):
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 @query("op2_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

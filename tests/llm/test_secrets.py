@@ -76,7 +76,7 @@ def test_cheap_values_stay_and_dear_ones_are_found():
     text = "é the pwd is Zx9!kQ2#vL. my password is thorinat, thorinat"
     assert [s[:3] for s in secrets.scan(text)] == [("guess", 13, 23)]
     # group 2 of the assignment is too short, the wider context takes the value whole
-    assert [s[:3] for s in secrets.scan("password=Zx9!kQ2#vLmmmm")] == [("guess", 9, 24)]
+    assert [s[:3] for s in secrets.scan("password=Zx9!kQ2#vLmmmm")] == [("guess", 9, 23)]
 
 
 def test_rows_and_redaction(documents):
