@@ -19,6 +19,7 @@ get a place of their own; an empty table gives no piece; other columns are not r
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Parts whose ids a worker keeps.
 KEPT_PARTS = 400_000
 
-#: A Latin word and at most one closing sign: the sign is a token run of its own.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)\Z")
+#: A Latin word and the signs behind it: each is one run for the pre-tokeniser. The capital I
+#: with a dot is left out, its lower case is no longer a run of letters.
+_WORD = re.compile(r"""([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)\Z""")
 _BLANKS = str.maketrans("\n\t\r", "   ")
 _tokenizers: dict[str, "PartIds"] = {}
 
@@ -45,42 +47,56 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PartIds:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by way of their parts."""
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others in order from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
+class PartIds(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes, by way of a table of their parts.
+
+    The table keeps the parts seen last: once it holds ``kept`` it becomes the older half, from
+    which parts move up as they are met again, and the half before it is let go.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         from tokenizers import Tokenizer
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept = kept
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_BLANKS).split(" ") if "\t" in t or "\r" in t
-                 else t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = {p for parts in split for p in parts if p not in known}
-        if len(known) + len(fresh) > self.kept:
-            self.known = known = {"": b""}
-            fresh = {p for parts in split for p in parts}
-            fresh.discard("")
-        self._learn(fresh)
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
-
-    def _learn(self, fresh: set[str]) -> None:
-        known, simple = self.known, {}
-        ask = set()
-        for part in fresh:
+        self.word = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.kept = kept // 2
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        if (found := self.older.get(part)) is None:
             if m := _WORD.match(part):
-                # a run of letters is one pre-token and the vocabulary is lower case
-                simple[part] = m[1].lower(), m[2]
-                ask.update(x for x in simple[part] if x not in known)
+                # letters are one run and the vocabulary is lower case
+                found = self._run(m[1].lower()) + (self[m[2]] if m[2] else b"")
             else:
-                ask.add(part)
-        asked = list(ask)
-        for part, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
-            known[part] = np.array(found.ids, dtype="<u4").tobytes()
-        for part, (word, sign) in simple.items():
-            known[part] = known[word] + known[sign]
+                found = _pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+        self[part] = found
+        return found
+
+    def _run(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return _pack([t.id for t in self.word(word)])
+
+    def encode(self, text: str) -> bytes:
+        text = text.translate(_BLANKS) if "\t" in text or "\r" in text else text.replace("\n", " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def part_ids(path: str) -> PartIds:
@@ -104,8 +120,8 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [found + end for found in
-                   part_ids(path).encode([t or "" for t in batch.column(1).to_pylist()])]
+            encode_text = part_ids(path).encode
+            ids = [encode_text(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
             places = at + np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(ids) else sizes
             at += int(sizes.sum())
