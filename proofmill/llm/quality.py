@@ -140,24 +140,27 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", per_class:
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
     rows = sample.select("doc_id", label, featurize("text").alias("f")).collect()
     rows.sort(key=lambda r: (r[label], r["doc_id"]))
-    matrix = np.zeros((len(rows), TERMS), dtype=np.float32)
+    at = [np.frombuffer(r["f"]["at"], "<i4") for r in rows]
+    used = np.unique(np.concatenate(at)) if at else np.empty(0, np.int64)
+    # only terms that some sampled document has get a column
+    matrix = np.zeros((len(rows), len(used)), dtype=np.float32)
     for i, r in enumerate(rows):
-        matrix[i, np.frombuffer(r["f"]["at"], "<i4")] = np.frombuffer(r["f"]["weight"], "<f4")
-    keep = np.linalg.norm(matrix, axis=1) > 0 if len(rows) else np.zeros(0, bool)
+        matrix[i, np.searchsorted(used, at[i])] = np.frombuffer(r["f"]["weight"], "<f4")
+    keep = (matrix > 0).any(axis=1)
     matrix, labels = matrix[keep], np.array([r[label] for r in rows], dtype=np.float64)[keep]
+    del rows, at
     if not len(labels):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior, neighbours)
     idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 1
-    used = np.flatnonzero((matrix > 0).any(axis=0))
-    weighted = matrix[:, used] * idf[used]
+    matrix *= idf
     # the small side's Gram matrix gives the singular vectors
-    values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+    values, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
     top = np.argsort(-values)[:dimensions]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)]
-    right = weighted.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
+    right = matrix.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
     project = np.zeros((TERMS, len(top)), dtype=np.float32)
-    project[used] = right * idf[used][:, None]
-    vectors = matrix @ project
+    project[used] = right * idf[:, None]
+    vectors = matrix @ right
     lengths = np.linalg.norm(vectors, axis=1)
     keep = lengths > 1e-12
     return Model(project, (vectors[keep] / lengths[keep, None]).astype(np.float32), labels[keep], prior, neighbours)
