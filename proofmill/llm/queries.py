@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, packing, quality, secrets, simhash, toxicity, url_trust
+from . import exact_dedup, language, neighbours, packing, quality, secrets, simhash, toxicity, url_trust
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def packed(spark, sf_dir):
     return packing.piece_rows(table(spark, sf_dir, "documents"))
 
 
+@query("op5_neighbours")
+def nearest_vectors(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_simhash")
 def near_copies(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
