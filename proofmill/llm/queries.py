@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, packing, quality, secrets, simhash, toxicity, url_trust
+from . import exact_dedup, language, neighbours, packing, piece_codec, quality, secrets, simhash, toxicity, url_trust
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def toxic_scores(spark, sf_dir):
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_piece_codec")
+def piece_ids(spark, sf_dir):
+    return piece_codec.digest_rows(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality")
 def quality_scores(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
