@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import reused
 
 _HEX = 4  # 16^4 = 65,536 hash buckets
 
@@ -36,11 +36,11 @@ def running_totals(
 
     A range-partitioned sort spreads even a single repeated score over many partitions,
     because the order ends in a unique column. Each partition is summed on its own and
-    shifted by the sums of the partitions before it, one row per partition. The sorted
-    rows are checkpointed once, so that both uses see the same partition bounds.
+    shifted by the sums of the partitions before it, one row per partition. The placed
+    rows are kept, so that both uses see the same partition bounds.
     """
     placed = df.select("*", *[c.alias(f"__v_{name}") for name, c in totals.items()])
-    placed = materialize(placed.repartitionByRange(*order).withColumn(
+    placed = reused(placed.repartitionByRange(*order).withColumn(
         "__part", F.spark_partition_id()))
     per_part = placed.groupBy("__part").agg(
         *[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in totals])
@@ -67,9 +67,9 @@ def share_by_key(
     """Left-join one summary row per key back onto the rows when few keys may be huge.
 
     The ``hot`` most frequent keys (a fixed number of rows) are broadcast, so their rows
-    never move. Any other key holds less than 1/``hot`` of the table and goes through an
-    ordinary join; rows already served are spread by ``spread`` so that they do not meet
-    in one partition.
+    are served at once. Any other key holds less than 1/``hot`` of the table and goes through
+    an ordinary join; rows already served, and rows with a null key, which match nothing, are
+    spread by ``spread`` so that they do not meet in one partition.
     """
     values = [c for c in summary.columns if c not in keys]
     top = summary.orderBy(F.desc(count), *keys).limit(hot)
@@ -77,6 +77,8 @@ def share_by_key(
                      F.lit(True).alias("__served"))
     step = rows.join(F.broadcast(top), keys, "left")
     served = F.coalesce(F.col("__served"), F.lit(False))
+    for k in keys:
+        served = served | F.col(k).isNull()
     step = step.withColumn("__spread", F.when(served, spread.cast("string")).otherwise(F.lit("")))
     cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys],
                           *[F.col(c).alias(f"__cold_{c}") for c in values],

@@ -8,7 +8,7 @@ from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
 from ..functions.stage import once
-from ..session import materialize
+from ..session import reused
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -85,7 +85,7 @@ def train_valid_leaks(chat: DataFrame) -> DataFrame:
     """Validation rows whose prompt signature also occurs in training."""
     signed = chat
     if "signature" not in chat.columns:
-        signed = materialize(once(chat, signature=prompt_signature(F.col("user"))).drop("user"))
+        signed = reused(once(chat, signature=prompt_signature(F.col("user"))).drop("user"))
     train = signed.filter(F.col("split") == "train").select("signature").distinct()
     return signed.filter(F.col("split") == "valid").join(train, "signature", "left_semi").drop(
         "signature")
@@ -120,28 +120,39 @@ def shared_lines(rows: DataFrame, golden: DataFrame, lines: str = "log_samples")
 
 
 def audit_summary(candidates: DataFrame, golden: DataFrame, chat: DataFrame) -> DataFrame:
-    """Problems found by each of the four audits, plus their total and the exit status."""
-    # one pass over each wide table; the checks read digests
-    cand = materialize(with_signature(candidates).select("seq", "name", "signature"))
-    gold = materialize(with_signature(golden).select(
-        "seq", "name", "signature", _golden_digest().alias("logs")))
-    chat = materialize(once(
-        chat, signature=prompt_signature(F.col("user")),
-        logs=_line_digest(prompt_log_lines(F.col("user")))).drop("user"))
-    checks = [
-        ("internal_duplicate", find_duplicates(cand)),
-        ("golden_overlap", find_duplicates(cand, gold).filter(F.col("partner_side") == "against")),
-        ("train_valid_leak", train_valid_leaks(chat)),
-        ("golden_in_training", contaminated_prompts(chat, gold)),
+    """Problems found by each of the four audits, plus their total and the exit status.
+
+    Every row turns into the keys it is compared by, with its role. One grouping by key, which
+    counts map-side, answers all four: copies among candidates, candidates equal to a golden
+    scenario, validation prompts that are in training, and golden log lines in prompts.
+    """
+    entry = lambda kind, key, role: F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), role.alias("role"))
+    signature = F.col("signature")
+    sides = [
+        with_signature(candidates).select(F.array(entry("content", signature, F.lit("candidate"))).alias("keys")),
+        with_signature(golden).select(F.array(
+            entry("content", signature, F.lit("golden")),
+            entry("lines", _golden_digest(), F.lit("golden"))).alias("keys")),
+        chat.select(F.array(
+            entry("prompt", prompt_signature(F.col("user")), F.col("split")),
+            entry("lines", _line_digest(prompt_log_lines(F.col("user"))), F.lit("chat"))).alias("keys")),
     ]
-    counts = None
-    for name, found in checks:
-        row = found.agg(F.count(F.lit(1)).alias("problems")).select(F.lit(name).alias("check"), "problems")
-        counts = row if counts is None else counts.unionByName(row)
-    total = counts.rollup("check").agg(F.sum("problems").alias("problems"))
-    return total.select(
-        F.coalesce("check", F.lit("total")).alias("check"), "problems",
-        F.when(F.col("problems") > 0, 1).otherwise(0).alias("status"))
+    keys = sides[0].unionByName(sides[1]).unionByName(sides[2]).select(F.explode("keys").alias("k"))
+    n = lambda role: F.count_if(F.col("k.role") == role).alias(f"n_{role}")
+    per = keys.groupBy("k.kind", "k.key").agg(*[n(r) for r in ("candidate", "golden", "train", "valid", "chat")])
+    when = lambda kind, met, value: F.coalesce(
+        F.sum(F.when((F.col("kind") == kind) & met, value)), F.lit(0).cast("long"))
+    found = per.agg(
+        when("content", F.col("n_candidate") > 1, F.col("n_candidate") - 1).alias("internal_duplicate"),
+        when("content", F.col("n_golden") > 0, F.col("n_candidate")).alias("golden_overlap"),
+        when("prompt", F.col("n_train") > 0, F.col("n_valid")).alias("train_valid_leak"),
+        when("lines", F.col("n_golden") > 0, F.col("n_chat")).alias("golden_in_training"))
+    total = sum((F.col(c) for c in found.columns), F.lit(0).cast("long"))
+    report = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("problems")) for c in found.columns],
+                     F.struct(F.lit("total").alias("check"), total.alias("problems")))
+    return found.select(F.explode(report).alias("r")).select(
+        "r.check", "r.problems", F.when(F.col("r.problems") > 0, 1).otherwise(0).alias("status"))
 
 
 def existing_names(*tables: DataFrame) -> DataFrame:

@@ -278,8 +278,16 @@ def with_reward(rows: DataFrame, spec: RewardSpec = RewardSpec()) -> DataFrame:
 
 
 def attach_scenarios(outputs: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """outputs x scenario columns by name; outputs without a scenario keep nulls."""
+    """outputs x scenario columns by name; outputs without a scenario keep nulls.
+
+    Of scenarios with one name the last by ``seq`` (or ``file``) counts. The grouping has the
+    key of the join, so it costs no shuffle of its own.
+    """
     s = with_expectation(scenarios) if "expects_yes" not in scenarios.columns else scenarios
+    order = next((c for c in ("seq", "file") if c in s.columns), None)
+    if order is not None:
+        s = s.groupBy("name").agg(F.max_by(F.struct(*[c for c in s.columns if c != "name"]), order).alias("__last")).select(
+            "name", "__last.*")
     return outputs.join(s.withColumnRenamed("name", "scenario"), "scenario", "left")
 
 

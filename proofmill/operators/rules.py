@@ -14,7 +14,7 @@ from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
 from ..functions.stage import once
-from ..session import materialize
+from ..session import reused
 from . import dedup
 
 
@@ -247,8 +247,11 @@ def duplicate_contents(candidates: DataFrame, existing: DataFrame | None = None)
 
 
 def _is_whole() -> Column:
-    return F.size(F.array_except(
-        F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))) == 0
+    """All required fields are there, those of the alert included."""
+    fields = F.size(F.array_except(F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))) == 0
+    for key in K.ALERT_FIELDS:
+        fields = fields & F.col("alert")[key].isNotNull()
+    return fields
 
 
 def _with_content(rows: DataFrame, signed: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -273,10 +276,10 @@ def validate(
     readable = base.filter(~F.col("unreadable")).drop("unreadable")
     # one pass over the wide rows; both duplicate checks then read narrow ones
     row = dedup.with_signature(validate_rows(readable, catalog))
-    row = materialize(row.select(
+    row = reused(row.select(
         "seq", "name", "signature", _is_whole().alias("whole"), *[f"v_{n}" for n in ROW_VALIDATORS]))
     if existing is not None:
-        existing = materialize(dedup.with_signature(existing).select("seq", "name", "signature"))
+        existing = reused(dedup.with_signature(existing).select("seq", "name", "signature"))
     names = [*ROW_VALIDATORS, "duplicate", "duplicate-content"]
     checked = duplicate_names(row, existing, within_batch)
     checked = _with_content(checked, row.filter("whole"), existing)
@@ -295,9 +298,13 @@ def is_clean(failures: Column) -> Column:
 
 
 def screen(validated: DataFrame, screens: DataFrame) -> DataFrame:
-    """Adds a ``screen`` failure to clean candidates that the screener found contradictory."""
-    verdicts = screens.filter("contradiction").select(
-        "name", F.coalesce("reason", F.lit("")).alias("__reason"))
+    """Adds a ``screen`` failure to clean candidates that the screener found contradictory.
+
+    Several verdicts of one name count as one: any contradiction holds, the first reason in
+    alphabetical order is shown.
+    """
+    verdicts = screens.filter("contradiction").groupBy("name").agg(
+        F.coalesce(F.min("reason"), F.lit("")).alias("__reason"))
     # rejected rows skip the join: its key is null for them
     keyed = validated.withColumn(
         "__k", F.when(is_clean(F.col("failures")), F.col("name")))

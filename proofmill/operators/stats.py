@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as K
 from ..functions.ordering import hash_rank, running_totals
 from ..schemas import GREEDY
-from ..session import materialize
+from ..session import reused
 
 
 def load_arm(scores: DataFrame, arm: str) -> DataFrame:
@@ -23,7 +23,11 @@ def paired_diff(a: DataFrame, b: DataFrame, clusters: DataFrame | None = None) -
     both = side(a, "a").unionByName(side(b, "b")).groupBy("scenario").agg(
         at("a").alias("a"), at("b").alias("b"))
     both = both.select("scenario", "a", "b", _checked_diff().alias("diff"))
-    return both if clusters is None else both.join(clusters, "scenario")
+    if clusters is None:
+        return both
+    known = both.join(clusters, "scenario", "left")
+    return known.withColumn("cluster", F.coalesce("cluster", F.raise_error(
+        F.concat(F.lit("scenario without a cluster: "), F.col("scenario"))).cast("string")))
 
 
 def _checked_diff() -> Column:
@@ -69,22 +73,34 @@ def paired_counts(scores: DataFrame, before: str, after: str) -> DataFrame:
 def mcnemar_p(better: Column, worse: Column) -> Column:
     """Exact two-sided binomial p-value.
 
-    Works on ln C(n,i) - n ln 2, carried from i to i+1, and adds the terms relative to the
-    largest one (the last), so a large n does not underflow before the end.
+    The largest term, C(n,k) / 2^n, comes from a series for the factorial's logarithm. The
+    others are added downward relative to it; beyond 5 sqrt(n) steps they no longer change a
+    double, so any number of pairs needs that many steps at most.
     """
     n = (better + worse).cast("double")
-    k = F.least(better, worse).cast("int")
-    ln2 = F.lit(0.6931471805599453)
-    first = F.struct((-n * ln2).alias("ln"), F.lit(1.0).alias("sum"))
+    k = F.least(better, worse).cast("double")
+    top = F.exp(_ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k) - n * F.lit(0.6931471805599453))
+    last = F.least(k, F.ceil(5 * F.sqrt(n)) + 40).cast("long")
 
-    def add(acc: Column, i: Column) -> Column:
-        ratio = (n - i + 1) / i  # C(n,i) / C(n,i-1)
-        return F.struct(
-            (acc["ln"] + F.log(ratio)).alias("ln"), (acc["sum"] / ratio + 1.0).alias("sum"))
+    def add(acc: Column, step: Column) -> Column:
+        i = k - step + 1
+        term = acc["term"] * i / (n - i + 1)  # C(n,i-1) / C(n,i)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(steps, first, add, lambda acc: F.exp(acc["ln"]) * acc["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    steps = F.when(last >= 1, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    tail = F.aggregate(steps, start, add, lambda acc: acc["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * top * tail))
+
+
+def _ln_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series, eight places further up, where it is exact to a double."""
+    z = x + 9
+    below = F.lit(0.0)
+    for i in range(1, 9):
+        below = below + F.log(x + i)
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5)))
+    return (z - 0.5) * F.log(z) - z + F.lit(0.9189385332046727) + series - below
 
 
 def mcnemar(counts: DataFrame) -> DataFrame:
@@ -107,11 +123,11 @@ def paired_bootstrap(
 
     ``pairs`` has ``diff`` and the ``unit`` column, optionally grouping columns ``by``.
     Units shrink to (sum, count) first. Draw j of iteration t takes unit number
-    ``md5(seed:t:j) mod k``: draws are rows, made on the executors, and a re-run task makes
-    the same ones. Means are summed per iteration with partial aggregation.
+    ``md5(seed:t:j) mod k``, of the digest's first 60 bits: draws are rows, made on the
+    executors, and a re-run task makes the same ones. Means are summed per iteration with partial aggregation.
     """
     by = by or []
-    units = materialize(pairs.groupBy(*by, unit).agg(
+    units = reused(pairs.groupBy(*by, unit).agg(
         F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c")))
     numbered = hash_rank(units, F.col(unit), "idx", by).select(
         *by, (F.col("idx") - 1).alias("idx"), "s", "c")
@@ -129,7 +145,7 @@ def paired_bootstrap(
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"),
                                F.col("j").cast("string")))
     draws = draws.withColumn(
-        "idx", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("k")))
+        "idx", F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.col("k")))
     means = draws.join(numbered, [*by, "idx"]).groupBy(*by, "t").agg(
         (F.sum("s") / F.sum("c")).alias("mean"))
     spread = means.groupBy(*by).agg(

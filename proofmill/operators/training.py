@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed_values as K
 from ..functions.ordering import hash_rank
 from ..schemas import GREEDY
-from ..session import materialize
+from ..session import reused
 from . import outputs as O, prompts as P
 
 
@@ -175,7 +175,7 @@ def train_valid_split(
 ) -> DataFrame:
     """Adds ``split``: the first max(1, floor(n * ratio)) samples in seeded hash order of
     their name are for validation."""
-    samples = materialize(samples)  # counted, ranked and sized: computed once
+    samples = reused(samples)  # counted, ranked and sized: computed once
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank")
     size = samples.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio)))).scalar()
     return ranked.withColumn(
@@ -187,7 +187,7 @@ def mix_ratio(samples: DataFrame, yes_share: float, seed: int = 20260826) -> Dat
 
     ``samples`` has name and expects_yes.
     """
-    samples = materialize(samples)
+    samples = reused(samples)
     ranked = hash_rank(samples, F.concat_ws(":", F.lit(str(seed)), "name"), "__rank", ["expects_yes"])
     yes, no = F.count_if("expects_yes"), F.count_if(~F.col("expects_yes"))
     total = samples.agg(F.least(

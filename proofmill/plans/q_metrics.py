@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as K
 from ..operators import metrics as M, outputs as O, probes as PR, stats as S
-from ..session import materialize
+from ..session import reused
 from . import bridge as B
 from .oracle import q, sql
 from .q_outputs import fact
@@ -162,7 +162,7 @@ def _boot(unit: str, iters: int) -> str:
 WITH d AS ({_PAIRS}), u AS (SELECT {unit} AS unit, sum(diff) AS s, count(*) AS c FROM d GROUP BY 1),
 n AS (SELECT row_number() OVER (ORDER BY md5(unit)) - 1 AS idx, s, c FROM u),
 k AS (SELECT count(*) AS k, sum(c) AS n, sum(s) / sum(c) AS observed FROM u),
-w AS (SELECT t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 8)) AS BIGINT) % k AS idx
+w AS (SELECT t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 15)) AS BIGINT) % k AS idx
       FROM k, range(1, {iters} + 1) a(t), range(1, CAST(k.k AS BIGINT) + 1) b(j)),
 m AS (SELECT t, sum(s) / sum(c) AS mean FROM w JOIN n USING (idx) GROUP BY t),
 r AS (SELECT stddev_samp(mean) AS se, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m),
@@ -200,7 +200,7 @@ WITH d AS (SELECT p.*, {_SIZE} AS size FROM ({_PAIRS}) p JOIN (SELECT name, len(
 u AS (SELECT size, cluster AS unit, sum(diff) AS s, count(*) AS c FROM d GROUP BY 1, 2),
 n AS (SELECT size, row_number() OVER (PARTITION BY size ORDER BY md5(unit)) - 1 AS idx, s, c FROM u),
 k AS (SELECT size, count(*) AS k, sum(c) AS n, sum(s) / sum(c) AS observed FROM u GROUP BY 1),
-w AS (SELECT size, t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 8)) AS BIGINT) % k AS idx
+w AS (SELECT size, t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 15)) AS BIGINT) % k AS idx
       FROM k, range(1, 2001) a(t), range(1, CAST(k.k AS BIGINT) + 1) b(j)),
 m AS (SELECT size, t, sum(s) / sum(c) AS mean FROM w JOIN n USING (size, idx) GROUP BY 1, 2),
 r AS (SELECT size, 2.8::DOUBLE * stddev_samp(mean) AS mde FROM m GROUP BY 1),
@@ -214,7 +214,7 @@ def _size_verdicts(spark, sf):
     size = B.scenarios(spark, sf).select(
         F.col("name").alias("scenario"),
         F.when(n <= 2, "small").when(n <= 6, "medium").otherwise("large").alias("size"))
-    pairs = materialize(_pairs(spark, sf).join(size, "scenario"))
+    pairs = reused(_pairs(spark, sf).join(size, "scenario"))
     boot = S.paired_bootstrap(pairs, iters=2000, by=["size"])
     failures = pairs.groupBy("size").agg(F.count_if("after_failed").alias("parse_failures"))
     return S.effect_verdict(S.with_power(boot).join(failures, "size"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings: UTC, adaptive plans, and splitting of skewed join partitions."""
@@ -21,10 +23,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(rows):
-    """Rows computed once and kept in the shared checkpoint folder; later plans start there."""
-    checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+def reused(rows: DataFrame) -> DataFrame:
+    """Rows that several branches of a plan read: kept on the executors' disks from the first
+    job that needs them. No job runs before, and parts lost with an executor are made again."""
+    return rows.persist(StorageLevel.DISK_ONLY)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

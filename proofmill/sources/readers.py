@@ -12,17 +12,6 @@ from ..functions.ordering import running_totals
 from ..schemas import SCENARIO_FILE
 
 
-def spread(rows: DataFrame, *key: str) -> DataFrame:
-    """A small input spread evenly over all cores.
-
-    Small means at most two splits per core: its few row groups may sit in one of them, and
-    parsing and pattern work cost far more than moving such an input once. A large input
-    has many splits per core and stays where it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() <= 2 * cores else rows
-
-
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """One row per file: its name and text."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(
@@ -34,7 +23,8 @@ def _fields(raw: Column) -> Column:
 
 
 def parse_scenario_files(files: DataFrame) -> DataFrame:
-    """(file, raw) -> scenario columns plus the top-level keys that are ``present``.
+    """(file, raw) -> scenario columns plus the top-level keys that are ``present`` and those
+    of the alert, ``alert_present``.
 
     ``unreadable`` marks text that is not one JSON object; its fields are null.
     """
@@ -52,6 +42,7 @@ def parse_scenario_files(files: DataFrame) -> DataFrame:
         s["logSamples"].alias("log_samples"), s["logEnvironment"].alias("log_environment"),
         F.coalesce(s["expected"], F.lit("")).alias("expected"), s["axis"].alias("axis"),
         F.when(F.col("__ok"), F.json_object_keys("raw")).otherwise(empty).alias("present"),
+        F.coalesce(F.json_object_keys(F.get_json_object("raw", "$.alert")), empty).alias("alert_present"),
         (~F.col("__ok")).alias("unreadable"))
 
 
@@ -65,12 +56,19 @@ def load_scenarios(spark: SparkSession, path: str) -> DataFrame:
     if files.isEmpty():
         raise FileNotFoundError(f"no scenario files in {path}")
     rows = parse_scenario_files(files)
-    missing = F.array_except(F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))
+    missing = missing_fields()
     checked = F.when(
         F.col("unreadable") | (F.size(missing) > 0),
         F.raise_error(F.concat(F.col("file"), F.lit(": missing "), F.array_join(missing, ", ")))
         .cast("string")).otherwise(F.col("name"))
-    return rows.withColumn("name", checked).drop("present", "unreadable", "axis")
+    return rows.withColumn("name", checked).drop("present", "alert_present", "unreadable", "axis")
+
+
+def missing_fields() -> Column:
+    """Required fields that a parsed file lacks, those of its alert as ``alert.<field>``."""
+    top = F.array_except(F.array(*[F.lit(k) for k in K.REQUIRED_FIELDS]), F.col("present"))
+    alert = F.array_except(F.array(*[F.lit(k) for k in K.ALERT_FIELDS]), F.col("alert_present"))
+    return F.concat(top, F.transform(alert, lambda k: F.concat(F.lit("alert."), k)))
 
 
 def ingest_candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +84,8 @@ def with_seq(df: DataFrame, *order: str) -> DataFrame:
 
 
 def load_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log JSONL with ``ts`` (epoch ns, number or text) and ``line``; blank lines skipped.
+    """Log JSONL with ``ts`` (epoch ns, number or text) and ``line``; blank lines skipped, a
+    broken one is an error while the job runs.
 
     ``seq`` is the position (file, block of the file, place in the block), which decides
     between equal times without numbering the lines.
@@ -103,11 +102,26 @@ def _position() -> Column:
         F.monotonically_increasing_id().alias("at"))
 
 
-def parse_log_lines(rows: DataFrame) -> DataFrame:
-    """(value, pos) -> (pos, ts_ns, line)."""
+def parse_log_lines(rows: DataFrame, keep_broken: bool = False) -> DataFrame:
+    """(value, pos) -> (pos, ts_ns, line).
+
+    A line that is no JSON object with both fields is an error while the job runs. With
+    ``keep_broken`` it stays as a row of nulls, and a column ``broken`` tells.
+    """
     fields = F.from_json("value", "ts string, line string")
-    return rows.filter(F.col("value").rlike(r"(?U)\S")).withColumn("j", fields).select(
-        "pos", F.col("j.ts").cast("long").alias("ts_ns"), F.col("j.line").alias("line"))
+    step = rows.filter(F.col("value").rlike(r"(?U)\S")).withColumn("j", fields).select(
+        "pos", "value", F.col("j.ts").try_cast("long").alias("ts_ns"), F.col("j.line").alias("line"))
+    broken = F.try_parse_json("value").isNull() | F.col("ts_ns").isNull() | F.col("line").isNull()
+    step = step.withColumn("broken", broken)
+    if keep_broken:
+        known = lambda c: F.when(~F.col("broken"), F.col(c)).alias(c)
+        return step.select("pos", known("ts_ns"), known("line"), "broken")
+    return step.select("pos", "ts_ns", _or_raise(F.col("line"), F.col("broken"), "log line").alias("line"))
+
+
+def _or_raise(value: Column, broken: Column, what: str) -> Column:
+    return F.when(broken, F.raise_error(F.concat(F.lit(f"broken {what}: "), F.substr("value", F.lit(1), F.lit(200))))
+                  .cast("string")).otherwise(value)
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -168,28 +182,33 @@ def load_sampling_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_chat(spark: SparkSession, path: str) -> DataFrame:
-    """``train.jsonl`` and ``valid.jsonl`` as (split, split_order, line_no, user, assistant)."""
-    text = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
+    """``train.jsonl`` and ``valid.jsonl``, or the folders that ``write_chat`` makes, as
+    (split, split_order, line_no, user, assistant). A line without messages is an error."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
     msgs = F.from_json("value", "struct<messages array<struct<role string, content string>>>")
     m = F.col("m.messages")
     rows = text.select(
-        msgs.alias("m"), F.regexp_extract("_metadata.file_name", r"^(\w+)", 1).alias("split"),
+        "value", msgs.alias("m"), F.regexp_extract(
+            "_metadata.file_path", r"(?:split=(?=(?:train|valid)/)|/(?=(?:train|valid)\.jsonl$))(train|valid)", 1).alias("split"),
         _position().alias("line_no"))
-    return rows.filter(F.col("split").isin("train", "valid")).select(
+    assistant = _or_raise(F.element_at(m, -1)["content"], F.coalesce(F.size(m), F.lit(0)) < 1, "chat line")
+    return rows.filter(F.col("split").isin("train", "valid") & F.col("value").rlike(r"(?U)\S")).select(
         "split", F.when(F.col("split") == "train", 0).otherwise(1).alias("split_order"), "line_no",
-        F.get(m, F.lit(1))["content"].alias("user"), F.element_at(m, -1)["content"].alias("assistant"))
+        F.get(m, F.lit(1))["content"].alias("user"), assistant.alias("assistant"))
 
 
 def load_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trial JSONL files; rows of another layout come with a null verdict."""
+    """Trial JSONL files; rows of another layout come with a null verdict, a line that is no
+    JSON is an error."""
     score = "struct<accuracy int, groundedness int, hallucination_detected boolean, verdict string, rationale string>"
     row = F.from_json("value", f"struct<scenario_name string, trial int, answer string, score {score}, "
                                "analyzer_latency_ms long, error string>")
     text = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
     return text.select(
-        F.col("_metadata.file_name").alias("file"), _position().alias("line_no"),
-        row.alias("r")).select(
-        "file", "line_no", F.col("r.scenario_name").alias("scenario"), "r.trial", "r.answer",
+        F.col("_metadata.file_name").alias("file"), _position().alias("line_no"), "value",
+        row.alias("r")).filter(F.col("value").rlike(r"(?U)\S")).select(
+        "file", "line_no", _or_raise(F.col("r.scenario_name"), F.try_parse_json("value").isNull(), "trial line")
+        .alias("scenario"), "r.trial", "r.answer",
         "r.score.accuracy", "r.score.groundedness", "r.score.hallucination_detected",
         "r.score.verdict", "r.score.rationale", F.col("r.analyzer_latency_ms").alias("latency_ms"),
         "r.error")
