@@ -84,6 +84,14 @@ def prompt_variants(scenarios: DataFrame, variants: PromptVariants) -> DataFrame
         "name", "v.variant", "v.system", "prompt")
 
 
+def judge_variants(results: DataFrame, variants: PromptVariants) -> DataFrame:
+    """Every judged answer with every variant of the judge's instruction:
+    (run, scenario, trial, variant, system, prompt). ``results`` has question and rubric."""
+    prompt = judge_prompt(F.col("question"), F.col("rubric"), F.col("answer"))
+    return results.withColumn("prompt", prompt).withColumn("v", F.explode(variants.column())).select(
+        "run", "scenario", "trial", "v.variant", "v.system", "prompt")
+
+
 def chat_messages(system: Column, user: Column, assistant: Column) -> Column:
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("system", system), turn("user", user), turn("assistant", assistant))

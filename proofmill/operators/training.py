@@ -49,6 +49,13 @@ def best_of_n(
                            .otherwise("accepted")).drop("__known")
 
 
+def rft_build(scored: DataFrame, scenarios: DataFrame, system: str, min_reward: float = K.PERFECT_REWARD) -> DataFrame:
+    """Chat samples of the accepted best outputs: (name, prompt, assistant, messages, expects_yes)."""
+    picked = O.with_expectation(best_of_n(scored, scenarios, min_reward).filter(F.col("reason") == "accepted"))
+    return P.chat_samples(picked, system).select(
+        F.col("scenario").alias("name"), "prompt", "assistant", "messages", "expects_yes")
+
+
 def rft_stats(picked: DataFrame) -> DataFrame:
     """Counts by reason and how many accepted ones beat the greedy answer."""
     return picked.groupBy("reason").agg(
@@ -74,11 +81,13 @@ def preference_pairs(
     scored: DataFrame, teacher: DataFrame, scenarios: DataFrame,
     min_margin: float = K.MIN_PREFERENCE_MARGIN,
 ) -> DataFrame:
-    """One row per sampled scenario: teacher answer over worst sample, or a drop reason.
+    """One row per sampled scenario: its prompt, the teacher's answer over the worst sample, or
+    a drop reason.
 
     reason: ``accepted``, ``no_teacher`` or ``small_margin``.
     """
-    s = O.with_expectation(scenarios).select(F.col("name").alias("scenario"), "expects_yes")
+    s = P.with_prompt(O.with_expectation(scenarios)).select(
+        F.col("name").alias("scenario"), "expects_yes", "prompt")
     rows = best_and_worst(scored).select("scenario", "worst").join(s, "scenario", "left").join(
         teacher, "scenario", "left")
     reason = (
@@ -86,7 +95,7 @@ def preference_pairs(
         .when(1.0 - F.col("worst.reward") < min_margin, "small_margin")
         .otherwise("accepted"))
     return rows.select(
-        "scenario", "expects_yes", reason.alias("reason"),
+        "scenario", "expects_yes", reason.alias("reason"), "prompt",
         F.col("assistant").alias("chosen"), F.col("worst.raw").alias("rejected"),
         (1.0 - F.col("worst.reward")).alias("margin"))
 

@@ -102,6 +102,15 @@ def validate_dup_content(spark, sf):
     return rows.select("seq", joined("v_duplicate-content").alias("reasons"))
 
 
+@query("validate_dup_content_incomplete", sql(_DUP_CONTENT.replace("b_candidate WHERE f <> 18", "b_candidate WHERE f <> 18 AND seq % 3 <> 0"),
+    "b_candidate", "b_scenario"))
+def validate_dup_content_incomplete(spark, sf):
+    """Candidates whose alert lacks a field register no content and match none."""
+    a = F.col("alert")
+    rows = B.candidates(spark, sf).withColumn("alert", a.withField("severity", F.when(F.col("seq") % 3 != 0, a["severity"])))
+    return V.duplicate_contents(rows, _existing(spark, sf)).select("seq", joined("v_duplicate-content").alias("reasons"))
+
+
 # ---- all validators ----------------------------------------------------------------------
 
 _ALL = f"""SELECT c.seq, c.name, {", ".join(f'{t} AS "{n}"' for n, t in _VALIDATE_SQL.items())}, dn.reasons AS duplicate, dc.reasons AS "duplicate-content"
@@ -139,12 +148,15 @@ def candidate_sink(spark, sf):
 
 
 def _screens(spark, sf):
-    """Screener verdicts: toxic documents are contradictory, others pass or gave no answer."""
+    """Screener verdicts: toxic documents are contradictory, others pass or gave no answer.
+    Every third name was screened twice and got a second verdict."""
     lab = B.table(spark, sf, "labels")
-    return lab.select(
+    once = lab.select(
         F.concat(F.lit("monitor-doc-"), F.col("doc_id").cast("string")).alias("name"),
         F.when(F.col("toxic") == 1, True).when(F.col("quality") == 1, False).alias("contradiction"),
-        F.when(F.col("doc_id") % 2 == 0, "mismatch").otherwise("").alias("reason"))
+        F.when(F.col("doc_id") % 2 == 0, "mismatch").otherwise("").alias("reason"), "doc_id")
+    again = once.filter("doc_id % 3 = 0").withColumn("reason", F.lit("second look"))
+    return once.unionByName(again).drop("doc_id")
 
 
 @query("screen_stage", sql(f"""

@@ -66,6 +66,41 @@ def load_log_lines(spark, sf):
     return readers.parse_log_lines(feed).select(F.col("pos").alias("seq"), "ts_ns", "line")
 
 
+@query("log_line_problems", sql("""
+SELECT seq, seq % 97 = 0 AS broken, CASE WHEN seq % 97 <> 0 THEN ts_ns END AS ts_ns, CASE WHEN seq % 97 <> 0 THEN line END AS line
+FROM b_log_line""", "b_log_line"))
+def log_line_problems(spark, sf):
+    """Cut-off JSON lines stay as rows that say so."""
+    text = F.to_json(F.struct(F.col("ts_ns").cast("string").alias("ts"), "line"))
+    feed = B.log_lines(spark, sf).select(F.col("seq").alias("pos"), F.when(
+        F.col("seq") % 97 == 0, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("value"))
+    return readers.parse_log_lines(feed, keep_broken=True).select(F.col("pos").alias("seq"), "broken", "ts_ns", "line")
+
+
+@query("scenario_missing_fields", sql("""
+SELECT name, CASE seq % 13 WHEN 5 THEN 'alert.severity' WHEN 6 THEN 'question' WHEN 7 THEN 'alert.fingerprint|alert.summary' ELSE '' END AS missing
+FROM b_scenario""", "b_scenario"))
+def scenario_missing_fields(spark, sf):
+    """Files that lack a field, in the alert or beside it."""
+    at = lambda *n: (F.col("seq") % 13).isin(*n)
+    without = lambda on, value: F.when(~on, value)
+    a = F.col("alert")
+    rows = B.scenarios(spark, sf).withColumn("alert", a.withField("severity", without(at(5), a["severity"]))
+        .withField("fingerprint", without(at(7), a["fingerprint"])).withField("summary", without(at(7), a["summary"])))
+    rows = rows.withColumn("question", without(at(6), F.col("question")))
+    return readers.parse_scenario_files(_file_rows(rows)).select("name", joined(readers.missing_fields()).alias("missing"))
+
+
+@query("score_twin_names", sql("""
+SELECT arm, count(*) AS n, count(*) FILTER (expects_yes) AS expects_yes, round(sum(reward), 6) AS reward FROM b_fact GROUP BY 1""", "b_fact"))
+def score_twin_names(spark, sf):
+    """Every scenario has an older twin of its name; the later one counts and outputs do not multiply."""
+    s = B.scenarios(spark, sf)
+    older = s.withColumns({"seq": F.col("seq") - 10**9, "expected": F.lit(""), "rubric": F.lit("정답")})
+    return O.score_outputs(B.outputs(spark, sf), older.unionByName(s)).groupBy("arm").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("expects_yes").alias("expects_yes"), F.round(F.sum("reward"), 6).alias("reward"))
+
+
 @query("load_rules", sql("""
 SELECT name, CASE WHEN seq % 3 <> 0 THEN severity END AS severity, summary AS rendered FROM b_last_rule""", "b_last_rule"))
 def load_rules(spark, sf):
@@ -153,6 +188,24 @@ def judge_prompts(spark, sf):
         F.col("question"), F.col("rubric"), F.col("answer"))).alias("digest"))
 
 
+_JUDGE = "답을 채점하라.\n근거를 로그에서 찾아라.\n설명 텍스트 없이 JSON만 답하라."
+JUDGE_VARIANTS = P.PromptVariants(_JUDGE, {"specificity": ("\n- 원인이 구체적인지 보라.", K.JUDGE_MARKER)})
+
+
+@query("judge_variants", sql(f"""
+WITH v AS (SELECT unnest(['production', 'specificity']) AS variant,
+  unnest([{q(_JUDGE)}, replace({q(_JUDGE)}, {q(K.JUDGE_MARKER)}, {q(JUDGE_VARIANTS.rules['specificity'][0])} || {q(K.JUDGE_MARKER)})]) AS system)
+SELECT t.run, t.scenario, t.trial, v.variant, md5(v.system) AS system_digest, md5('[질문]' || chr(10) || '알림의 원인은?' || chr(10)
+  || chr(10) || '[채점 기준]' || chr(10) || s.rubric || chr(10) || chr(10) || '[봇의 답변]' || chr(10) || t.answer || chr(10)) AS prompt_digest
+FROM b_result t JOIN b_scenario s ON s.name = t.scenario, v""", "b_result", "b_scenario"))
+def judge_variants(spark, sf):
+    s = B.scenarios(spark, sf)
+    t = O.trial_results(B.trials(spark, sf), s).join(
+        s.select(F.col("name").alias("scenario"), "question", "rubric"), "scenario")
+    return P.judge_variants(t, JUDGE_VARIANTS).select(
+        "run", "scenario", "trial", "variant", F.md5("system").alias("system_digest"), F.md5("prompt").alias("prompt_digest"))
+
+
 @query("screen_prompts", sql("""
 SELECT seq, md5('[알림]' || chr(10) || alertname || ' (' || severity || ')' || chr(10) || '요약: ' || summary || chr(10)
   || '설명: ' || description || chr(10) || chr(10) || '[로그]'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M, outputs as O, training as T
-from ..sources import sinks
+from ..sources import readers, sinks
 from . import bridge as B
 from .oracle import sql
 from .q_outputs import _ids
@@ -38,6 +38,15 @@ def best_of_n(spark, sf):
     return _best(spark, sf).select("scenario", "sample_idx", r6("reward").alias("reward"), "beats_greedy", "reason")
 
 
+@query("rft_build", sql(f"""
+SELECT b.scenario AS name, md5(c."user") AS prompt, 3 AS turns, s.expects_yes
+FROM ({_BEST}) b JOIN b_chat c USING (scenario) JOIN b_scenario s ON s.name = b.scenario WHERE reason = 'accepted'""",
+    "b_fact", "b_scenario", "b_chat"))
+def rft_build(spark, sf):
+    rows = T.rft_build(_scored(spark, sf, "base"), B.scenarios(spark, sf).filter("labelled"), B.SYSTEM)
+    return rows.select("name", F.md5("prompt").alias("prompt"), F.size("messages").alias("turns"), "expects_yes")
+
+
 @query("rft_stats", sql(f"""
 SELECT reason, count(*) AS n, count(*) FILTER (reason = 'accepted' AND beats_greedy) AS beats_greedy FROM ({_BEST}) GROUP BY reason""", "b_fact", "b_scenario"))
 def rft_stats(spark, sf):
@@ -62,9 +71,10 @@ def _pref(spark, sf):
 
 
 @query("preference_pairs", sql(f"""
-SELECT scenario, expects_yes, reason, chosen, c = 6 AS rejected_is_list, round(margin, 6) AS margin FROM ({_PREF})""", "b_fact"))
+SELECT scenario, expects_yes, reason, md5(k."user") AS prompt, chosen, c = 6 AS rejected_is_list, round(margin, 6) AS margin
+FROM ({_PREF}) JOIN (SELECT scenario, "user" FROM b_chat) k USING (scenario)""", "b_fact", "b_chat"))
 def preference_pairs(spark, sf):
-    return _pref(spark, sf).select("scenario", "expects_yes", "reason", "chosen",
+    return _pref(spark, sf).select("scenario", "expects_yes", "reason", F.md5("prompt").alias("prompt"), "chosen",
                                    (F.col("rejected") == "[1, 2]").alias("rejected_is_list"), r6("margin").alias("margin"))
 
 
@@ -159,7 +169,7 @@ SELECT CASE WHEN rn <= greatest(1, floor(n * 0.15::DOUBLE)) THEN 'valid' ELSE 't
 def chat_sink(spark, sf):
     path = scratch(spark, "chat")
     sinks.write_chat(T.train_valid_split(_built(spark, sf)), path)
-    return spark.read.text(path).groupBy("split").agg(F.count(F.lit(1)).alias("lines"))
+    return readers.load_chat(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("lines"))
 
 
 # ---- length guard over conversations ---------------------------------------------------------

@@ -59,6 +59,22 @@ def test_screener_only_sees_clean_candidates(spark, validated):
     assert got["monitor-clean"] == {"screen"} and "screen" not in got["monitor-c1"]
 
 
+def test_two_verdicts_of_one_name_are_one(spark, validated):
+    screens = spark.createDataFrame([("monitor-clean", True, "b"), ("monitor-clean", True, "a"), ("monitor-clean", False, "")],
+                                    "name string, contradiction boolean, reason string")
+    rows = V.screen(validated, screens).collect()
+    assert len(rows) == validated.count()
+    assert next(r["failures"]["screen"] for r in rows if r["name"] == "monitor-clean") == ["a"]
+
+
+def test_an_incomplete_alert_registers_no_content(make):
+    alone = alert()
+    rows = [candidate(1, name="monitor-x1", alert={**alone, "severity": None}), candidate(2, name="monitor-x2", alert=alone),
+            candidate(3, name="monitor-x3", alert=alone)]
+    got = {r["seq"]: list(r["v_duplicate-content"]) for r in V.duplicate_contents(make.candidates(rows)).collect()}
+    assert got[1] == got[2] == [] and got[3]
+
+
 def test_name_twins_within_a_batch(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "seq long, name string")
     flags = lambda **kw: {r["seq"]: bool(r["v_duplicate"]) for r in V.duplicate_names(rows, **kw).collect()}

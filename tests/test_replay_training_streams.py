@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from conftest import scenario
 from pyspark.sql import functions as F
 
@@ -144,6 +145,12 @@ def test_log_rule_split_and_chat_files(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"ts": "20", "line": "b"}\n\n{"ts": 10, "line": "a"}\n  \n{"ts": 10, "line": "c"}\n')
     rows = readers.load_log_lines(spark, str(tmp_path / "log.jsonl")).orderBy("ts_ns", "seq").collect()
     assert [(r["ts_ns"], r["line"]) for r in rows] == [(10, "a"), (10, "c"), (20, "b")]
+    (tmp_path / "bad.jsonl").write_text('{"ts": 1, "line": "a"}\n{"ts": 2, "line": "b"\n{"ts": "x", "line": "c"}\n')
+    with pytest.raises(PySparkException, match="broken log line"):
+        readers.load_log_lines(spark, str(tmp_path / "bad.jsonl")).collect()
+    raw = spark.read.text(str(tmp_path / "bad.jsonl")).selectExpr("value", "monotonically_increasing_id() AS pos")
+    kept = readers.parse_log_lines(raw, keep_broken=True).orderBy("pos").collect()
+    assert [(r["line"], r["broken"]) for r in kept] == [("a", False), (None, True), (None, True)]
     (tmp_path / "rules.json").write_text('[{"name":"A","summary":"1"},{"name":"A","summary":"2"}]')
     last = R.last_rule_per_name(readers.load_rules(spark, str(tmp_path / "rules.json"))).collect()
     assert [(r["name"], r["summary"]) for r in last] == [("A", "2")]
@@ -157,6 +164,8 @@ def test_log_rule_split_and_chat_files(spark, tmp_path):
     df = spark.createDataFrame([("train", [("system", "s"), ("user", "u"), ("assistant", "a")])],
                                "split string, messages array<struct<role string, content string>>")
     sinks.write_chat(df, str(tmp_path / "chat"))
+    row = readers.load_chat(spark, str(tmp_path / "chat")).first()
+    assert (row["split"], row["user"], row["assistant"]) == ("train", "u", "a")
     (tmp_path / "flat").mkdir()
     text = spark.read.text(str(tmp_path / "chat")).first()["value"]
     (tmp_path / "flat" / "train.jsonl").write_text(text + "\n")
