@@ -153,6 +153,13 @@ def citation_reasons(a: Column, lines: Column) -> Column:
     return _reasons(F.when(a["evidence_found"], reason))
 
 
+def cites_whole_line(a: Column, lines: Column) -> Column:
+    """Whether ``citation_reasons`` has none: no claim, or one that cites a line end to end."""
+    line = X.strip_ws(a["evidence_line"])
+    whole = F.coalesce((line != "") & F.array_contains(lines, line), F.lit(False))
+    return ~F.coalesce(a["evidence_found"], F.lit(False)) | whole
+
+
 def cause_reasons(a: Column) -> Column:
     return _reasons(F.when(
         ~a["evidence_found"] & ~X.is_blank(a["root_cause_hypothesis"]), "cause_without_evidence"))
@@ -253,10 +260,10 @@ def with_reward(rows: DataFrame, spec: RewardSpec = RewardSpec()) -> DataFrame:
     The citation part wants the whole line (strict), unlike ``grounded`` (lenient).
     """
     a, yes = F.col("analysis"), F.col("expects_yes")
-    points = lambda ok, weight: F.when(ok, F.lit(weight)).otherwise(F.lit(0.0))
+    points = lambda ok, weight: F.when(ok, F.lit(weight)).otherwise(F.lit(0.0)) if weight else F.lit(0.0)
     usable = ~F.col("parse_failed")
     step = rows.withColumns({
-        "strict_ok": usable & (F.size(citation_reasons(a, F.col("log_samples"))) == 0),
+        "strict_ok": usable & cites_whole_line(a, F.col("log_samples")),
         "names_component": usable & F.coalesce(names_component(a, yes), F.lit(False)),
     })
     step = step.withColumns({

@@ -34,6 +34,10 @@ def render(summary: Column, yes: Column, cause: Column, actions: Column) -> Colu
 
 
 def mutations(which: str = "all") -> list[tuple]:
+    """The fixed mutations of one set, ``gross`` or ``subtle``, or of all."""
+    known = {m[2] for m in K.MUTATIONS} | {"all"}
+    if which not in known:
+        raise ValueError(f"unknown set {which}, known: {sorted(known)}")
     return [m for m in K.MUTATIONS if which in ("all", m[2])]
 
 

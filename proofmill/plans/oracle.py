@@ -156,7 +156,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         {q(K.CAUSE_PREFIX)} || CASE WHEN grounded AND cause <> '' THEN cause ELSE {q(K.NOTHING)} END || chr(10) ||
         {q(K.ACTIONS_PREFIX)} || CASE WHEN len(actions) = 0 THEN ' ' || {q(K.NOTHING)}
           ELSE chr(10) || '- ' || array_to_string(actions, chr(10) || '- ') END AS flat
-      FROM b_fact WHERE sample_idx < 2"""),
+      FROM b_fact"""),
     "b_result": (("b_trial",), f"""SELECT run, scenario, trial, doc_id, expects_yes,
         CASE WHEN parse_failed THEN {q(K.FAILED_ANSWER)} ELSE flat END AS answer,
         CASE WHEN parse_failed THEN 0 WHEN j < 4 THEN 5 WHEN j = 4 THEN 5 WHEN j = 5 THEN 4 WHEN j = 8 THEN 1 ELSE 0 END AS accuracy,

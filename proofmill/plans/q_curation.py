@@ -44,8 +44,11 @@ _VALIDATE_SQL = {
     "log-line": """CASE f WHEN 9 THEN 'line 0 unknown message of:c.web.exception.RestExceptionHandler' WHEN 10 THEN 'line 0 format'
       WHEN 11 THEN 'line 0 thread:weird-1' WHEN 12 THEN 'line 0 family:exec' WHEN 13 THEN 'line 0 level:WARN' ELSE '' END""",
     "slot-value": "CASE f WHEN 11 THEN 'line 0 uri:/nowhere' WHEN 12 THEN 'line 0 consumer:GhostConsumer' ELSE '' END",
-    "error-level": "CASE f WHEN 13 THEN 'line 0 level:WARN' ELSE '' END",
-    "timestamp": "CASE WHEN f = 14 AND len(log_samples) > 1 THEN 'not_ascending' ELSE '' END",
+    "error-level": r"""array_to_string(list_filter(list_transform(range(len(log_samples)), lambda i:
+      CASE WHEN regexp_extract(log_samples[i + 1], '^\[[^\]]+\]\s+\[([A-Z]+)\s*\]', 1) NOT IN ('', 'ERROR')
+      THEN 'line ' || i || ' level:' || regexp_extract(log_samples[i + 1], '^\[[^\]]+\]\s+\[([A-Z]+)\s*\]', 1) END), lambda x: x IS NOT NULL), '|')""",
+    "timestamp": """CASE WHEN list_transform(log_samples, lambda x: x[2:24]) <> list_sort(list_transform(log_samples, lambda x: x[2:24]))
+      THEN 'not_ascending' ELSE '' END""",
     "rubric": """concat_ws('|', CASE WHEN NOT contains(rubric, '근거 발견: 예') AND NOT contains(rubric, '근거 발견: 아니오') THEN 'no_verdict_quoted' END,
       CASE WHEN NOT contains(rubric, '정답') OR NOT contains(rubric, '오답') THEN 'no_conditions' END,
       CASE WHEN expected = '예' AND NOT contains(rubric, '근거 발견: 예') THEN 'expected_yes_not_quoted' END,
@@ -182,10 +185,9 @@ def axis_profile(spark, sf):
 
 @query("alert_coverage", sql(f"""
 SELECT a.alertname, coalesce(n, 0) AS scenarios, n IS NOT NULL AS covered FROM (SELECT unnest({qlist(K.ALERT_RULES)}) AS alertname) a
-LEFT JOIN (SELECT alertname, count(*) AS n FROM b_scenario WHERE toxic = 1 GROUP BY 1) s USING (alertname)""", "b_scenario"))
+LEFT JOIN (SELECT alertname, count(*) AS n FROM b_scenario GROUP BY 1) s USING (alertname)""", "b_scenario"))
 def alert_coverage(spark, sf):
-    toxic = B.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("seq"))
-    return V.alert_coverage(B.scenarios(spark, sf).join(toxic, "seq", "left_semi"))
+    return V.alert_coverage(B.scenarios(spark, sf))
 
 
 @query("pick_exemplars", sql(f"""
@@ -318,15 +320,14 @@ def audit_train_valid_leak(spark, sf):
     return D.train_valid_leaks(B.chat(spark, sf)).select("scenario")
 
 
-# Evaluation logs against built prompts: toxic documents are the evaluation set here.
-_GOLD_LOGS = "SELECT array_to_string(list_transform(log_samples, lambda x: " + norm_message("x") + "), chr(1)) AS logs FROM b_scenario WHERE toxic = 1"
+# Evaluation logs against built prompts: labelled documents are the evaluation set, as everywhere.
+_GOLD_LOGS = "SELECT array_to_string(list_transform(log_samples, lambda x: " + norm_message("x") + "), chr(1)) AS logs FROM b_scenario WHERE quality IS NOT NULL"
 
 
 @query("audit_golden_overlap", sql(f"""
 SELECT scenario FROM b_chat WHERE {_PROMPT_LOGS} IN ({_GOLD_LOGS})""", "b_chat", "b_scenario"))
 def audit_golden_overlap(spark, sf):
-    toxic = B.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("seq"))
-    gold = B.scenarios(spark, sf).join(toxic, "seq", "left_semi")
+    gold, _ = B.golden_and_candidates(spark, sf)
     return D.contaminated_prompts(B.chat(spark, sf), gold).select("scenario")
 
 

@@ -272,10 +272,9 @@ def grounding(spark, sf):
                        F.col("settled.root_cause_hypothesis").alias("cause"))
 
 
-@query("flatten_answer", sql("SELECT run, scenario, trial, answer FROM b_result WHERE NOT failed", "b_result"))
+@query("flatten_answer", sql("SELECT run, scenario, trial, CASE WHEN NOT failed THEN answer END AS answer FROM b_result", "b_result"))
 def flatten_answer(spark, sf):
-    rows = O.ground(O.attach_scenarios(
-        O.parse_outputs(B.trials(spark, sf)).filter("NOT parse_failed"), B.scenarios(spark, sf)))
+    rows = O.ground(O.attach_scenarios(O.parse_outputs(B.trials(spark, sf)), B.scenarios(spark, sf)))
     return rows.select("run", "scenario", "trial", O.flatten_answer(F.col("settled")).alias("answer"))
 
 
@@ -304,9 +303,18 @@ def parse_rate(spark, sf):
 # ---- target rules, reward ----------------------------------------------------------------
 
 
-def _verified(spark, sf):
-    rows = O.attach_scenarios(_parsed(spark, sf).filter("NOT parse_failed"), B.scenarios(spark, sf))
-    return O.verify_target(rows)
+def _usable(value):
+    """The value, null where the output was not usable."""
+    return F.when(~F.col("parse_failed"), value)
+
+
+def _or_failed(reasons):
+    """The reasons, or that the output was not usable."""
+    return F.when(F.col("parse_failed"), "parse_failed").otherwise(reasons)
+
+
+def _attached(spark, sf):
+    return O.attach_scenarios(_parsed(spark, sf), B.scenarios(spark, sf))
 
 
 _STRICT = """CASE WHEN NOT claimed OR strict_ok THEN '' WHEN trim(evidence_line) = '' THEN 'empty_citation'
@@ -325,14 +333,14 @@ def _ids(text: str) -> str:
 
 
 _ROWS = f"""SELECT f.* EXCLUDE (summary), f.summary AS summary, {_HAYSTACK} AS hay
-  FROM b_fact f JOIN b_scenario s ON s.name = f.scenario WHERE NOT f.parse_failed"""
+  FROM b_fact f JOIN b_scenario s ON s.name = f.scenario"""
 
 
 @query("citation_strict", sql(f"""
-SELECT arm, scenario, sample_idx, {_STRICT} AS reasons FROM b_fact WHERE NOT parse_failed""", "b_fact"))
+SELECT arm, scenario, sample_idx, CASE WHEN parse_failed THEN 'parse_failed' ELSE {_STRICT} END AS reasons FROM b_fact""", "b_fact"))
 def citation_strict(spark, sf):
-    rows = O.attach_scenarios(_parsed(spark, sf).filter("NOT parse_failed"), B.scenarios(spark, sf))
-    return rows.select(*KEYS, joined(O.citation_reasons(F.col("analysis"), F.col("log_samples"))).alias("reasons"))
+    return _attached(spark, sf).select(*KEYS, _or_failed(joined(
+        O.citation_reasons(F.col("analysis"), F.col("log_samples")))).alias("reasons"))
 
 
 @query("verify_target", sql(f"""
@@ -341,42 +349,43 @@ WITH r AS ({_ROWS}), v AS (SELECT *,
   CASE WHEN claimed <> expects_yes THEN CASE WHEN expects_yes THEN 'expected_yes' ELSE 'expected_no' END ELSE '' END AS v_verdict,
   {_STRICT} AS v_citation, CASE WHEN NOT claimed AND cause <> '' THEN 'cause_without_evidence' ELSE '' END AS v_cause,
   {_ids("(summary || chr(10) || cause)")} AS v_identifier FROM r)
-SELECT arm, scenario, sample_idx, v_schema, v_verdict, v_citation, v_cause, v_identifier,
-  CASE WHEN v_schema <> '' THEN 'schema' WHEN v_verdict <> '' THEN 'verdict' WHEN v_citation <> '' THEN 'citation'
+SELECT arm, scenario, sample_idx, {", ".join(f"CASE WHEN NOT parse_failed THEN {c} END AS {c}" for c in ("v_schema", "v_verdict", "v_citation", "v_cause", "v_identifier"))},
+  CASE WHEN parse_failed THEN 'parse_failed' WHEN v_schema <> '' THEN 'schema' WHEN v_verdict <> '' THEN 'verdict' WHEN v_citation <> '' THEN 'citation'
     WHEN v_cause <> '' THEN 'no-cause' WHEN v_identifier <> '' THEN 'identifier' END AS first_rule FROM v""", "b_fact", "b_scenario"))
 def verify_target(spark, sf):
-    get = lambda rule: joined(F.col("failures")[rule])
-    return _verified(spark, sf).select(
+    get = lambda rule: _usable(joined(F.col("failures")[rule]))
+    return O.verify_target(_attached(spark, sf)).select(
         *KEYS, get("schema").alias("v_schema"), get("verdict").alias("v_verdict"), get("citation").alias("v_citation"),
-        get("no-cause").alias("v_cause"), get("identifier").alias("v_identifier"), "first_rule")
+        get("no-cause").alias("v_cause"), get("identifier").alias("v_identifier"),
+        _or_failed(F.col("first_rule")).alias("first_rule"))
 
 
 def _identifier_query(check):
     def run(spark, sf):
-        rows = O.attach_scenarios(_parsed(spark, sf).filter("NOT parse_failed"), B.scenarios(spark, sf))
-        return rows.select(*KEYS, joined(check(
-            F.col("analysis"), F.col("log_samples"), F.col("alert"))).alias("reasons"))
+        return _attached(spark, sf).select(*KEYS, _or_failed(joined(check(
+            F.col("analysis"), F.col("log_samples"), F.col("alert")))).alias("reasons"))
     return run
 
 
 query("identifiers_grounded", sql(f"""WITH r AS ({_ROWS})
-SELECT arm, scenario, sample_idx, {_ids("(summary || chr(10) || cause)")} AS reasons FROM r""", "b_fact", "b_scenario"))(
+SELECT arm, scenario, sample_idx, CASE WHEN parse_failed THEN 'parse_failed' ELSE {_ids("(summary || chr(10) || cause)")} END AS reasons FROM r""", "b_fact", "b_scenario"))(
     _identifier_query(O.identifiers_grounded))
 query("fabricated_identifiers", sql(f"""WITH r AS ({_ROWS})
-SELECT arm, scenario, sample_idx, {_ids("(summary || chr(10) || cause || chr(10) || array_to_string(actions, chr(10)))")} AS reasons FROM r""",
+SELECT arm, scenario, sample_idx, CASE WHEN parse_failed THEN 'parse_failed'
+  ELSE {_ids("(summary || chr(10) || cause || chr(10) || array_to_string(actions, chr(10)))")} END AS reasons FROM r""",
     "b_fact", "b_scenario"))(_identifier_query(O.no_fabricated_identifiers))
 
 
 @query("repair_citation", sql("""
-SELECT arm, scenario, sample_idx, md5(CASE WHEN n <> '' AND NOT list_contains(log_samples, n) AND len(h) = 1 THEN h[1] ELSE evidence_line END) AS line,
-  n <> '' AND NOT list_contains(log_samples, n) AND len(h) = 1 AS repaired
+SELECT arm, scenario, sample_idx,
+  CASE WHEN NOT parse_failed THEN md5(CASE WHEN n <> '' AND NOT list_contains(log_samples, n) AND len(h) = 1 THEN h[1] ELSE evidence_line END) END AS line,
+  CASE WHEN NOT parse_failed THEN n <> '' AND NOT list_contains(log_samples, n) AND len(h) = 1 END AS repaired
 FROM (SELECT *, trim(evidence_line) AS n, list_filter(log_samples, lambda x: contains(x, trim(evidence_line))) AS h
-      FROM b_fact WHERE NOT parse_failed)""", "b_fact"))
+      FROM b_fact)""", "b_fact"))
 def repair_citation(spark, sf):
-    rows = O.attach_scenarios(_parsed(spark, sf).filter("NOT parse_failed"), B.scenarios(spark, sf))
-    rows = rows.withColumn("fixed", O.repair_citation(F.col("analysis"), F.col("log_samples")))
-    return rows.select(*KEYS, F.md5("fixed.evidence_line").alias("line"),
-                       (F.col("fixed.evidence_line") != F.col("analysis.evidence_line")).alias("repaired"))
+    rows = _attached(spark, sf).withColumn("fixed", O.repair_citation(F.col("analysis"), F.col("log_samples")))
+    return rows.select(*KEYS, _usable(F.md5("fixed.evidence_line")).alias("line"),
+                       _usable(F.col("fixed.evidence_line") != F.col("analysis.evidence_line")).alias("repaired"))
 
 
 _EVIDENCE_CLASSES = r"\b([A-Z][A-Za-z0-9]*(?:Consumer|Processor|Worker|Sweeper|Service|Handler|Factory|Manager|Starter|Recovery|Dispatcher|Filter|Store))\b"
@@ -412,17 +421,16 @@ def reward(spark, sf):
 
 
 @query("target_json", sql("""
-SELECT arm, scenario, sample_idx, json_extract_string(t, '$.summary') AS summary, json_extract_string(t, '$.rootCauseHypothesis') AS cause,
+SELECT arm, scenario, sample_idx, parse_failed, json_extract_string(t, '$.summary') AS summary, json_extract_string(t, '$.rootCauseHypothesis') AS cause,
   json_extract_string(t, '$.evidenceFound') AS evidence_found, CAST(json_array_length(t, '$.suggestedActions') AS INTEGER) AS n_actions,
-  md5(json_extract_string(t, '$.evidenceLine')) AS evidence, true AS spaced
-FROM (SELECT arm, scenario, sample_idx, to_json({'summary': summary, 'rootCauseHypothesis': cause, 'suggestedActions': actions,
-        'evidenceFound': claimed, 'evidenceLine': evidence_line}) AS t FROM b_analysis WHERE NOT parse_failed)""", "b_analysis"))
+  md5(json_extract_string(t, '$.evidenceLine')) AS evidence, CASE WHEN NOT parse_failed THEN true END AS spaced
+FROM (SELECT arm, scenario, sample_idx, parse_failed, CASE WHEN NOT parse_failed THEN to_json({'summary': summary, 'rootCauseHypothesis': cause, 'suggestedActions': actions,
+        'evidenceFound': claimed, 'evidenceLine': evidence_line}) END AS t FROM b_analysis)""", "b_analysis"))
 def target_json(spark, sf):
-    t = J.target_json(F.col("analysis"))
-    rows = _parsed(spark, sf).filter("NOT parse_failed").withColumn("t", t)
+    rows = _parsed(spark, sf).withColumn("t", _usable(J.target_json(F.col("analysis"))))
     get = lambda path: F.get_json_object("t", path)
     return rows.select(
-        *KEYS, get("$.summary").alias("summary"), get("$.rootCauseHypothesis").alias("cause"),
+        *KEYS, "parse_failed", get("$.summary").alias("summary"), get("$.rootCauseHypothesis").alias("cause"),
         get("$.evidenceFound").alias("evidence_found"),
         F.json_array_length(get("$.suggestedActions")).alias("n_actions"),
         F.md5(get("$.evidenceLine")).alias("evidence"),
@@ -430,16 +438,15 @@ def target_json(spark, sf):
 
 
 @query("chat_samples", sql(f"""
-SELECT c.scenario AS name, 3 AS turns, md5({q(B.SYSTEM)}) AS system, md5(c."user") AS user_digest, a.summary AS summary
-FROM b_chat c JOIN b_analysis a ON a.scenario = c.scenario
-WHERE a.arm = 'trained' AND a.sample_idx = -1 AND NOT a.parse_failed""", "b_chat", "b_analysis"))
+SELECT a.arm, a.sample_idx, c.scenario AS name, a.parse_failed, 3 AS turns, md5({q(B.SYSTEM)}) AS system, md5(c."user") AS user_digest,
+  CASE WHEN NOT a.parse_failed THEN a.summary END AS summary
+FROM b_chat c JOIN b_analysis a ON a.scenario = c.scenario""", "b_chat", "b_analysis"))
 def chat_samples(spark, sf):
-    o = _parsed(spark, sf).filter("arm = 'trained' AND sample_idx = -1 AND NOT parse_failed")
-    rows = P.chat_samples(O.attach_scenarios(o, B.scenarios(spark, sf)), B.SYSTEM)
+    rows = P.chat_samples(_attached(spark, sf), B.SYSTEM)
     m = F.col("messages")
-    return rows.select(F.col("scenario").alias("name"), F.size(m).alias("turns"),
+    return rows.select("arm", "sample_idx", F.col("scenario").alias("name"), "parse_failed", F.size(m).alias("turns"),
                        F.md5(m[0]["content"]).alias("system"), F.md5(m[1]["content"]).alias("user_digest"),
-                       F.get_json_object(m[2]["content"], "$.summary").alias("summary"))
+                       _usable(F.get_json_object(m[2]["content"], "$.summary")).alias("summary"))
 
 
 # ---- sinks -------------------------------------------------------------------------------
