@@ -41,12 +41,26 @@ def mutations(which: str = "all") -> list[tuple]:
     return [m for m in K.MUTATIONS if which in ("all", m[2])]
 
 
-def build_probes(answers: DataFrame, which: str = "all") -> DataFrame:
+def build_probes(answers: DataFrame, which: str = "all", own: dict | None = None) -> DataFrame:
     """One row per answer and applicable mutation: (scenario, mutation, expected_verdict,
     answer). ``answers`` has scenario, answer and rubric.
 
-    The mutation table is a literal array, exploded per answer: no join.
+    The mutation table is a literal array, exploded per answer: no join. ``own`` adds
+    mutations: name -> (expected verdict, function of the answer's parts that gives the
+    changed answer, or null where it does not apply).
     """
+    fixed = _fixed_probes(answers, which)
+    if not own:
+        return fixed
+    flat = once(answers, flat=flat_parts(F.col("answer"))).filter(F.col("flat").isNotNull())
+    changed = F.array(*[F.struct(
+        F.lit(name).alias("mutation"), F.lit(verdict).alias("expected_verdict"), change(F.col("flat")).alias("answer"))
+        for name, (verdict, change) in own.items()])
+    added = flat.select("scenario", F.explode(changed).alias("m")).select("scenario", "m.*").filter(F.col("answer").isNotNull())
+    return fixed.unionByName(added)
+
+
+def _fixed_probes(answers: DataFrame, which: str) -> DataFrame:
     table = F.array(*[F.struct(
         F.lit(name).alias("mutation"), F.lit(verdict).alias("expected_verdict"),
         F.lit(claim).cast("string").alias("claim")) for name, verdict, _, claim in mutations(which)])

@@ -263,18 +263,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scenarios(spark, sf_dir, ("doc_id", "n_chars"))
     id_, lines, a = F.col("doc_id"), F.col("log_samples"), F.col("alert")
     f = id_ % 19
-    first = F.get(lines, F.lit(0))
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    head = F.substr(first, F.lit(1), F.lit(25))  # the stamp in its brackets
-    swap = lambda text: F.concat(F.array(F.concat(head, F.lit(text))), rest)
+    place = F.floor(id_ / 19) % F.greatest(F.size(lines), F.lit(1))  # of the line at fault
+    at = lambda make: F.transform(lines, lambda x, i: F.when(i == place, make(x)).otherwise(x))
+    # the stamp in its brackets stays
+    swap = lambda text: at(lambda x: F.concat(F.substr(x, F.lit(1), F.lit(25)), F.lit(text)))
     logs = (
         F.when(f == 9, swap(" [ERROR] [,] --- [http-nio-8080-exec-1] c.web.exception.RestExceptionHandler : 없는 메시지"))
-        .when(f == 10, F.concat(F.array(F.replace(first, F.lit("[ERROR] "), F.lit("ERROR "))), rest))
+        .when(f == 10, at(lambda x: F.replace(x, F.lit("[ERROR] "), F.lit("ERROR "))))
         .when(f == 11, swap(" [ERROR] [,] --- [weird-1] c.web.exception.RestExceptionHandler : "
                             "method=GET uri=/nowhere exception=E message=m"))
         .when(f == 12, swap(" [ERROR] [,] --- [http-nio-8080-exec-1] c.global.redis.EventDispatcher : "
                             "이벤트 처리 실패: consumer=GhostConsumer, message=GhostEvent[x]"))
-        .when(f == 13, F.concat(F.array(F.replace(first, F.lit("[ERROR]"), F.lit("[WARN]"))), rest))
+        .when(f == 13, at(lambda x: F.replace(x, F.lit("[ERROR]"), F.lit("[WARN]"))))
         .when(f == 14, F.reverse(lines))
         .otherwise(lines))
     job = a["labels"]["job"]

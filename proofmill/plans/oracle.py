@@ -194,20 +194,20 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         'prod-app of ' || s_name || ' at 12' AS summary, 'room-events/OracleObjectStorage nation ' || s_nationkey AS description
       FROM supplier"""),
     "b_last_rule": (("b_rule",), "SELECT * FROM b_rule QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1"),
-    "b_candidate": (("b_scenario",), """SELECT doc_id, doc_id AS seq, f, n_chars,
+    "b_candidate": (("b_scenario",), """SELECT doc_id, doc_id AS seq, f, place, n_chars,
         CASE WHEN f = 16 THEN 'Monitor_Doc' ELSE 'monitor-doc-' END || (doc_id - CASE WHEN doc_id % 23 = 5 THEN 1 ELSE 0 END) AS name,
         CASE WHEN f = 15 THEN '판정 기준 없음' ELSE rubric END AS rubric, expected,
         CASE WHEN f = 4 THEN 'NoSuchAlert' ELSE alertname END AS alertname, CASE WHEN f = 5 THEN 'info' ELSE severity END AS severity,
         CASE WHEN f = 7 THEN '아무 요약' ELSE summary END AS summary, CASE WHEN f = 8 THEN '' ELSE description END AS description,
         CASE WHEN f = 17 THEN 'dev' ELSE 'prod' END AS env, job,
-        CASE WHEN f = 9 THEN list_concat([left(log_samples[1], 25) || ' [ERROR] [,] --- [http-nio-8080-exec-1] c.web.exception.RestExceptionHandler : 없는 메시지'], log_samples[2:])
-          WHEN f = 10 THEN list_concat([replace(log_samples[1], '[ERROR] ', 'ERROR ')], log_samples[2:])
-          WHEN f = 11 THEN list_concat([left(log_samples[1], 25) || ' [ERROR] [,] --- [weird-1] c.web.exception.RestExceptionHandler : method=GET uri=/nowhere exception=E message=m'], log_samples[2:])
-          WHEN f = 12 THEN list_concat([left(log_samples[1], 25) || ' [ERROR] [,] --- [http-nio-8080-exec-1] c.global.redis.EventDispatcher : 이벤트 처리 실패: consumer=GhostConsumer, message=GhostEvent[x]'], log_samples[2:])
-          WHEN f = 13 THEN list_concat([replace(log_samples[1], '[ERROR]', '[WARN]')], log_samples[2:])
+        CASE WHEN f = 9 THEN list_concat(log_samples[:place] || [left(log_samples[place + 1], 25) || ' [ERROR] [,] --- [http-nio-8080-exec-1] c.web.exception.RestExceptionHandler : 없는 메시지'], log_samples[place + 2:])
+          WHEN f = 10 THEN list_concat(log_samples[:place] || [replace(log_samples[place + 1], '[ERROR] ', 'ERROR ')], log_samples[place + 2:])
+          WHEN f = 11 THEN list_concat(log_samples[:place] || [left(log_samples[place + 1], 25) || ' [ERROR] [,] --- [weird-1] c.web.exception.RestExceptionHandler : method=GET uri=/nowhere exception=E message=m'], log_samples[place + 2:])
+          WHEN f = 12 THEN list_concat(log_samples[:place] || [left(log_samples[place + 1], 25) || ' [ERROR] [,] --- [http-nio-8080-exec-1] c.global.redis.EventDispatcher : 이벤트 처리 실패: consumer=GhostConsumer, message=GhostEvent[x]'], log_samples[place + 2:])
+          WHEN f = 13 THEN list_concat(log_samples[:place] || [replace(log_samples[place + 1], '[ERROR]', '[WARN]')], log_samples[place + 2:])
           WHEN f = 14 THEN list_reverse(log_samples) ELSE log_samples END AS log_samples,
         (['positive-dense', 'unrelated-trap', 'stale-reingested', 'sparse-evidence', 'partial-relevance', 'compound-cause', 'near-miss-component'])[CAST(doc_id % 7 AS INTEGER) + 1] AS axis
-      FROM (SELECT *, doc_id % 19 AS f FROM b_scenario)"""),
+      FROM (SELECT *, doc_id % 19 AS f, (doc_id // 19) % greatest(len(log_samples), 1) AS place FROM b_scenario)"""),
     "b_pair": (("b_scenario",), """SELECT doc_id * 2 + CASE WHEN side = 'b' THEN 1 ELSE 0 END AS seq, doc_id, side, doc_id % 9 AS f,
         'monitor-pair-' || doc_id || CASE WHEN doc_id % 9 = 7 AND side = 'b' THEN '-c' ELSE '-' || side END AS name,
         CASE WHEN side = 'b' AND doc_id % 9 <> 5 THEN summary || ' 변경' ELSE summary END AS summary, description,

@@ -15,11 +15,6 @@ from .registry import joined, query, r6, scratch
 # ---- one validator at a time -----------------------------------------------------------
 
 _ALERT_KNOWN = f"alertname IN ({', '.join(q(a) for a in K.ALERT_RULES)})"
-_FIRST = {  # what the fault on the first line gives each line validator
-    9: "line 0 unknown message of:c.web.exception.RestExceptionHandler", 10: "line 0 format",
-}
-
-
 def _like(column: str, templates) -> str:
     from ..functions.text import template_pattern
     return "(" + " OR ".join(f"regexp_matches({column}, '(?s){template_pattern(t)}')" for t in templates) + ")"
@@ -41,9 +36,9 @@ _VALIDATE_SQL = {
       CASE WHEN f = 6 THEN 'unknown label:zone' END,
       CASE WHEN summary = '' OR description = '' THEN 'no_alert_text' END) END""",
     "alert-text": f"CASE alertname {_TEXT_CASES} ELSE '' END",
-    "log-line": """CASE f WHEN 9 THEN 'line 0 unknown message of:c.web.exception.RestExceptionHandler' WHEN 10 THEN 'line 0 format'
-      WHEN 11 THEN 'line 0 thread:weird-1' WHEN 12 THEN 'line 0 family:exec' WHEN 13 THEN 'line 0 level:WARN' ELSE '' END""",
-    "slot-value": "CASE f WHEN 11 THEN 'line 0 uri:/nowhere' WHEN 12 THEN 'line 0 consumer:GhostConsumer' ELSE '' END",
+    "log-line": """CASE f WHEN 9 THEN 'line ' || place || ' unknown message of:c.web.exception.RestExceptionHandler' WHEN 10 THEN 'line ' || place || ' format'
+      WHEN 11 THEN 'line ' || place || ' thread:weird-1' WHEN 12 THEN 'line ' || place || ' family:exec' WHEN 13 THEN 'line ' || place || ' level:WARN' ELSE '' END""",
+    "slot-value": "CASE f WHEN 11 THEN 'line ' || place || ' uri:/nowhere' WHEN 12 THEN 'line ' || place || ' consumer:GhostConsumer' ELSE '' END",
     "error-level": r"""array_to_string(list_filter(list_transform(range(len(log_samples)), lambda i:
       CASE WHEN regexp_extract(log_samples[i + 1], '^\[[^\]]+\]\s+\[([A-Z]+)\s*\]', 1) NOT IN ('', 'ERROR')
       THEN 'line ' || i || ' level:' || regexp_extract(log_samples[i + 1], '^\[[^\]]+\]\s+\[([A-Z]+)\s*\]', 1) END), lambda x: x IS NOT NULL), '|')""",

@@ -352,6 +352,11 @@ def build_probes(spark, sf):
     return _probes(spark, sf)
 
 
+@query("build_probes_gross", sql(f"SELECT scenario, mutation, expected_verdict, answer FROM ({_PROBES}) WHERE kind = 'gross'", "b_result", "b_scenario"))
+def build_probes_gross(spark, sf):
+    return _probes(spark, sf, "gross")
+
+
 @query("build_probes_subtle", sql(f"SELECT scenario, mutation, expected_verdict, answer FROM ({_PROBES}) WHERE kind = 'subtle'", "b_result", "b_scenario"))
 def build_probes_subtle(spark, sf):
     return _probes(spark, sf, "subtle")

@@ -144,6 +144,11 @@ def load_splits(spark: SparkSession, path: str) -> DataFrame:
         F.from_json("value", "map<string,array<string>>").alias("members")))
 
 
+def load_split_table(spark: SparkSession, path: str) -> DataFrame:
+    """(split, name) from Parquet: the layout for manifests that outgrow one JSON object."""
+    return spark.read.schema("split string, name string").parquet(path)
+
+
 ALL = "all"
 
 
@@ -168,6 +173,11 @@ def load_score_matrix(spark: SparkSession, path: str) -> DataFrame:
         "arm", "kind", F.explode("scores").alias("scenario", "score"))
 
 
+def load_score_table(spark: SparkSession, path: str) -> DataFrame:
+    """(arm, kind, scenario, score) from Parquet: the layout for matrices of any size."""
+    return spark.read.schema("arm string, kind string, scenario string, score double").parquet(path)
+
+
 def load_sampling_files(spark: SparkSession, path: str) -> DataFrame:
     """Sampling files ``{scenario, greedy, samples}`` as (scenario, sample_idx, raw, reward)."""
     one = "struct<text string, total double, parse_failed boolean>"

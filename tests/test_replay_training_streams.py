@@ -174,6 +174,26 @@ def test_log_rule_split_and_chat_files(spark, tmp_path):
     assert "| 1 |" in sinks.markdown(spark.range(1, 2), "t")
 
 
+def test_tabular_splits_and_scores(spark, tmp_path):
+    spark.createDataFrame([("dev", "a"), ("test", "b")], "split string, name string").write.parquet(str(tmp_path / "s"))
+    members = readers.load_split_table(spark, str(tmp_path / "s"))
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert [r["name"] for r in readers.split_filter(names, members, "dev").collect()] == ["a"]
+    spark.createDataFrame([("base", "greedy", "a", .5)], "arm string, kind string, scenario string, score double").write.parquet(str(tmp_path / "m"))
+    assert readers.load_score_table(spark, str(tmp_path / "m")).first()["score"] == .5
+
+
+def test_own_mutations(spark):
+    answer = "요약: s\n근거 발견: 예\n원인 가설: c\n제안 조치:\n- a"
+    df = spark.createDataFrame([("x", answer, "r"), ("y", "no layout", "r")], "scenario string, answer string, rubric string")
+    own = {"louder": ("FAIL", lambda f: F.concat(f["summary"], F.lit("!"))), "never": ("PASS", lambda f: F.lit(None).cast("string"))}
+    rows = PR.build_probes(df, "gross", own).collect()
+    assert [(r["scenario"], r["answer"]) for r in rows if r["mutation"] == "louder"] == [("x", "s!")]
+    assert "never" not in {r["mutation"] for r in rows} and "verdict-flip" in {r["mutation"] for r in rows}
+    with pytest.raises(ValueError, match="unknown set"):
+        PR.mutations("other")
+
+
 def test_score_trial_and_sampling_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"base":{"greedy":{"a":0.5},"best":{"a":1.0}}}')
     got = {(r["arm"], r["kind"], r["scenario"]): r["score"] for r in readers.load_score_matrix(spark, str(tmp_path / "m.json")).collect()}
