@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,9 +41,23 @@ def fold(column: str, parts: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts).cast("int")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most TEXT_ROWS rows in this session."""
+_shipped: set[str] = set()
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Prepares Python on the executors: this package is sent along once per application, so
+    workers can import it wherever they start, and Arrow batches hold at most TEXT_ROWS rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")  # the driver serves it to all
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def clear_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -84,7 +102,3 @@ def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
             held.append(piece)
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def hash64(columns: Iterable[str | Column]) -> Column:
-    return F.xxhash64(*columns)

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, sample_by, small_batches, text_of
+from .common import fold, sample_by, python_ready, text_of
 
 GRAM = 4
 PER_LANGUAGE = 500
@@ -138,7 +138,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], docs: dict[str, int]
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model of documents with text and lang; counts n-grams of the sample in Spark."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     taught = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     sample, _ = sample_by(taught, "lang", per_language)
 
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def with_language(docs: DataFrame, model: Model, name: str = "found") -> DataFrame:
     """Documents with a struct (lang, score) of their whole text."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import runs, written
+from .common import python_ready, runs, written
 
 NEAREST = 5
 BITS = 64
@@ -128,6 +128,7 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, sample: int
            spread: float = SPREAD) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     spark = rows.sparkSession
+    python_ready(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid = written(_usable(rows).withColumn("d", F.size("v")), "vectors")
     sizes = valid.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()

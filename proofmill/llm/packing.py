@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches, written
+from .common import python_ready, written
 
 LENGTH = 2048
 END_ID = 1
@@ -109,7 +109,7 @@ def part_ids(path: str) -> PartIds:
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(part, at, doc_id, doc_tokens, ids) in the shared folder: ``at`` counts the ids of the
     documents before it in the same partition, ``ids`` holds them with the end id."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     path = path or vocabulary_path()
     end = int(end_id).to_bytes(4, "little")
     schema = T.StructType([

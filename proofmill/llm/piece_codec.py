@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, text_of
+from .common import python_ready, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Parts whose ids a worker keeps.
@@ -362,7 +362,7 @@ def codec(path: str) -> Codec:
 
 def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """Documents with the ids of their whole text, as little-endian unsigned 32-bit bytes."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     path = path or vocabulary_path()
 
     @F.pandas_udf("binary")
@@ -375,7 +375,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
 
 def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
     """Rows with the text of their ids; null ids have a null text."""
-    small_batches(rows.sparkSession)
+    python_ready(rows.sparkSession)
     path = path or vocabulary_path()
 
     @F.pandas_udf("string")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import clear_labels, fold, sample_by, small_batches, text_of
+from .common import clear_labels, fold, sample_by, python_ready, text_of
 
 #: Labelled documents of each label, about, that the model is fitted on.
 PER_CLASS = 1500
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", per_class:
         dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Model:
     """The model of documents and their (doc_id, label) rows: all count for the prior, a bounded
     sample of them brings its texts."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     picked, counts = sample_by(labelled, label, per_class)
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
 
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", per_class:
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """Documents with the score of their whole text in a new column."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, text_of
+from .common import python_ready, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 9.0
@@ -178,7 +178,7 @@ def scan(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[
 
 def with_spans(docs: DataFrame, spans: str = "spans", min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
     """Documents with their secrets as an array of (kind, start, end, log10_guesses)."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -204,7 +204,7 @@ def redacted(docs: DataFrame, min_log10_guesses: float = MIN_LOG10_GUESSES) -> D
 
     Texts without a secret, null ones too, stay exactly as they are.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

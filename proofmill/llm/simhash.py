@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom
-from .common import small_batches, text_of, written
+from .common import python_ready, text_of, written
 from .components import components
 
 WORDS = 4
@@ -69,7 +69,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, keep: list[Column | str], name: str = "fingerprint",
                  words: int = WORDS) -> DataFrame:
     """``keep`` and the fingerprint of each document as a long."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

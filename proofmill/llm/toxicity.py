@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import clear_labels, fold, sample_by, small_batches, text_of, written
+from .common import clear_labels, fold, sample_by, python_ready, text_of, written
 
 #: Labelled documents of each label, about, that the model is fitted on.
 PER_CLASS = 1000
@@ -368,7 +368,7 @@ def choose_landmarks(sample: DataFrame, label: str, toxic: int, clean: int, most
     return tuple(strings + [r["string"] for r in beside])
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 5.0) -> np.ndarray:
     """Weights and bias of a linear support vector machine with squared hinge loss, by Newton steps."""
     x = np.hstack((x, np.ones((len(x), 1))))
     ridge = np.eye(x.shape[1])
@@ -403,7 +403,7 @@ def _sigmoid(value: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, flo
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS,
         most: int = LANDMARKS) -> Model:
     """The model of documents and their (doc_id, label) rows, from a bounded sample of them."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     picked, counts = sample_by(labelled, label, per_class)
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     constant = Model((), np.zeros(0), 0.0, 0.0, 0.0, prior)
@@ -469,7 +469,7 @@ def _train(landmarks: Landmarks, raw: list[np.ndarray], y: np.ndarray, white: np
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """Documents with the score of their whole text in a new column."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
