@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
-from ..functions.stage import once
+from ..functions.stage import let, once
 from ..session import reused
 from . import dedup
 
@@ -41,12 +41,23 @@ def _say(code: str, value: Column) -> Column:
 
 
 def parse_lines(lines: Column) -> Column:
-    """Fields of each catalog-format line; ``ok`` is false when the format does not fit."""
-    part = lambda line, i: F.regexp_extract(line, X.rx(K.CATALOG_LINE), i)
-    return F.transform(lines, lambda line, i: F.struct(
-        i.alias("i"), line.rlike(X.rx(K.CATALOG_LINE)).alias("ok"),
-        part(line, 1).alias("ts"), part(line, 2).alias("level"), part(line, 5).alias("thread"),
-        part(line, 6).alias("logger"), part(line, 7).alias("message")))
+    """Fields of each catalog-format line; ``ok`` is false when the format does not fit.
+
+    The pattern is run once a line: it puts a mark between the fields, and a split takes them.
+    """
+    mark = "\u0001"
+    whole = X.rx(K.CATALOG_LINE.removesuffix("$") + r"\R?\z")
+    marked = "".join(f"{mark}${group}" for group in (1, 2, 5, 6, 7))
+
+    def fields(line: Column, i: Column) -> Column:
+        def named(p: Column) -> Column:
+            ok = (F.size(p) == 6) & (F.get(p, F.lit(0)) == "") & ~line.startswith(mark)
+            part = lambda k: F.when(ok, F.get(p, F.lit(k))).otherwise(F.when(line.isNotNull(), ""))
+            return F.struct(i.alias("i"), ok.alias("ok"), *[
+                part(k).alias(name) for k, name in enumerate(("ts", "level", "thread", "logger", "message"), 1)])
+        return let(F.split(F.regexp_replace(line, whole, marked), mark, 6), named)
+
+    return F.transform(lines, fields)
 
 
 def _per_line(parsed: Column, reasons) -> Column:
