@@ -8,13 +8,12 @@ compared with a landmark through its best window of about the landmark's length,
 stem counts inside any longer word.
 
 Landmarks are letter strings that greedily cover the toxic documents of a bounded labelled
-sample and are rare in the clean ones. A sentence's features are its words' kernel values with
-the landmarks, added up over its different words and whitened by the landmarks' own kernel matrix (Nyström). Only
+sample and are rare in the clean ones. A sentence's features are the kernel values of its best
+words with each landmark, whitened by the landmarks' own kernel matrix (Nyström). Only
 documents are labelled, so the machine is trained on sentences in rounds: all sentences of
 clean documents are negative; of each toxic document the sentence that scores highest is
-positive, and any that matches a landmark better than all clean sentences do. A document's score is that of its worst sentence, through a fitted sigmoid. Given the
-landmarks the decision is a sum over words, so each worker computes a word once and keeps it in
-a bounded table.
+positive, and any that matches a landmark better than all clean sentences do. A document's score is that of its worst sentence, through a fitted sigmoid. Each worker
+computes a word's values once and keeps them in a bounded table.
 
 Kernel values below ``CUT`` count as zero; an upper bound on the kernel, cheap to take for
 whole blocks of words, finds the words for which that holds.
@@ -56,10 +55,11 @@ START, END = "^", "$"
 CLEAN_LANDMARKS = 16
 PIECE = 48
 #: Words whose decision a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Sentences of a training document that are looked at, those with the largest features.
 SENTENCES = 40
 _ORDER = 3
+_POOL = np.array([1.0, 0.5, 0.25])
 _CODES = 32
 _ROUNDS = 4
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -202,46 +202,48 @@ def pieces(word: str) -> list[str]:
     return [plain[i:i + PIECE] for i in range(0, len(plain) - LONGEST - SLACK, step)]
 
 
+def _pooled(values: np.ndarray) -> np.ndarray:
+    """One value for each landmark from those of a sentence's words: the best different words
+    count in full, by half and by a quarter, so many distant ones never add up to a match."""
+    if len(values) == 1:
+        return values[0]
+    best = -np.sort(-np.unique(values, axis=0), axis=0)[:len(_POOL)]
+    return _POOL[:len(best)] @ best
+
+
 class Words:
-    """Per-word vectors of a linear function of the landmark values, kept in a bounded table."""
+    """Landmark values of words, kept in a bounded table, and of the sentences made of them."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray):
-        self.landmarks, self.weights = landmarks, weights
+    def __init__(self, landmarks: Landmarks):
+        self.landmarks = landmarks
         self._clear()
 
     def _clear(self) -> None:
         self.number = {"": 0, "\n": 1}
-        self.size = 2
-        width = self.weights.shape[1]
-        self.value = np.zeros((1024, width))
-        self.alike = np.zeros(1024, dtype=np.int64)      # the first word of the same letters
-        self.by_letters: dict[tuple[str, ...], int] = {}
-        self.end = np.zeros(1024, dtype=bool)
-        self.single = np.zeros(1024, dtype=bool)
+        self.row = np.zeros(1024, dtype=np.int64)        # of the word's values, 0 for none
+        self.end = np.zeros(1024, dtype=bool)            # whether the word ends a sentence
+        self.single = np.zeros(1024, dtype=bool)         # whether it is one letter
         self.end[1] = True
+        self.values = [np.zeros(len(self.landmarks.strings))]
 
     def _learn(self, fresh: list[str]) -> None:
         parts = [pieces(w) for w in fresh]
         found = self.landmarks.values(list({p for own in parts for p in own}))
-        need = self.size + len(fresh)
-        if need > len(self.value):
-            grow = max(need, 2 * len(self.value)) - len(self.value)
-            self.value = np.concatenate((self.value, np.zeros((grow, self.value.shape[1]))))
-            self.alike = np.concatenate((self.alike, np.zeros(grow, dtype=np.int64)))
-            self.end = np.concatenate((self.end, np.zeros(grow, dtype=bool)))
-            self.single = np.concatenate((self.single, np.zeros(grow, dtype=bool)))
-        for word, own in zip(fresh, parts):
-            n = self.number[word] = self.size
-            self.size += 1
-            for p in own:
-                if p in found:
-                    self.value[n] += found[p] @ self.weights
-                    self.alike[n] = self.by_letters.setdefault(tuple(own), n)
+        size = len(self.number)
+        if (need := size + len(fresh)) > len(self.row):
+            grow = max(need, 2 * len(self.row)) - len(self.row)
+            self.row, self.end, self.single = (
+                np.concatenate((a, np.zeros(grow, dtype=a.dtype))) for a in (self.row, self.end, self.single))
+        for n, (word, own) in enumerate(zip(fresh, parts), size):
+            self.number[word] = n
             self.end[n] = word.endswith(_ENDS)
             self.single[n] = len(own[0]) == 3
+            if values := [found[p] for p in own if p in found]:
+                self.row[n] = len(self.values)
+                self.values.append(np.max(values, axis=0))
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the sums of the word vectors of its sentences with one other than zero."""
+        """For each text the features of its sentences that have one other than zero."""
         split = [(t.translate(_BLANKS) if "\t" in t or "\r" in t else t).replace("\n", " \n ").split(" ") for t in texts]
         known = self.number
         fresh = {w for tokens in split for w in tokens if w not in known}
@@ -250,29 +252,25 @@ class Words:
             known = self.number
             fresh = {w for tokens in split for w in tokens if w not in known}
         self._learn(sorted(fresh))
-        return [self._sums(tokens) for tokens in split]
+        return [self._features(tokens) for tokens in split]
 
-    def _sums(self, tokens: list[str]) -> np.ndarray:
+    def _features(self, tokens: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        spelled = self._spelled(tokens, at)
-        values = self.value[at]
-        if not spelled and not values.any():
-            return np.empty((0, self.weights.shape[1]))
-        for place, vector in spelled:
-            values[place] += vector
-        number = np.concatenate(([0], np.cumsum(self.end[at])[:-1]))
-        some = np.flatnonzero(values.any(axis=1))
-        # a word counts once per sentence; joined letters stand under a number of their own
-        own = self.alike[at[some]]
-        own[np.isin(some, [place for place, _ in spelled])] += self.size
-        some = some[np.unique(number[some] * (2 * self.size) + own, return_index=True)[1]]
-        which, back = np.unique(number[some], return_inverse=True)
-        sums = np.zeros((len(which), values.shape[1]))
-        np.add.at(sums, back, values[some])
-        return sums
+        rows = self.row[at]
+        some = np.flatnonzero(rows)
+        values = [self.values[r] for r in rows[some].tolist()]
+        for place, value in self._spelled(tokens, at):
+            some = np.append(some, place)
+            values.append(value)
+        if not values:
+            return np.empty((0, len(self.landmarks.strings)))
+        number = np.concatenate(([0], np.cumsum(self.end[at])[:-1]))[some]
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
+        return np.array([_pooled(block) for block in np.split(np.array(values)[order], cuts)])
 
     def _spelled(self, tokens: list[str], at: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Vectors of runs of four or more letters written apart, at the run's first token."""
+        """Values of runs of four or more letters written apart, at the run's first token."""
         single = self.single[at]
         if single.sum() < SHORTEST:
             return []
@@ -282,7 +280,7 @@ class Words:
             return []
         joined = {s: pieces("".join(letters(t) for t in tokens[s:e])) for s, e in runs}
         found = self.landmarks.values(list({p for own in joined.values() for p in own}))
-        return [(s, sum(found[p] @ self.weights for p in own if p in found))
+        return [(s, np.max([found[p] for p in own if p in found], axis=0))
                 for s, own in joined.items() if any(p in found for p in own)]
 
 
@@ -298,11 +296,12 @@ class Model:
     def scores(self, words: Words, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        worst = np.array([s.max(initial=0.0) for s in words.sentences(texts)])
+        # a sentence without any value counts as zero, every text has room for one
+        worst = np.array([(f @ self.weights).max(initial=0.0) for f in words.sentences(texts)])
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst + self.bias) + self.shift, -50, 50)))
 
     def words(self) -> Words:
-        return Words(Landmarks(self.landmarks), self.weights[:, None])
+        return Words(Landmarks(self.landmarks))
 
 
 def _strings(text: str) -> set[str]:
@@ -345,7 +344,7 @@ def choose_landmarks(sample: DataFrame, label: str, toxic: int, clean: int, most
         covers[i, r["h"]] = 1
     worth, chosen, free = np.ones(len(docs)), [], np.ones(len(names), dtype=bool)
     while len(chosen) < most and len(names):
-        gains = (worth @ covers - 2 * np.sqrt(worth ** 2 @ covers)) / max(1, len(docs)) - against * worth.mean()
+        gains = (worth @ covers - np.sqrt(worth ** 2 @ covers)) / max(1, len(docs)) - against * worth.mean()
         gains[~free] = -1
         # among nearly equal gains the longest string, it is the most particular
         if gains.max() <= 0:
@@ -420,7 +419,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: i
 
     @F.pandas_udf("array<binary>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words(Landmarks(strings), np.eye(len(strings)))
+        words = Words(Landmarks(strings))
         for texts in batches:
             out = []
             for found in words.sentences(list(texts)):

@@ -54,7 +54,7 @@ def test_worst_sentence_decides_and_words_count_once():
     one, two, many, spelled, none = m.scores(m.words(), [
         "a good day. you idiot there", "idiot\nscum idiot scum.", "idiot " * 500, "so i d i o t it was", ""])
     assert none < .1 and one == many == spelled and one == pytest.approx(1 / (1 + math.exp(-3)))
-    assert two == pytest.approx(1 / (1 + math.exp(-9)))
+    assert two == pytest.approx(1 / (1 + math.exp(-9)))          # two landmarks in one sentence
 
 
 def test_results_do_not_depend_on_what_a_worker_has_kept(monkeypatch):
