@@ -28,7 +28,16 @@ def written(rows: DataFrame, what: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(rows: DataFrame) -> None:
+    """Deletes a table that ``written`` made, once nothing reads it any more."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(rows._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text") -> Column:

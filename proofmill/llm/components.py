@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,12 +13,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round points each node's larger neighbours, then each node's smaller ones, at its
     smallest neighbour. Minima are combined map-side, and a hub's neighbours only meet its
     minimum in a join that adaptive execution can split. Each round is written to the shared
-    folder; one that changes nothing ends the loop.
+    folder and the one before is deleted; a round that changes nothing ends the loop.
     """
     pairs = written(_undirected(edges), "edges")
     before = None
     for _ in range(most_rounds):
-        pairs = written(_star(_star(pairs, larger=True), larger=False), "edges")
+        last, pairs = pairs, written(_star(_star(pairs, larger=True), larger=False), "edges")
+        discard(last)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 class Rule(NamedTuple):
@@ -117,6 +117,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         state = written(state, "state")
         moved = state.join(before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "left").agg(
             F.max(F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0))))).first()[0]
+        if before is not seeds:
+            discard(before)
         if not moved or moved <= tolerance:
             break
     return state
