@@ -63,7 +63,7 @@ def path_of(url: str = "url") -> Column:
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """(rule, verdict) of the longest rule that fits, or null."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: len(r.text)):  # the last one wins
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):  # the last one wins
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.struct(F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)
     return found

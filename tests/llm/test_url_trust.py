@@ -83,5 +83,15 @@ def test_trust_follows_links_and_distrust_runs_against_them(spark):
     assert got["friend"] == (pytest.approx(.85), 0) and got["ally"] == (0, pytest.approx(.85)) and got["victim"] == (0, 0)
 
 
+def test_of_equally_long_rules_the_first_wins(spark):
+    rules = (U.Rule("allow", "a.net", "/xy"), U.Rule("block", "net", "/xy/z"), U.Rule("block", "a.net", "/x"))
+    pages = spark.createDataFrame([(1, "http://a.net/xy/z1", None, "h", "v")], PAGES)
+    assert U.verdicts(pages, rules).first()["rule"] == "a.net/xy"
+    rules = (U.Rule("allow", "a.net", "/xy"), U.Rule("block", "net", "/xy/"))
+    assert [U.verdicts(pages, r).first()["verdict"] for r in (rules, rules[::-1])] == ["allow", "allow"]
+    rules = (U.Rule("allow", "a.net", "/xy"), U.Rule("block", "a.net", "/xy"))
+    assert [U.verdicts(pages, r).first()["verdict"] for r in (rules, rules[::-1])] == ["allow", "block"]
+
+
 def test_empty_table(spark):
     assert U.verdicts(spark.createDataFrame([], PAGES)).count() == 0
