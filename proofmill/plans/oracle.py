@@ -105,6 +105,21 @@ def evaluated(x: str) -> str:
     return rf"regexp_replace(trim({x}, ' ' || chr(9) || chr(10) || chr(13)), '\s+', ' ', 'g')"
 
 
+def judged_number(key: str) -> str:
+    """A score of the judge's JSON (``judged``): numbers cut to whole ones, whole numbers in
+    quotes and truth values count, all else is 0; within 0 to 5."""
+    at = f"json_extract_string(judged, '$.{key}')"
+    return f"""CAST(greatest(0, least(5, CASE json_type(judged, '$.{key}')
+      WHEN 'BOOLEAN' THEN CASE {at} WHEN 'true' THEN 1 ELSE 0 END
+      WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({at}), '[+-]?[0-9]+') THEN CAST(trim({at}) AS BIGINT) ELSE 0 END
+      WHEN 'NULL' THEN 0 ELSE coalesce(CAST(trunc(TRY_CAST({at} AS DOUBLE)) AS BIGINT), 0) END)) AS INTEGER)"""
+
+
+JUDGED_FLAG = """coalesce(CASE json_type(judged, '$.hallucinationDetected') WHEN 'NULL' THEN false
+      WHEN 'VARCHAR' THEN json_extract_string(judged, '$.hallucinationDetected') <> ''
+      ELSE json_extract_string(judged, '$.hallucinationDetected') NOT IN ('false', '0', '0.0') END, false)"""
+JUDGED_PASS = "coalesce(json_extract_string(judged, '$.verdict') = 'PASS', false)"
+
 _LINES = text_lines("d.text")
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -149,20 +164,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             len(list_filter(s.log_samples, lambda x: contains({evaluated('x')}, {evaluated('a.evidence_line')}))) > 0 AS grounded,
           NOT a.parse_failed AND (NOT a.claimed OR (trim(a.evidence_line) <> '' AND list_contains(s.log_samples, trim(a.evidence_line)))) AS strict_ok
         FROM (SELECT * REPLACE (claimed AND NOT parse_failed AS claimed) FROM b_analysis) a JOIN b_scenario s ON s.name = a.scenario)"""),
-    "b_trial": (("b_fact",), f"""SELECT *, arm AS run, sample_idx + 2 AS trial,
+    "b_trial": (("b_fact",), f"""SELECT *, CASE WHEN is_judged THEN judge_raw ELSE '{{}}' END AS judged
+      FROM (SELECT *, CASE WHEN json_valid(judge_raw) THEN json_type(judge_raw) = 'OBJECT' ELSE false END AS is_judged
+      FROM (SELECT *, ({qlist(B.JUDGE_ANSWERS)})[CAST(j + 1 AS INTEGER)] AS judge_raw FROM (SELECT *, arm AS run, sample_idx + 2 AS trial,
         (doc_id * 13 + sample_idx + 2) % 500 AS latency, (doc_id * 5 + (sample_idx + 2) * 3 + arm_no) % 9 AS j,
         {q(K.SUMMARY_PREFIX)} || CASE WHEN grounded THEN summary ELSE {q(K.NO_EVIDENCE_SUMMARY)} END || chr(10) ||
         {q(K.VERDICT_PREFIX)} || CASE WHEN grounded THEN '예' ELSE '아니오' END || chr(10) ||
         {q(K.CAUSE_PREFIX)} || CASE WHEN grounded AND cause <> '' THEN cause ELSE {q(K.NOTHING)} END || chr(10) ||
         {q(K.ACTIONS_PREFIX)} || CASE WHEN len(actions) = 0 THEN ' ' || {q(K.NOTHING)}
           ELSE chr(10) || '- ' || array_to_string(actions, chr(10) || '- ') END AS flat
-      FROM b_fact"""),
+      FROM b_fact)))"""),
     "b_result": (("b_trial",), f"""SELECT run, scenario, trial, doc_id, expects_yes,
         CASE WHEN parse_failed THEN {q(K.FAILED_ANSWER)} ELSE flat END AS answer,
-        CASE WHEN parse_failed THEN 0 WHEN j < 4 THEN 5 WHEN j = 4 THEN 5 WHEN j = 5 THEN 4 WHEN j = 8 THEN 1 ELSE 0 END AS accuracy,
-        CASE WHEN parse_failed THEN 0 WHEN j < 4 THEN 4 WHEN j = 5 THEN 3 ELSE 0 END AS groundedness,
-        NOT parse_failed AND j IN (4, 7) AS hallucination_detected,
-        CASE WHEN NOT parse_failed AND j IN (0, 1, 2, 3, 7) THEN 'PASS' ELSE 'FAIL' END AS verdict,
+        CASE WHEN parse_failed THEN 0 ELSE {judged_number("accuracy")} END AS accuracy,
+        CASE WHEN parse_failed THEN 0 ELSE {judged_number("groundedness")} END AS groundedness,
+        NOT parse_failed AND {JUDGED_FLAG} AS hallucination_detected,
+        CASE WHEN NOT parse_failed AND {JUDGED_PASS} THEN 'PASS' ELSE 'FAIL' END AS verdict,
         CASE WHEN parse_failed THEN 0 ELSE latency END AS latency_ms, parse_failed AS failed, j
       FROM b_trial"""),
     "b_prob": ((), """SELECT idx, scenario, label, CASE WHEN zero THEN 0.0 ELSE t END AS true_p, CASE WHEN zero THEN 0.0 ELSE 1.0 - t END AS false_p,

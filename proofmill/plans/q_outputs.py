@@ -10,7 +10,7 @@ from ..functions.text import render_rule
 from ..operators import metrics as M, outputs as O, prompts as P, replay
 from ..sources import readers, sinks
 from . import bridge as B
-from .oracle import q, sql
+from .oracle import JUDGED_FLAG, JUDGED_PASS, judged_number, q, sql
 from .registry import joined, query, r6, scratch
 
 
@@ -252,12 +252,10 @@ def parse_analysis(spark, sf):
 
 
 @query("parse_judge", sql("""
-SELECT run, scenario, trial,
-  CASE WHEN j < 5 THEN 5 WHEN j = 5 THEN 4 WHEN j = 8 THEN 1 ELSE 0 END AS accuracy,
-  CASE WHEN j < 4 THEN 4 WHEN j = 5 THEN 3 ELSE 0 END AS groundedness,
-  j IN (4, 7) AS hallucination_detected, CASE WHEN j IN (0, 1, 2, 3, 7) THEN 'PASS' ELSE 'FAIL' END AS verdict,
-  CASE WHEN j < 4 THEN 'ok' WHEN j = 4 THEN 'bad' WHEN j = 6 THEN 'judge answer is not a JSON object' WHEN j = 8 THEN 'r' ELSE '' END AS rationale
-FROM b_trial""", "b_trial"))
+SELECT run, scenario, trial, {acc} AS accuracy, {gro} AS groundedness, {flag} AS hallucination_detected,
+  CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS verdict,
+  CASE WHEN NOT is_judged THEN 'judge answer is not a JSON object' ELSE coalesce(json_extract_string(judged, '$.rationale'), '') END AS rationale
+FROM b_trial""".format(acc=judged_number("accuracy"), gro=judged_number("groundedness"), flag=JUDGED_FLAG, ok=JUDGED_PASS), "b_trial"))
 def parse_judge(spark, sf):
     return O.parse_scores(B.trials(spark, sf)).select("run", "scenario", "trial", "score.*")
 
