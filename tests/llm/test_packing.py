@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from proofmill.llm import packing
 
+PARTS = packing.PartIds(packing.vocabulary_path(), kept=20)
 WHOLE = Tokenizer.from_file(packing.vocabulary_path())
 
 
@@ -16,7 +17,7 @@ WHOLE = Tokenizer.from_file(packing.vocabulary_path())
      "ñó,", "１２", "x,!!", "Ñ|", "a<|endoftext|>b", "it's!", "Ĳ.", "ŉ", "tab\there", "cr\r\n"])), max_size=6))
 def test_ids_by_parts_equal_ids_of_the_whole_text(parts):
     for text in (" ".join(parts), "\n".join(parts), "".join(parts)):
-        found = packing.PartIds(packing.vocabulary_path(), kept=20).encode(text)
+        found = PARTS.encode(text)
         assert np.frombuffer(found, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 

@@ -23,7 +23,7 @@ def brute_kernel(a, b):
     return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) if dot(a, b) else 0.0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(WORDS, WORDS)
 def test_kernel_by_its_definition(a, b):
     assert T.kernel(a, b) == pytest.approx(brute_kernel(a, b))
