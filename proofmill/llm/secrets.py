@@ -5,6 +5,8 @@ Fixed patterns find assignments, access keys and long hex runs. In wider credent
 cheapest segmentation into known words, dates, repeats, sequences, keyboard walks and brute
 force spans needs at least ``10 ** min_log10_guesses`` guesses. Known words are a short fixed
 list and the words of the document itself, so ordinary prose after "password is" stays cheap.
+Words inside a credential value, or inside a copy of one elsewhere in the text, are not known by
+that: no value makes itself or another one cheap.
 
 Defined cases: null and empty texts hold no secret; texts are scanned whole, however long;
 offsets are code points, end exclusive; a guess span that touches a base span is left out;
@@ -37,6 +39,7 @@ _CONTEXT = re.compile(
     r"""(?:access|private|auth)[\s_-]?key|login|auth)["']?\s{0,3}(?::=|=>|->|[:=]|\bis\b)\s{0,3}["']?"""
     r"""([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "login", "auth")
+_WORD = re.compile(r"[^\W\d_]{3,24}")
 
 #: Frequent passwords and words, by rank.
 COMMON = (
@@ -139,11 +142,27 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
+def without_values(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans and without the strings equal to one, in any case, elsewhere."""
+    copies: dict[str, set[tuple[str, int]]] = {}
+    for value in {text[a:b].lower() for a, b in spans}:
+        word = max(_WORD.finditer(value), key=lambda m: len(m[0]), default=None)
+        if word:
+            copies.setdefault(word[0], set()).add((value, word.start()))
+    cut = list(spans)
+    for m in _WORD.finditer(text):
+        for value, at in copies.get(m[0].lower(), ()):
+            start = m.start() - at
+            if start >= 0 and text[start:start + len(value)].lower() == value:
+                cut.append((start, start + len(value)))
+    return redact(text, sorted(cut), " ")
+
+
 def document_ranks(text: str) -> dict[str, int]:
-    """Known words for a text: the fixed list, then the text's own words that recur."""
+    """Known words for a text: the fixed list, then the text's own words, frequent ones first."""
     ranks = {w: k for k, w in enumerate(COMMON, 1)}
     counts: dict[str, int] = {}
-    for word in re.findall(r"[^\W\d_]{3,24}", text.lower()):
+    for word in _WORD.findall(text.lower()):
         counts[word] = counts.get(word, 0) + 1
     for word in sorted((w for w, c in counts.items() if w not in ranks), key=lambda w: (-counts[w], w)):
         ranks[word] = len(ranks) + 1
@@ -160,19 +179,16 @@ def scan(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[
         found += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
-        ranks = None
         base = sorted((s, e) for _, s, e, _ in found)
-        for m in _CONTEXT.finditer(text):
-            start, end = m.span(1)
-            value = m[1].rstrip(".!?)]}")
-            end = start + len(value)
-            if len(value) < 6 or any(s < end and start < e for s, e in base):
-                continue
-            if ranks is None:
-                ranks = document_ranks(text[:start] + " " + text[end:])
-            cost = guess_cost(value, ranks)
-            if cost >= min_log10_guesses:
-                found.append(("guess", start, end, cost))
+        values = [(m.start(1), m.start(1) + len(m[1].rstrip(".!?)]}"))) for m in _CONTEXT.finditer(text)]
+        asked = [(a, b) for a, b in values if b - a >= 6 and not any(s < b and a < e for s, e in base)]
+        if asked:
+            assigned = [m.span(2) for m in _ASSIGN.finditer(text)]
+            ranks = document_ranks(without_values(text, values + assigned + base))
+            for start, end in asked:
+                cost = guess_cost(text[start:end], ranks)
+                if cost >= min_log10_guesses:
+                    found.append(("guess", start, end, cost))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -99,3 +99,21 @@ def test_rows_and_redaction(documents):
 def test_redact_merges_overlaps():
     assert secrets.redact("0123456789", [(1, 4), (2, 3), (3, 6), (8, 9)], "_") == "0_67_9"
     assert secrets.redact("0123456789", [(1, 4), (6, 8)], "_") == "0_45_89"
+
+
+def guesses(text):
+    return [text[a:b] for kind, a, b, _ in secrets.scan(text) if kind == "guess"]
+
+
+def test_values_are_not_known_by_themselves_or_each_other():
+    prose = " ".join(f"{a}{b}{c}" for a in "bdfgklmn" for b in ("ora", "ile", "une") for c in "prstvz")
+    one, two = "qhzvkxwjtrnb", "mwqxzkfjvhpt"
+    assert guesses(f"{prose} password is required. the pwd is {one} {prose}") == [one]
+    assert guesses(f"{prose} passphrase is {one} {prose} pwd is {two}. login is {one}") == [one, two, one]
+    # the copy stands in the open, in brackets and in capitals
+    assert guesses(f"{prose} pwd is {one} {prose} type {one} or ({one.upper()})") == [one]
+    # a copy of an assigned value does not make the other one cheap
+    assert guesses(f"password={one} {prose} pwd is {one}-{two}") == [f"{one}-{two}"]
+    # words of the text outside values stay known
+    assert guesses(f"{prose} boraporalessness pwd is boraporalessness-lilev, the lilev boraporalessness") == []
+    assert guesses("passcode is Zx9!kQ2#vL") == ["Zx9!kQ2#vL"] and guesses("pwd is (((((((") == []
