@@ -35,8 +35,9 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[\s_-]?key|"""
-    r"""(?:access|private|auth)[\s_-]?key|login|auth)["']?\s{0,3}(?::=|=>|->|[:=]|\bis\b)\s{0,3}["']?"""
+    r"""(?:(?<![a-z])|(?<=(?-i:[a-z]))(?=(?-i:[A-Z])))"""  # DB_PASS and dbPass, not compass
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:secret[\s_-]?)?(?:api|access|private|auth)"""
+    r"""[\s_-]?key|secret[\s_-]?key|login|auth)["']?\s{0,3}(?::=|=>|->|[:=]|\bis\b)\s{0,3}["']?"""
     r"""([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "login", "auth")
 _WORD = re.compile(r"[^\W\d_]{3,24}")

@@ -117,3 +117,13 @@ def test_values_are_not_known_by_themselves_or_each_other():
     # words of the text outside values stay known
     assert guesses(f"{prose} boraporalessness pwd is boraporalessness-lilev, the lilev boraporalessness") == []
     assert guesses("passcode is Zx9!kQ2#vL") == ["Zx9!kQ2#vL"] and guesses("pwd is (((((((") == []
+
+
+@pytest.mark.parametrize("name", ("AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "smtp_pwd: ", "db2_pwd is ", "my-login: ", "SECRET_KEY=",
+                                  "secretAccessKey = ", "dbPass=", "x_private_key -> ", '"MY_AUTH": "'))
+def test_key_names_behind_a_prefix(name):
+    assert guesses(f"é {name}xK9#mQ2v$Lw1\n") == ["xK9#mQ2v$Lw1"]
+
+
+def test_keywords_inside_words_are_no_context():
+    assert guesses("compass: xK9#mQ2v$Lw1 bypass is xK9#mQ2v$Lw1 author=xK9#mQ2v$Lw1 MONKEY: xK9#mQ2v$Lw1") == []
