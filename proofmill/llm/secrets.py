@@ -3,7 +3,9 @@
 Fixed patterns find assignments, access keys and long hex runs. In wider credential contexts
 (``pwd is ...``, ``passphrase: ...``) a value counts as a secret if guessing it is dear: the
 cheapest segmentation into known words, dates, repeats, sequences, keyboard walks and brute
-force spans needs at least ``10 ** min_log10_guesses`` guesses. Known words are a short fixed
+force spans needs at least ``10 ** min_log10_guesses`` guesses. A brute force character costs the
+alphabet of the classes that the value mixes, so random values are found from 6 characters if they
+mix two classes, with letters or digits alone from 9. Known words are a short fixed
 list and the words of the document itself, so ordinary prose after "password is" stays cheap.
 Words inside a credential value, or inside a copy of one elsewhere in the text, are not known by
 that: no value makes itself or another one cheap.
@@ -41,6 +43,8 @@ _CONTEXT = re.compile(
     r"""([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "login", "auth")
 _WORD = re.compile(r"[^\W\d_]{3,24}")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
+_SIGNS = re.compile(r"(?:^|(?<=[\W_]))[\W_]|[\W_](?=[\W_]|$)|[^\w\-./:'’|&+=@]")  # but single joining ones
 
 #: Frequent passwords and words, by rank.
 COMMON = (
@@ -51,11 +55,13 @@ COMMON = (
     "computer internet server service system database token access public private my the and for "
     "you not this that with from your have are was but all can one new key value none null true "
     "false string text file name data").split()
-#: Rows of a keyboard.
-KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+#: Rows of a keyboard and its two slants.
+KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./",
+            "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/",
+            "2q", "3wa", "4esz", "5rdx", "6tfc", "7ygv", "8uhb", "9ijn", "0okm", "-pl,")
 
 _LOG10 = math.log10
-_BRUTE = 1.0            # ten guesses a character
+_BRUTE = 1.0            # ten guesses a character of a plain word or number
 _SEGMENT = _LOG10(3)    # the order and number of the segments has to be guessed too
 _YEARS = 120
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -92,10 +98,25 @@ def _case_cost(piece: str) -> float:
     return _LOG10(sum(math.comb(len(piece), k) for k in range(1, min(upper, len(piece) - upper) + 1)))
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
+def brute_cost(value: str) -> float:
+    """log10 of the guesses a character of ``value``, by the classes of characters it mixes.
+
+    Plain words, in one case or with a capital, and numbers count ten guesses a character, also
+    several of one kind joined by single signs such as ``e-mail`` or ``12:30``.
+    """
+    words = _LETTERS.findall(value)
+    size = 26 if words else 0
+    size += 26 if any(w != w.upper() and w[1:] != w[1:].lower() for w in words) else 0
+    size += 10 if _DIGITS.search(value) else 0
+    size += 33 if _SIGNS.search(value) else 0
+    return _BRUTE if size in (0, 10, 26, 33) else _LOG10(size)
+
+
+def guess_cost(value: str, ranks: dict[str, int], brute: float = _BRUTE) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
-    ``ranks`` has the rank, from 1, of each known word in lower case.
+    ``ranks`` has the rank, from 1, of each known word in lower case; ``brute`` is the cost of a
+    character that no other kind covers.
     """
     n = len(value)
     if not n:
@@ -112,7 +133,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     for end in range(1, n + 1):
         i = end - 1
         # brute force, one character at a time; a new span pays for being one
-        offer(end, best[i] + _BRUTE)
+        offer(end, best[i] + brute)
         if i:
             delta = ord(low[i]) - ord(low[i - 1])
             step_run = step_run + 1 if abs(delta) == 1 and (step_run == 1 or delta == last) else 2 if abs(delta) == 1 else 1
@@ -187,7 +208,7 @@ def scan(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[
             assigned = [m.span(2) for m in _ASSIGN.finditer(text)]
             ranks = document_ranks(without_values(text, values + assigned + base))
             for start, end in asked:
-                cost = guess_cost(text[start:end], ranks)
+                cost = guess_cost(text[start:end], ranks, brute_cost(text[start:end]))
                 if cost >= min_log10_guesses:
                     found.append(("guess", start, end, cost))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))

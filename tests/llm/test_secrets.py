@@ -127,3 +127,12 @@ def test_key_names_behind_a_prefix(name):
 
 def test_keywords_inside_words_are_no_context():
     assert guesses("compass: xK9#mQ2v$Lw1 bypass is xK9#mQ2v$Lw1 author=xK9#mQ2v$Lw1 MONKEY: xK9#mQ2v$Lw1") == []
+
+
+def test_short_random_values_of_mixed_classes():
+    for value in ("xK9#mQ2v", "k3x9q2vz", "vR7tLm2Q", "fT#wq!Zr", "xK9#mQ2", "xK9#mQ", "8#2!7$k4", "QX7R2KV9"):
+        assert guesses(f"the pwd is {value}, then") == [value]
+    for cheap in ("required", "Required", "REQUIRED", "thorinat", "e-mail", "user-name", "and/or-not", "08:15:30", "12345678", "2023-01-15",
+                  "12/05/1999", "1q2w3e4r", "1qaz2wsx", "qwer1234", "P4ssw0rd", "P@ssw0rd!", "Summer2024!", "dragon1987", "abcd1234",
+                  "aaaaaaaa1", "请输入新密码", "größere"):
+        assert guesses(f"the pwd is {cheap}, then") == [], cheap
