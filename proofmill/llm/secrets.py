@@ -11,7 +11,7 @@ Words inside a credential value, or inside a copy of one elsewhere in the text,
 that: no value makes itself or another one cheap.
 
 Defined cases: null and empty texts hold no secret; texts are scanned whole, however long;
-offsets are code points, end exclusive; a guess span that touches a base span is left out;
+offsets are code points, end exclusive; a guess span inside one base span is left out, one that reaches beyond is kept whole;
 equal spans cannot occur twice; repeated rows give equal rows; an empty table gives none.
 """
 
@@ -203,7 +203,7 @@ def scan(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[
     if any(w in low for w in _CONTEXT_WORDS):
         base = sorted((s, e) for _, s, e, _ in found)
         values = [(m.start(1), m.start(1) + len(m[1].rstrip(".!?)]}"))) for m in _CONTEXT.finditer(text)]
-        asked = [(a, b) for a, b in values if b - a >= 6 and not any(s < b and a < e for s, e in base)]
+        asked = [(a, b) for a, b in values if b - a >= 6 and not any(s <= a and b <= e for s, e in base)]
         if asked:
             assigned = [m.span(2) for m in _ASSIGN.finditer(text)]
             ranks = document_ranks(without_values(text, values + assigned + base))
