@@ -6,7 +6,8 @@ of its pages so judged. Trust is the personalised PageRank from the trusted seed
 links; distrust is the same from the distrusted seeds along reversed links, so a host that
 points at blocked hosts takes part of their distrust. Both are kept without the constant
 ``1 - damping`` and without normalising by the number of seeds, so a seed without links keeps
-its share and the threshold means the same for every corpus size. A host is blocked when its
+its share at every corpus size. A blocked host's distrust is split among all that link to it:
+each of two equal linkers gets 0.425 of it, so alone neither reaches the threshold. A host is blocked when its
 distrust reaches ``threshold`` and exceeds its trust; urls that no rule fits take their host's
 verdict.
 
