@@ -56,8 +56,6 @@ CLEAN_LANDMARKS = 16
 PIECE = 48
 #: Words whose decision a worker keeps.
 KEPT_WORDS = 600_000
-#: Sentences of a training document that are looked at, those with the largest features.
-SENTENCES = 40
 _ORDER = 3
 _POOL = np.array([1.0, 0.5, 0.25])
 _CODES = 32
@@ -421,11 +419,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: i
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words(Landmarks(strings))
         for texts in batches:
-            out = []
-            for found in words.sentences(list(texts)):
-                found = found[np.argsort(-found.sum(axis=1), kind="stable")[:SENTENCES]]
-                out.append([row.astype("<f4").tobytes() for row in found])
-            yield pd.Series(out)
+            yield pd.Series([[row.astype("<f4").tobytes() for row in found] for found in words.sentences(list(texts))])
 
     rows = sample.select("doc_id", label, describe("text").alias("f")).collect()
     rows.sort(key=lambda r: (r[label], r["doc_id"]))

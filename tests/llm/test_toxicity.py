@@ -90,3 +90,14 @@ def test_odd_rows(spark, documents):
     assert got[120] == got[None] == 1
     assert {r["score"] for r in T.judged(docs, labels.limit(0)).collect()} == {.5}
     assert T.judged(documents([]), labels).count() == 0
+
+
+def test_the_fit_reads_every_sentence_with_a_feature(spark, documents, monkeypatch):
+    docs = [(i, f"the quiet river number{i} runs.") for i in range(20)]
+    docs += [(i, "you glorbnak here. " * (60 if i == 25 else 1)) for i in range(20, 30)]
+    labels = spark.createDataFrame([(i, int(i >= 20)) for i, _ in docs], "doc_id long, toxic int")
+    seen, train = [], T._train
+    monkeypatch.setattr(T, "_train", lambda marks, raw, *rest: (seen.extend(raw), train(marks, raw, *rest))[1])
+    T.fit(documents(docs), labels)
+    # sixty sentences and the zero row
+    assert max(map(len, seen)) == 61
