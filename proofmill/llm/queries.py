@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, packing, piece_codec, quality, secrets, simhash, toxicity, url_trust
+from . import (
+    exact_dedup, language, neighbours, packing, piece_codec, quality, secrets, simhash, token_alignment, toxicity, url_trust)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,8 @@ def quality_scores(spark, sf_dir):
 @query("op10_secrets")
 def secret_spans(spark, sf_dir):
     return secrets.digest_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def token_links(spark, sf_dir):
+    return token_alignment.digest_rows(table(spark, sf_dir, "documents"))
