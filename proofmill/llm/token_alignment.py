@@ -12,8 +12,8 @@ of its documents before the shuffle. The ``hot`` most frequent pairs, a fixed nu
 workers as sorted arrays; only occurrences of rarer pairs are shuffled, and none of their keys can
 hold more than 1/``hot`` of all occurrences.
 
-Texts are split at blanks behind a non-blank before tokenising: no token of either vocabulary
-spans such a place, so the ids of a text are those of its parts in order. Parts repeat, and each
+Texts are split before blanks and line ends behind a non-blank, then tokenised: no token of either
+vocabulary spans such a place, so the ids of a text are those of its parts in order. Parts repeat, and each
 worker keeps the ids of those seen last in a bounded table.
 
 Defined cases: texts that are null or empty, and texts whose joined token bytes differ from a
@@ -25,9 +25,13 @@ table gives no row; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import pathlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +44,17 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Bytes of a lane, and of the documents merged at a time (a longer document is merged alone).
 LANE = 2048
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 22
 #: Parts whose ids a worker keeps, and pairs it sums before handing them on.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 500_000
 SUMMED_PAIRS = 1 << 20
 #: Pairs that are sent to all workers: 17 bytes each, 2.2 MB.
 HOT_PAIRS = 1 << 17
 
-_BLANK_RUN = re.compile(r"\s |\A ")
-_SAFE_SPLIT = re.compile(r"(?<=\S) ")
+#: Marks the places to split at; texts that hold it themselves are split the slow way.
+_MARK = "\x1f"
+_RUN = re.compile(rf"\s[ \n]|\A[ \n]|{_MARK}")
+_SAFE_PLACE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,6 +69,55 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b if b in shown else next(other)): b for b in range(256)}
 
 
+def _ranked(path: str, bytes_of: list[bytes]):
+    """A quick encoder for a byte-level vocabulary whose ids follow its merges, else None."""
+    import public_tokenizers
+    import tiktoken
+    model = json.loads(pathlib.Path(path).read_text(encoding="utf-8"))
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["model"]["merges"]]
+    made = [model["model"]["vocab"].get(m.replace(" ", ""), -1) for m in merges]
+    level = model.get("pre_tokenizer") or {}
+    if (level.get("type") != "ByteLevel" or not level.get("use_regex") or level.get("add_prefix_space")
+            or model.get("normalizer") or made != list(range(256, 256 + len(made)))
+            or any(len(x) != 1 for x in bytes_of[:256])):
+        return None
+    ranks = {x: i for i, x in enumerate(bytes_of[:256 + len(made)])}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass
+class Tokens:
+    """Token ids of a batch of documents, laid behind each other, and how many each has."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+
+
+class _Ragged:
+    """Id sequences by number, in one growing array."""
+
+    def __init__(self):
+        self.flat, self.size = np.zeros(1 << 16, np.int64), 0
+        self.start, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int64)])
+        self.flat[self.size:self.size + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.size + np.cumsum(counts) - counts])
+        self.n = np.concatenate([self.n, counts])
+        self.size += len(ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[numbers]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[numbers] - ends + n, n)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+
 class Vocabularies:
     """Both tokenizers, the bytes of every token, and the ids of the parts seen last."""
 
@@ -81,55 +136,88 @@ class Vocabularies:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        # parts may be tokenised alone only if no piece goes on into a blank
-        self.by_parts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.quick_a = _ranked(path_a, self.bytes_a)
+        # parts may be tokenised alone only if no piece goes on into a blank or holds a line end
+        self.by_parts = self.quick_a is not None and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.blank = self.b.piece_to_id("▁")
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.kept = kept
-        self.ids_a: dict[str, bytes] = {}
-        self.ids_b: dict[str, bytes] = {}
-        self.uneven: set[str] = set()
         self.written = _renderings(len(self.bytes_a), len(self.bytes_b))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.part_a, self.part_b, self.uneven = _Ragged(), _Ragged(), np.zeros(0, bool)
 
     def parts(self, text: str) -> list[str]:
+        """The text behind a blank, cut before blanks and line ends that follow a non-blank."""
+        whole = " " + text
         if not self.by_parts:
-            return [text]
-        return _SAFE_SPLIT.split(text) if _BLANK_RUN.search(text) else text.split(" ")
+            return [whole]
+        if _RUN.search(text):
+            return _SAFE_PLACE.split(whole)
+        return whole.replace(" ", _MARK + " ").replace("\n", _MARK + "\n").split(_MARK)[1:]
+
+    def ids_b(self, parts: list[str]) -> list[list[int]]:
+        """The second tokenizer puts a blank in front of its input by itself; it stands alone where
+        a line end follows, and a blank alone is its own piece."""
+        coded = self.b.encode([p[p.startswith(" "):] for p in parts], num_threads=1)
+        for n, part in enumerate(parts):
+            if part == " ":
+                coded[n] = [self.blank]
+            elif part[0] != " ":
+                coded[n] = coded[n][1:]
+        return coded
+
+    def ids_a(self, parts: list[str]) -> list[list[int]]:
+        if self.quick_a is not None:
+            return [self.quick_a.encode_ordinary(p) for p in parts]
+        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
-        """Ids of parts not met yet; a part stands behind its blank."""
-        if len(self.ids_a) + len(parts) > self.kept:
-            self.ids_a.clear(), self.ids_b.clear(), self.uneven.clear()
-        new = sorted(p for p in parts if p not in self.ids_a)
-        coded_b = self.b.encode(new, num_threads=1) if new else []
-        for part, a, b in zip(new, self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False), coded_b):
-            a, b = a.ids, b if part else [self.blank]
-            self.ids_a[part] = np.array(a, "<u4").tobytes()
-            self.ids_b[part] = np.array(b, "<u4").tobytes()
-            whole = b" " + part.encode()
-            if (b"".join(map(self.bytes_a.__getitem__, a)) != whole
-                    or b"".join(map(self.bytes_b.__getitem__, b)) != whole):
-                self.uneven.add(part)
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Both id sequences of each text as little-endian unsigned 32-bit bytes; empty where the
-        text is, or where joined bytes differ from a space and the text."""
+        """Ids of parts not met yet."""
+        new = [p for p in parts if p not in self.number]
+        if len(self.number) + len(new) > self.kept:
+            self.forget()
+            new = list(parts)
+        if not new:
+            return
+        new.sort()
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        size = np.array([len(p.encode()) for p in new], np.int64)
+        uneven = np.zeros(len(new), bool)
+        for kept, coded, lengths, table in ((self.part_a, self.ids_a(new), self.length_a, self.bytes_a),
+                                            (self.part_b, self.ids_b(new), self.length_b, self.bytes_b)):
+            counts = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, int(counts.sum()))
+            kept.extend(ids, counts)
+            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+            uneven |= np.diff(ends) != size
+            if not uneven.any() and b"".join(map(table.__getitem__, ids.tolist())) == "".join(new).encode():
+                continue
+            for n, (part, own) in enumerate(zip(new, coded)):
+                uneven[n] |= b"".join(map(table.__getitem__, own)) != part.encode()
+        self.uneven = np.concatenate([self.uneven, uneven])
+
+    def encode(self, texts: list[str]) -> Tokens:
+        """Both id sequences of each text; empty where the text is, or where joined bytes differ
+        from a space and the text."""
         split = [self.parts(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        out = []
-        for text, parts in zip(texts, split):
-            a = b"".join(map(self.ids_a.__getitem__, parts))
-            b = b"".join(map(self.ids_b.__getitem__, parts))
-            if self.uneven and not self.uneven.isdisjoint(parts) and not self._even(text, a, b):
-                a = b = b""
-            out.append((a, b))
-        return out
-
-    def _even(self, text: str, a: bytes, b: bytes) -> bool:
-        whole = b" " + text.encode()
-        return all(b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) == whole
-                   for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        if self.uneven[numbers].any():
+            doc = np.repeat(np.arange(len(split)), n)
+            for d in np.unique(doc[self.uneven[numbers]]):
+                own = numbers[doc == d]
+                whole = (" " + texts[d]).encode()
+                if any(b"".join(map(table.__getitem__, kept.take(own)[0].tolist())) != whole
+                       for table, kept in ((self.bytes_a, self.part_a), (self.bytes_b, self.part_b))):
+                    n[d], numbers, doc = 0, numbers[doc != d], doc[doc != d]
+        last = np.concatenate(([0], np.cumsum(n)))
+        (a, ends_a), (b, ends_b) = self.part_a.take(numbers), self.part_b.take(numbers)
+        return Tokens(a, b, np.diff(np.concatenate(([0], ends_a))[last]), np.diff(np.concatenate(([0], ends_b))[last]))
 
 
 def _renderings(size_a: int, size_b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,57 +236,47 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray, stops: np.ndarray, lane: int =
     ``ends_a`` and ``ends_b`` are ascending byte ends of the tokens of all documents of the batch,
     laid behind each other; ``stops`` are the documents' ends, where both sides end.
     """
-    slot = np.full(len(ends_a) + len(ends_b) + 1, -1, np.int64)  # i + j never repeats on the walk
+    # i + j never repeats on the walk; a slot holds twice i, and one more at a cut
+    slot = np.full(len(ends_a) + len(ends_b) + 1, -1, np.int64)
     starts = np.concatenate(([0], stops[:-1])) if len(stops) else stops
     lanes = -(-(stops - starts) // lane)
     low = np.repeat(starts, lanes) + lane * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
     stop = np.minimum(low + lane, np.repeat(stops, lanes))
     i = np.searchsorted(ends_a, low, "right")
     j = np.searchsorted(ends_b, low, "right")
-    cuts: list[np.ndarray] = []
     while len(i):
         a, b = ends_a[i], ends_b[j]
-        end = np.minimum(a, b)
-        inside = end <= stop
-        if not inside.all():  # the rest belongs to the next lane
-            i, j, a, b, end, stop = (x[inside] for x in (i, j, a, b, end, stop))
-        slot[i + j] = i
-        moves_a, moves_b = a == end, b == end
-        both = moves_a & moves_b
-        if both.any():
-            cuts.append(i[both] + j[both])
+        moves_a, moves_b = a <= b, b <= a
+        slot[i + j] = 2 * i + (moves_a & moves_b)  # a link across a lane's end is set by both, alike
         i, j = i + moves_a, j + moves_b
-        live = end < stop
+        live = np.minimum(a, b) < stop
         if not live.all():
             i, j, stop = i[live], j[live], stop[live]
     at = np.flatnonzero(slot >= 0)
-    links_i = slot[at]
-    cut = np.sort(np.concatenate(cuts)) if cuts else np.zeros(0, np.int64)
-    return links_i, at - links_i, slot[cut], cut - slot[cut]
+    set_ = slot[at]
+    links_i = set_ >> 1
+    links_j = at - links_i
+    cut = np.flatnonzero(set_ & 1)
+    return links_i, links_j, links_i[cut], links_j[cut]
 
 
-def aligned(both: list[tuple[bytes, bytes]], words: Vocabularies) -> list[tuple]:
+def aligned(tokens: Tokens, words: Vocabularies) -> list[tuple]:
     """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each document of a batch; pairs are
     distinct id pairs ``a * size of B + b`` as int64 bytes, times their links as int32 bytes."""
-    a = np.frombuffer(b"".join(x for x, _ in both), "<u4").astype(np.int64)
-    b = np.frombuffer(b"".join(x for _, x in both), "<u4").astype(np.int64)
-    n_a = np.array([len(x) // 4 for x, _ in both], np.int64)
-    n_b = np.array([len(x) // 4 for _, x in both], np.int64)
+    a, b, n_a, n_b = tokens.a, tokens.b, tokens.n_a, tokens.n_b
     last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
     ends_a, ends_b = np.cumsum(words.length_a[a]), np.cumsum(words.length_b[b])
-    full = np.flatnonzero(n_a)
-    i, j, cut_a, cut_b = merge(ends_a, ends_b, ends_a[last_a[full] - 1])
+    i, j, cut_a, cut_b = merge(ends_a, ends_b, ends_a[last_a[n_a > 0] - 1])
     n_links = np.diff(np.searchsorted(i, np.concatenate(([0], last_a))))
     n_groups = np.diff(np.searchsorted(cut_a, np.concatenate(([0], last_a))))
 
     size_a, size_b = len(words.bytes_a), len(words.bytes_b)
-    doc = np.repeat(np.arange(len(both)), n_links)
-    pair = a[i] * size_b + b[j]
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]))) if len(pair) else [])
-    times = np.diff(np.concatenate((first, [len(pair)]))).astype("<i4")
-    pairs, pair_at = pair[first].astype("<i8"), np.searchsorted(doc[first], np.arange(len(both) + 1))
+    every = size_a * size_b  # document and pair in one number; a batch has far fewer than 2^20 documents
+    key = np.sort(np.repeat(np.arange(len(n_a)) * every, n_links) + a[i] * size_b + b[j])
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else [])
+    times = np.diff(np.concatenate((first, [len(key)]))).astype("<i4")
+    key = key[first]
+    pairs, pair_at = (key % every).astype("<i8"), np.searchsorted(key, np.arange(len(n_a) + 1) * every)
 
     # both sides of each group behind one another, each token with its sign
     in_a, in_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
@@ -215,7 +293,7 @@ def aligned(both: list[tuple[bytes, bytes]], words: Vocabularies) -> list[tuple]
     return [(int(n_a[d]), int(n_b[d]), int(n_groups[d]), int(n_links[d]),
              hashlib.sha256(signs[text_at[d]:text_at[d + 1] - 1]).hexdigest() if n_a[d] else "",
              pairs[pair_at[d]:pair_at[d + 1]].tobytes(), times[pair_at[d]:pair_at[d + 1]].tobytes())
-            for d in range(len(both))]
+            for d in range(len(n_a))]
 
 
 _words: dict[tuple[str, str], Vocabularies] = {}

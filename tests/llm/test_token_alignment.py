@@ -55,7 +55,8 @@ def test_ids_by_parts_equal_ids_of_the_whole_text(parts):
         a, b = whole(text)
         joined = [b"".join(t[i] for i in ids) for ids, t in ((a, WORDS.bytes_a), (b, WORDS.bytes_b))]
         even = joined == [b" " + text.encode()] * 2
-        got = [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode([text])[0]]
+        found = WORDS.encode([text])
+        got = [found.a.tolist(), found.b.tolist()]
         assert got == ([a, b] if even else [[], []])
 
 
