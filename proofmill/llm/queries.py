@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_dedup, language, neighbours, packing, piece_codec, quality, secrets, simhash, token_alignment, toxicity, url_trust)
+    exact_dedup, language, neighbours, packing, piece_codec, prefix_trie, quality, secrets, simhash,
+    token_alignment, toxicity, url_trust)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,8 @@ def secret_spans(spark, sf_dir):
 @query("op11_token_alignment")
 def token_links(spark, sf_dir):
     return token_alignment.digest_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefix_trie.oracle())
+def conversation_nodes(spark, sf_dir):
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
