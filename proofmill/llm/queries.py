@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     exact_dedup, language, neighbours, packing, piece_codec, prefix_trie, quality, secrets, simhash,
-    token_alignment, toxicity, url_trust)
+    suffix_dedup, token_alignment, toxicity, url_trust)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def token_links(spark, sf_dir):
 @query("op12_prefix_trie", prefix_trie.oracle())
 def conversation_nodes(spark, sf_dir):
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffix_dedup", suffix_dedup.ORACLE)
+def repeated_strings(spark, sf_dir):
+    return suffix_dedup.digest_rows(table(spark, sf_dir, "documents"))
