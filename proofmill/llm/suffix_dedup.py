@@ -43,8 +43,7 @@ GRAMS = (32, 66, 84, 100)
 #: Most segments of a key that one task sorts, and most hot keys that are broadcast.
 HOT = 4096
 MOST_BROADCAST = 1 << 16
-#: Most windows of a segment; bytes worked on at a time, in whole texts or pieces of them.
-MOST_WINDOWS = 400
+#: Bytes worked on at a time, in whole texts or pieces of them.
 PORTION = 1 << 20
 SORTED_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -120,18 +119,21 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def cut(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, k: int, most: int = MOST_WINDOWS):
-    """(start, windows, key) of the segments of the pieces [starts, ends) of a byte string."""
-    count = hashes.size - WINDOW + 1
-    none = np.zeros(0, np.int64)
+def cut(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, k: int):
+    """(start, windows, key, inner) of the segments of the pieces [starts, ends) of a byte string;
+    ``inner``: two windows of the segment may be equal. A segment has at most WINDOW - k + 1
+    windows, as many as hold one k-byte string."""
+    count, most = hashes.size - WINDOW + 1, WINDOW - k + 1
     if count <= 0:
-        return none, none, np.zeros(0, np.uint64)
-    least, span, width = hashes.grams(k, hashes.size - k + 1), 1, WINDOW - k + 1
-    while 2 * span <= width:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams = hashes.grams(k, hashes.size - k + 1)
+    least, span = grams, 1
+    while 2 * span <= most:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < width:
-        least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
+    if span < most:
+        least = np.minimum(least[:len(least) - (most - span)], least[most - span:])
     edge = np.zeros(hashes.size + 1, np.int32)
     whole = ends - starts >= WINDOW
     np.add.at(edge, starts[whole], 1)
@@ -146,7 +148,19 @@ def cut(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, k: int, most: int
     nth = _ragged(np.zeros(len(parts), np.int64), parts)
     windows = np.minimum(most, np.repeat(windows, parts) - nth * most)
     start = np.repeat(start, parts) + nth * most
-    return start, windows, least[start]
+    return start, windows, least[start], repeating(grams, start, windows, most)
+
+
+def repeating(grams: np.ndarray, start: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """Segments in which two windows may be equal. Those are less than ``most`` apart, and so are
+    their equal grams at ``most`` places in a row, one of which is a multiple of ``most``."""
+    at = np.arange(0, len(grams), most)
+    seen = np.zeros(len(at), bool)
+    for apart in range(1, most):
+        inside = np.searchsorted(at, len(grams) - apart)
+        seen[:inside] |= grams[at[:inside]] == grams[at[:inside] + apart]
+    before = np.concatenate(([0], np.cumsum(seen)))
+    return before[np.minimum((start + windows + most - 2) // most + 1, len(at))] > before[-(-start // most)]
 
 
 def ranks(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
@@ -280,7 +294,7 @@ def _segments(portion, k: int, wanted=None) -> Iterator[pa.RecordBatch]:
     """The earliest of each set of equal segments of a portion, and the spans of the others."""
     data, starts, ends, ids, ties, bases = portion
     hashes = Hashes(data)
-    start, windows, key = cut(hashes, starts, ends, k, 1 if k == WINDOW else MOST_WINDOWS)
+    start, windows, key, _ = cut(hashes, starts, ends, k)
     if wanted is not None:
         hit = wanted(key.view(np.int64))
         start, windows, key = start[hit], windows[hit], key[hit]
@@ -306,12 +320,14 @@ def _portions_of(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _repeated_keys(rows: DataFrame, k: int) -> DataFrame:
-    """Keys that more than one segment of the corpus has."""
+    """Keys that more than one segment of the corpus has, or one that may repeat inside."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, starts, ends, *_ in _portions_of(batch):
-                found, n = np.unique(cut(Hashes(data), starts, ends, k)[2].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(n, 2).astype(np.int32))], names=["m", "n"])
+                _, _, key, inner = cut(Hashes(data), starts, ends, k)
+                found, number = np.unique(key.view(np.int64), return_inverse=True)
+                n = np.minimum(np.bincount(number, 1 + inner, len(found)), 2).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["m", "n"])
 
     return rows.mapInArrow(keys, "m long, n int").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
 
@@ -364,12 +380,14 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
 
         every = np.arange(len(key))
         data, start = packed(every)
-        kept, again = reduce_equal(Hashes(data), start, windows, key, rank, place)
+        hashes, k = Hashes(data), GRAMS[0]
+        kept, again = reduce_equal(hashes, start, windows, key, rank, place)
+        inner = repeating(hashes.grams(k, hashes.size - k + 1), start, windows, WINDOW - k + 1)
         if again.any():
             yield _batch(key[again], ids[again], ties[again], place[again], windows[again], None)
         left = np.flatnonzero(kept)
         _, number, n = np.unique(key[left], return_inverse=True, return_counts=True)
-        left = left[n[number] > 1]
+        left = left[(n[number] > 1) | inner[left]]
         if not len(left):
             return
         data, start = packed(left)
@@ -402,8 +420,7 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the keys that one task may sort, and those of larger keys, if there are any. Keys of
-    a single row are left out of both."""
+    """Rows of the keys that one task may sort, and those of larger keys, if there are any."""
     counts = rows.groupBy("m").agg(F.count(F.lit(1)).alias("__n"))
     large = written(counts.where(F.col("__n") > hot).select("m"), "hot-keys")
     n = large.count()
@@ -502,15 +519,15 @@ def digest_rows(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-w AS (SELECT doc_id, u.p, substr(hx, 2 * u.p + 1, {2 * WINDOW}) AS s FROM d, unnest(range(0, len(hx) // 2 - {WINDOW - 1})) AS u(p)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, u.p, array_slice(b, u.p + 1, u.p + {WINDOW}) AS s FROM d, unnest(range(0, octet_length(b) - {WINDOW - 1})) AS u(p)),
 r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM w),
 a AS (SELECT doc_id, p, p > {WINDOW} + coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -{2 * WINDOW}) AS fresh FROM r WHERE nth > 1),
 g AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM a),
 x AS (SELECT doc_id, run, min(p) AS lo, max(p) + {WINDOW} AS hi FROM g GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM x),
 k AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
-             string_agg(substr(hx, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN hx ELSE kept || substr(hx, 2 * last + 1) END)) AS kept_sha256
+             string_agg(hex(array_slice(b, before + 1, lo)), '' ORDER BY lo) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN k.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(array_slice(b, last + 1, octet_length(b))))) END AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""

@@ -41,6 +41,7 @@ def corpus(seed):
     texts += [f"{prose(rng, rng.randrange(20))} {passage[rng.randrange(90):]} {prose(rng, 9)}" for _ in range(8)]
     texts += [f"{prose(rng, 25)}\n{line}\n{prose(rng, 25)}" for _ in range(30)]  # a line shorter than a window
     texts += [texts[3]] * 4 + ["a" * 450, "a" * 1300, "ab" * 300, "", None, "x" * 99, "x" * 100, "x" * 100, long, long[2000:9000] + "é"]
+    texts += [("".join(rng.choices("abcdefgh", k=n)) * 6)[:170] for n in (3, 17, 50, 61, 68, 69, 70)]  # periods of one text
     near = list(prose(rng, 90))
     for _ in range(6):
         copy = near.copy()
@@ -65,7 +66,7 @@ def test_pieces_of_long_texts(documents, monkeypatch):
     for text in (long, long[:800], long[:799], "y" * 700):
         cover = []
         for data, starts, ends, ids, ties, bases in sd._pieces([1], [2], [5], [text.encode()]):
-            start, windows, _ = sd.cut(sd.Hashes(data), starts, ends, 32)
+            start, windows, *_ = sd.cut(sd.Hashes(data), starts, ends, 32)
             piece = np.searchsorted(starts, start, "right") - 1
             cover += [p for b, n in zip(bases[piece] + start - starts[piece], windows) for p in range(b, b + n)]
         assert cover == list(range(5, 5 + len(text.encode()) - W + 1))
@@ -76,7 +77,7 @@ def test_equal_windows_have_equal_keys_under_every_gram():
     passage = prose(rng, 50)
     data = f"{prose(rng, 40)}{passage}{prose(rng, 40)}|{passage}zz{passage[7:]}{'q' * 300}".encode()
     for k in sd.GRAMS:
-        start, windows, key = sd.cut(sd.Hashes(data), np.array([0]), np.array([len(data)]), k)
+        start, windows, key, _ = sd.cut(sd.Hashes(data), np.array([0]), np.array([len(data)]), k)
         keys = dict(zip(sd._ragged(start, windows).tolist(), np.repeat(key, windows).tolist()))
         assert sorted(keys) == list(range(len(data) - W + 1))
         by_window = {}
@@ -96,6 +97,16 @@ def test_suffix_sort_orders_by_the_first_bytes(parts, base):
     assert order.tolist() == want and sd.in_order(hashes, starts, order, shared)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 75), st.integers(0, 120), st.integers(0, 40), st.sampled_from(sd.GRAMS), st.integers(0, 99))
+def test_equal_windows_inside_a_segment_are_seen(period, extra, ahead, k, seed):
+    rng = random.Random(seed)
+    data = rng.randbytes(ahead) + (rng.randbytes(period) * 300)[:W + extra] + rng.randbytes(20)
+    start, windows, key, inner = sd.cut(sd.Hashes(data), np.array([0]), np.array([len(data)]), k)
+    for s, n, flag in zip(start, windows, inner):
+        assert flag or len({data[p:p + W] for p in range(s, s + n)}) == n
+
+
 def test_a_wrong_order_is_found_out():
     data = (prose(random.Random(2), 80)).encode()
     hashes, starts = sd.Hashes(data), np.arange(len(data) - W + 1)
