@@ -46,7 +46,7 @@ def build_windows(
     first, that is, with the latest line.
     """
     windows = collect_windows(latest_lines(lines, width_seconds, limit), width_seconds)
-    counted = running_totals(windows, [F.col("bucket").asc()], {"upto": F.lit(1)})
+    counted = running_totals(windows, [F.col("bucket").asc()], {"upto": F.lit(1)}, [F.col("bucket")])
     return counted.select((F.col("upto") - 1).alias("index"), "end_ns", "samples", "family")
 
 

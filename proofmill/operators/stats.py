@@ -235,12 +235,12 @@ def roc_points(rows: DataFrame) -> DataFrame:
     after the starting point (1.01, 0, 0). ``rows`` has idx, label and score."""
     walk = running_totals(
         rows.select("idx", "label", "score"), [F.col("score").desc(), F.col("idx").asc()],
-        {"tp": F.col("label").cast("long"), "fp": (~F.col("label")).cast("long")})
-    of = lambda label: rows.agg(F.count_if(F.col("label") == label)).scalar()
-    share = lambda n, total: F.coalesce(F.try_divide(F.col(n), total), F.lit(0.0))
+        {"tp": F.col("label").cast("long"), "fp": (~F.col("label")).cast("long")},
+        [-F.col("score"), F.col("idx")], overall=True)
+    share = lambda n: F.coalesce(F.try_divide(F.col(n), F.col(f"{n}_all")), F.lit(0.0))
     points = walk.select(
         (F.col("tp") + F.col("fp")).alias("pos"), F.col("score").cast("double").alias("threshold"),
-        share("tp", of(True)).alias("tpr"), share("fp", of(False)).alias("fpr"))
+        share("tp").alias("tpr"), share("fp").alias("fpr"))
     start = rows.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("pos"), F.lit(1.01).alias("threshold"),
         F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
@@ -265,7 +265,7 @@ def auc(rows: DataFrame) -> DataFrame:
     """
     per = rows.groupBy("score").agg(
         F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
-    walk = running_totals(per, [F.col("score").asc()], {"upto": F.col("n")})
+    walk = running_totals(per, [F.col("score").asc()], {"upto": F.col("n")}, [F.col("score")])
     wins = F.col("p") * (F.col("upto") - F.col("n") + F.col("n") / 2.0)
     return walk.agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),

@@ -136,6 +136,46 @@ def test_ranks_and_totals_do_not_depend_on_partitions(spark):
         assert {r["id"]: r["t"] for r in total} == want
 
 
+@pytest.mark.parametrize("buckets", (2, 3, 7, 64))
+def test_totals_from_sketched_bounds_with_ties_of_any_size(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(i, rng.choice([0.5, 0.5, 0.5, 0.5, -1.0, 0.0, -0.0, 2.0, float("inf"), rng.random()]), i % 5) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, score double, v long").repartition(6)
+    for sign in (1, -1):
+        order = [F.col("score").asc() if sign > 0 else F.col("score").desc(), F.col("id").asc()]
+        got = running_totals(df, order, {"t": F.col("v"), "n": F.lit(1)}, [sign * F.col("score"), F.col("id")], buckets, overall=True).collect()
+        want, acc = {}, 0
+        for n, (i, score, v) in enumerate(sorted(rows, key=lambda r: (sign * r[1], r[0])), 1):
+            acc += v
+            want[i] = (acc, n)
+        assert {r["id"]: (r["t"], r["n"]) for r in got} == want
+        assert {(r["t_all"], r["n_all"]) for r in got} == {(acc, 1500)}
+
+
+def test_totals_of_nulls_nans_and_nothing(spark):
+    rows = [(1, None), (2, float("nan")), (3, 1.0), (4, None), (5, 0.0)]
+    df = spark.createDataFrame(rows, "id long, score double")
+    order = [F.col("score").asc(), F.col("id").asc()]
+    got = running_totals(df, order, {"n": F.lit(1)}, [F.col("score"), F.col("id")], 4).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["n"])] == [1, 4, 5, 3, 2]
+    assert running_totals(df.where("id > 9"), order, {"n": F.lit(1)}, [F.col("score"), F.col("id")]).collect() == []
+
+
+def test_a_large_tie_is_dealt_over_many_buckets(spark):
+    from proofmill.functions.ordering import _bounds, _bucket
+    df = spark.range(6000).select(F.col("id").cast("double").alias("__p_1"), F.when(F.col("id") % 3 > 0, 0.5).otherwise(F.col("id") / 9000.0).alias("__p_0"))
+    bounds = df.agg(_bounds("__p_0", 60).alias("__b_0"), _bounds("__p_1", 60).alias("__b_1"))
+    placed = df.select("*", *[bounds.select(c).scalar().alias(c) for c in bounds.columns])
+    sizes = [r["count"] for r in placed.groupBy(_bucket(2, 60).alias("at")).count().collect()]
+    assert len(sizes) > 45 and max(sizes) < 6000 / 60 * 3
+
+
+def test_roc_plan_deals_rows_once_and_keeps_nothing(spark):
+    df = spark.range(100).select(F.col("id").alias("idx"), (F.col("id") % 2 == 0).alias("label"), (F.col("id") / 100.0).alias("score"))
+    plan = S.roc_points(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "RepartitionByExpression" not in plan
+
+
 def test_share_by_key_with_one_hot_key(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"))
     rows = rows.withColumn("k", F.when(F.col("id") == 7, F.lit(None)).otherwise(F.col("k")))
