@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as K
-from ..functions.ordering import hash_rank, running_totals
+from ..functions.ordering import running_totals
 from ..schemas import GREEDY
-from ..session import reused
+from ..session import python_workers
 
 
 def load_arm(scores: DataFrame, arm: str) -> DataFrame:
@@ -112,52 +116,136 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------
 
 
-_CHUNK = 10_000
+#: Units of a leaf, on average, where there are more than that; draws made at a time.
+LEAF = 4096
+_DRAWS = 1 << 20
+_MASK = (1 << 64) - 1
 
 
 def paired_bootstrap(
     pairs: DataFrame, unit: str = "cluster", iters: int = 10_000, seed: int = 20260901,
-    by: list[str] | None = None,
+    by: list[str] | None = None, leaf: int = LEAF,
 ) -> DataFrame:
     """Bootstrap of the mean paired difference, drawing whole units with replacement.
 
-    ``pairs`` has ``diff`` and the ``unit`` column, optionally grouping columns ``by``.
-    Units shrink to (sum, count) first. Draw j of iteration t takes unit number
-    ``md5(seed:t:j) mod k``, of the digest's first 60 bits: draws are rows, made on the
-    executors, and a re-run task makes the same ones. Means are summed per iteration with partial aggregation.
+    ``pairs`` has ``diff`` and the ``unit`` column, optionally grouping columns ``by``. Units shrink
+    to (sum, count) first and are dealt over leaves by a hash. An iteration's k draws are split over
+    the leaves by two levels of multinomials, which every leaf repeats for its own path from
+    generators seeded by the node, so leaves agree on the split without meeting. A leaf then draws
+    from its own units by a counter-based hash. What is shuffled is one row per iteration and
+    partition. Units of up to ``leaf`` make one leaf. Draws depend on seed, iteration and leaf
+    alone, so a re-run task makes the same ones.
     """
-    by = by or []
-    units = reused(pairs.groupBy(*by, unit).agg(
-        F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c")))
-    numbered = hash_rank(units, F.col(unit), "idx", by).select(
-        *by, (F.col("idx") - 1).alias("idx"), "s", "c")
+    python_workers(pairs.sparkSession)
+    grouped = bool(by)
+    by = by or ["__all"]
+    if not grouped:
+        pairs = pairs.withColumn("__all", F.lit(0))
+    units = pairs.groupBy(*by, unit).agg(F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c"))
     observed = units.groupBy(*by).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_clusters"),
         (F.sum("s") / F.sum("c")).alias("observed"))
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rounds = observed.select(*by, F.col("n_clusters").alias("k")).withColumn(
-        "t", F.explode(F.sequence(F.lit(1), F.lit(iters)))).repartition(parts, "t")
-    # draws come in chunks, so that no row ever holds the draws of a whole iteration
-    last = F.floor((F.col("k") - 1) / F.lit(_CHUNK))
-    chunks = rounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    draws = chunks.withColumn("j", F.explode(F.sequence(
-        F.col("chunk") * _CHUNK + 1, F.least(F.col("k"), (F.col("chunk") + 1) * _CHUNK))))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"),
-                               F.col("j").cast("string")))
-    draws = draws.withColumn(
-        "idx", F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.col("k")))
-    means = draws.join(numbered, [*by, "idx"]).groupBy(*by, "t").agg(
-        (F.sum("s") / F.sum("c")).alias("mean"))
+    fan = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_clusters") / F.lit(leaf)))).cast("long")
+    digest = F.md5(F.col(unit).cast("string"))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    dealt = units.join(observed.select(*by, "n_clusters"), by).select(
+        *by, "n_clusters", fan.alias("__fan"), place.alias("__place"),
+        F.struct(digest.alias("digest"), "s", "c").alias("__unit"))
+    leaves = dealt.groupBy(
+        *by, "n_clusters", "__fan", F.expr("__place % __fan").alias("__top"),
+        F.expr("__place div __fan % __fan").alias("__sub")).agg(F.array_sort(F.collect_list("__unit")).alias("__units"))
+    leaf_size = F.size("__units").cast("long")
+    tops = leaves.groupBy(*by, "__top").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__sub").alias("child"), leaf_size.alias("size")))).alias("__subs"),
+        F.sum(leaf_size).alias("__n"))
+    roots = tops.groupBy(*by).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("__top").alias("child"), F.col("__n").alias("size")))).alias("__tops"))
+    work = leaves.join(tops.drop("__n"), [*by, "__top"]).join(roots, by)
+    schema = T.StructType([*[work.schema[c] for c in by], T.StructField("__t", T.IntegerType()),
+                           T.StructField("__s", T.DoubleType()), T.StructField("__c", T.LongType())])
+    sums = work.select(*by, "n_clusters", "__fan", "__top", "__sub", "__tops", "__subs", "__units").mapInArrow(
+        _leaf_sums(len(by), iters, seed, schema.names), schema)
+    means = sums.groupBy(*by, "__t").agg((F.sum("__s") / F.sum("__c")).alias("__mean"))
     spread = means.groupBy(*by).agg(
-        F.stddev_samp("mean").alias("se"),
-        F.percentile("mean", 0.025).alias("ci_low"), F.percentile("mean", 0.975).alias("ci_high"))
-    if by:
+        F.stddev_samp("__mean").alias("se"),
+        F.percentile("__mean", 0.025).alias("ci_low"), F.percentile("__mean", 0.975).alias("ci_high"))
+    if grouped:
         return observed.join(spread, by)
     # two one-row tables side by side, without a join
-    both = observed.unionByName(spread, allowMissingColumns=True)
+    both = observed.drop("__all").unionByName(spread.drop("__all"), allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def _leaf_sums(n_by: int, iters: int, seed: int, names: list[str]):
+    """A function of Arrow batches of leaves: the drawn sums and counts per iteration, added up over
+    the leaves of a group."""
+    def split(node: int, n: np.ndarray, sizes: np.ndarray, own: int) -> np.ndarray:
+        """The own child's part of each iteration's ``n`` draws."""
+        rng = np.random.Generator(np.random.Philox(key=[seed & _MASK, node]))
+        step = max(1, _DRAWS // len(sizes))
+        return np.concatenate([rng.multinomial(n[lo:lo + step], sizes / sizes.sum())[:, own]
+                               for lo in range(0, len(n), step)])
+
+    def drawn(n: np.ndarray, leaf: int, s: np.ndarray, c: np.ndarray):
+        base = np.uint64((seed + leaf * 0xD1342543DE82EF95) & _MASK)
+        out_s, out_c = np.zeros(iters), np.zeros(iters, np.int64)
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < iters:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _DRAWS, "right")))
+            for first in range(0, int(n[lo:hi].max()), _DRAWS):  # an iteration may have many draws
+                part = np.minimum(n[lo:hi] - first, _DRAWS).clip(0)
+                at = np.repeat(np.arange(hi - lo), part)
+                j = first + np.arange(len(at)) - np.repeat(np.cumsum(part) - part, part)
+                counter = (at + lo + 1).astype(np.uint64) << np.uint64(32) | j.astype(np.uint64)
+                unit = (_mixed(base + counter * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(len(s))).astype(np.int64)
+                out_s[lo:hi] += np.bincount(at, s[unit], hi - lo)
+                out_c[lo:hi] += np.bincount(at, c[unit], hi - lo).astype(np.int64)
+            lo = hi
+        return out_s, out_c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def flush():
+            for row, s, c in held.values():
+                keys = [x.take(pa.array(np.zeros(iters, np.int64))) for x in row]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(np.arange(1, iters + 1, dtype=np.int32)), pa.array(s), pa.array(c)], names=names)
+            held.clear()
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = [batch.column(i).slice(r, 1) for i in range(n_by)]
+                k, fan, top, sub = (batch.column(n_by + i)[r].as_py() for i in range(4))
+                tops, subs, units = (batch.column(n_by + i)[r].values for i in (4, 5, 6))
+                n = np.full(iters, k, np.int64)
+                if fan > 1:
+                    own = np.searchsorted(tops.field("child").to_numpy(), top)
+                    n = split(0, n, tops.field("size").to_numpy(), own)
+                    own = np.searchsorted(subs.field("child").to_numpy(), sub)
+                    n = split(1 + top, n, subs.field("size").to_numpy(), own)
+                s, c = drawn(n, top * fan + sub, units.field("s").to_numpy(), units.field("c").to_numpy())
+                key = tuple(x[0].as_py() for x in row)
+                if key in held:
+                    held[key][1] += s
+                    held[key][2] += c
+                else:
+                    if len(held) >= 64:
+                        yield from flush()
+                    held[key] = [row, s, c]
+        yield from flush()
+
+    return run
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def with_power(result: DataFrame, effect: float | None = None) -> DataFrame:
     """Adds the minimum detectable effect, the significance verdict and, for an effect to
     be caught, the number of units needed."""

@@ -156,14 +156,25 @@ def mcnemar(spark, sf):
     return S.mcnemar(S.paired_counts(fact(spark, sf), "base", "trained")).withColumn("p_value", r6("p_value"))
 
 
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def _draw(t: str, j: str) -> str:
+    """A draw's 64 bits: the counter (t, j) through the finaliser of splitmix64."""
+    z = f"(20260901::UHUGEINT + ({t}::UHUGEINT * 4294967296 + {j}::UHUGEINT) * 11400714819323198485::UHUGEINT) % {_TWO64}"
+    for shift, factor in ((30, "13787848793156543929"), (27, "10723151780598845931")):
+        z = f"list_transform([({z})::UBIGINT], lambda z: xor(z, z >> {shift}))[1]::UHUGEINT * {factor}::UHUGEINT % {_TWO64}"
+    return f"list_transform([({z})::UBIGINT], lambda z: xor(z, z >> 31))[1]"
+
+
 def _boot(unit: str, iters: int) -> str:
-    """The bootstrap restated: units in hash order, md5 draws, exact percentiles."""
+    """The bootstrap restated for units that make one leaf: units in hash order, exact percentiles."""
     return f"""
 WITH d AS ({_PAIRS}), u AS (SELECT {unit} AS unit, sum(diff) AS s, count(*) AS c FROM d GROUP BY 1),
 n AS (SELECT row_number() OVER (ORDER BY md5(unit)) - 1 AS idx, s, c FROM u),
 k AS (SELECT count(*) AS k, sum(c) AS n, sum(s) / sum(c) AS observed FROM u),
-w AS (SELECT t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 15)) AS BIGINT) % k AS idx
-      FROM k, range(1, {iters} + 1) a(t), range(1, CAST(k.k AS BIGINT) + 1) b(j)),
+w AS (SELECT t, {_draw("t", "j")} % k::UBIGINT AS idx
+      FROM k, range(1, {iters} + 1) a(t), range(0, CAST(k.k AS BIGINT)) b(j)),
 m AS (SELECT t, sum(s) / sum(c) AS mean FROM w JOIN n USING (idx) GROUP BY t),
 r AS (SELECT stddev_samp(mean) AS se, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m),
 x AS (SELECT CAST(k.n AS BIGINT) AS n, k.k AS n_clusters, observed, se, ci_low, ci_high, 2.8::DOUBLE * se AS mde FROM k, r)"""
@@ -200,8 +211,8 @@ WITH d AS (SELECT p.*, {_SIZE} AS size FROM ({_PAIRS}) p JOIN (SELECT name, len(
 u AS (SELECT size, cluster AS unit, sum(diff) AS s, count(*) AS c FROM d GROUP BY 1, 2),
 n AS (SELECT size, row_number() OVER (PARTITION BY size ORDER BY md5(unit)) - 1 AS idx, s, c FROM u),
 k AS (SELECT size, count(*) AS k, sum(c) AS n, sum(s) / sum(c) AS observed FROM u GROUP BY 1),
-w AS (SELECT size, t, CAST(concat('0x', left(md5('20260901:' || t || ':' || j), 15)) AS BIGINT) % k AS idx
-      FROM k, range(1, 2001) a(t), range(1, CAST(k.k AS BIGINT) + 1) b(j)),
+w AS (SELECT size, t, {_draw("t", "j")} % k::UBIGINT AS idx
+      FROM k, range(1, 2001) a(t), range(0, CAST(k.k AS BIGINT)) b(j)),
 m AS (SELECT size, t, sum(s) / sum(c) AS mean FROM w JOIN n USING (size, idx) GROUP BY 1, 2),
 r AS (SELECT size, 2.8::DOUBLE * stddev_samp(mean) AS mde FROM m GROUP BY 1),
 f AS (SELECT {_SIZE} AS size, count(*) FILTER (parse_failed) AS parse_failures FROM (SELECT *, len(log_samples) AS log_lines FROM b_fact WHERE arm = 'trained' AND sample_idx = -1) GROUP BY 1),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +42,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+_shipped: set[str] = set()
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Sends this package along to Python workers, once per application, so they can import it
+    wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")  # the driver serves it to all
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

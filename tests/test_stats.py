@@ -39,12 +39,45 @@ def test_mcnemar_of_billions_of_pairs(spark):
         assert p == pytest.approx(want, rel=2e-3)
 
 
-def test_draws_reach_units_evenly_when_there_are_very_many(spark):
-    """The draw's 60 bits over a large k: thirds of the range are hit alike."""
-    k = 3_000_000_000
-    idx = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long"), F.lit(k))
-    n = {r["t"]: r["count"] for r in spark.range(90_000).select(F.floor(idx / (k / 3)).alias("t")).groupBy("t").count().collect()}
-    assert set(n) == {0, 1, 2} and max(n.values()) - min(n.values()) < 1500
+def test_draws_reach_units_evenly(spark):
+    """Counts of many draws over a few units: a chi-square of k - 1 degrees."""
+    s, c = np.eye(7), np.ones(7, np.int64)
+    hits = np.zeros(7)
+    for unit in range(7):
+        rows = spark.createDataFrame([(f"u{i}", float(s[unit][i])) for i in range(7)], "cluster string, diff double")
+        hits[unit] = S.paired_bootstrap(rows, iters=500).first()["observed"]
+    assert hits.sum() == pytest.approx(1)
+    z = S._mixed(np.uint64(5) + np.arange(70_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(7)
+    seen = np.bincount(z.astype(int), minlength=7)
+    assert ((seen - 10_000) ** 2 / 10_000).sum() < 22.5  # 0.001 of 6 degrees
+
+
+@pytest.mark.parametrize("leaf", (5, 40, 4096))
+def test_leaves_split_the_draws_as_one_urn_would(spark, leaf):
+    """Every iteration has k draws in all, and the spread is that of k independent draws."""
+    rng = np.random.default_rng(leaf)
+    values = rng.normal(size=300) ** 2
+    rows = spark.createDataFrame([(f"u{i}", float(v)) for i, v in enumerate(values)], "cluster string, diff double")
+    got = [S.paired_bootstrap(rows.repartition(p), iters=1500, leaf=leaf).first() for p in (1, 5)]
+    assert got[0]["se"] == pytest.approx(got[1]["se"], abs=1e-12)
+    assert (got[0]["n"], got[0]["n_clusters"]) == (300, 300) and got[0]["observed"] == pytest.approx(values.mean())
+    assert got[0]["se"] == pytest.approx(values.std() / 300 ** 0.5, rel=0.08)
+    assert got[0]["ci_low"] == pytest.approx(values.mean() - 1.96 * values.std() / 300 ** 0.5, rel=0.06)
+    constant = rows.withColumn("diff", F.lit(2.0))  # sums over counts are right only if all k draws are there
+    row = S.paired_bootstrap(constant, iters=50, leaf=leaf).first()
+    assert row["se"] == pytest.approx(0, abs=1e-12) and row["ci_high"] == pytest.approx(2)
+
+
+def test_groups_are_drawn_each_on_its_own_and_no_draw_is_joined(spark):
+    rows = spark.createDataFrame([(g, f"u{i}", float(i % 7) * (g + 1)) for g in (0, 1, 2) for i in range(20 * (g + 1))],
+                                 "size int, cluster string, diff double")
+    out = S.paired_bootstrap(rows, iters=400, by=["size"], leaf=8)
+    got = {r["size"]: r for r in out.collect()}
+    for g in (0, 1, 2):
+        one = S.paired_bootstrap(rows.where(F.col("size") == g), iters=400, leaf=8).first()
+        assert (got[g]["se"], got[g]["ci_low"]) == pytest.approx((one["se"], one["ci_low"]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "idx" not in plan and "InMemoryRelation" not in plan
 
 
 def test_a_scenario_without_a_cluster_is_an_error(spark):
