@@ -44,9 +44,9 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Bytes of a lane, and of the documents merged at a time (a longer document is merged alone).
 LANE = 2048
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 #: Parts whose ids a worker keeps, and pairs it sums before handing them on.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 200_000
 SUMMED_PAIRS = 1 << 20
 #: Pairs that are sent to all workers: 17 bytes each, 2.2 MB.
 HOT_PAIRS = 1 << 17
