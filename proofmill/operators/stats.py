@@ -142,13 +142,15 @@ def paired_bootstrap(
     if not grouped:
         pairs = pairs.withColumn("__all", F.lit(0))
     units = pairs.groupBy(*by, unit).agg(F.sum("diff").alias("s"), F.count(F.lit(1)).alias("c"))
+    # the count names both columns, so that it and all else read one and the same shuffle
     observed = units.groupBy(*by).agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_clusters"),
+        F.sum("c").alias("n"), F.count_if(F.col("s").isNull() | (F.col("c") > 0)).alias("n_clusters"),
         (F.sum("s") / F.sum("c")).alias("observed"))
+    one = (lambda rows: rows) if grouped else F.broadcast  # without groups these have a single row
     fan = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_clusters") / F.lit(leaf)))).cast("long")
     digest = F.md5(F.col(unit).cast("string"))
     place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    dealt = units.join(observed.select(*by, "n_clusters"), by).select(
+    dealt = units.join(one(observed.select(*by, "n_clusters")), by).select(
         *by, "n_clusters", fan.alias("__fan"), place.alias("__place"),
         F.struct(digest.alias("digest"), "s", "c").alias("__unit"))
     leaves = dealt.groupBy(
@@ -160,7 +162,7 @@ def paired_bootstrap(
         F.sum(leaf_size).alias("__n"))
     roots = tops.groupBy(*by).agg(F.array_sort(F.collect_list(
         F.struct(F.col("__top").alias("child"), F.col("__n").alias("size")))).alias("__tops"))
-    work = leaves.join(tops.drop("__n"), [*by, "__top"]).join(roots, by)
+    work = leaves.join(tops.drop("__n"), [*by, "__top"]).join(one(roots), by)
     schema = T.StructType([*[work.schema[c] for c in by], T.StructField("__t", T.IntegerType()),
                            T.StructField("__s", T.DoubleType()), T.StructField("__c", T.LongType())])
     sums = work.select(*by, "n_clusters", "__fan", "__top", "__sub", "__tops", "__subs", "__units").mapInArrow(
