@@ -45,7 +45,11 @@ def build_windows(
     ``family`` is the most frequent one among the kept lines; a tie goes to the family met
     first, that is, with the latest line.
     """
-    windows = collect_windows(latest_lines(lines, width_seconds, limit), width_seconds)
+    return numbered_windows(collect_windows(latest_lines(lines, width_seconds, limit), width_seconds))
+
+
+def numbered_windows(windows: DataFrame) -> DataFrame:
+    """(index, end_ns, samples, family): windows numbered in order of time."""
     counted = running_totals(windows, [F.col("bucket").asc()], {"upto": F.lit(1)}, [F.col("bucket")])
     return counted.select((F.col("upto") - 1).alias("index"), "end_ns", "samples", "family")
 

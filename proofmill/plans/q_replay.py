@@ -143,27 +143,42 @@ def _drain(writer) -> None:
     q.awaitTermination()
 
 
-@query("stream_replay_windows", sql(f"""WITH {_windows(1800, 20)}, m AS (SELECT max(ts_ns) - 600000000000 AS mark FROM b_error)
-SELECT CAST(end_ns AS BIGINT) AS end_ns, md5(samples) AS samples, CAST(n_lines AS INTEGER) AS n_lines, family FROM win, m WHERE end_ns < mark""", "b_error"))
+@query("stream_replay_windows", sql(f"WITH {_windows(1800, 20)} {_OUT}", "b_error"))
 def stream_replay_windows(spark, sf):
-    """Windows the watermark has closed; the newest ones are still open at the end."""
+    """All windows: those the watermark has closed, and those still open when the stream stops."""
     lines = B.log_lines_of(_event_stream(spark, sf))
-    path = scratch(spark, "windows")
+    path, progress = scratch(spark, "windows"), scratch(spark, "windows-progress")
     _drain(jobs.live_windows(lines).writeStream.format("parquet").outputMode("append")
-           .option("path", path).option("checkpointLocation", scratch(spark, "windows-progress")))
-    latest = spark.read.schema("bucket long, rn int, line string").parquet(path)
-    return jobs.windows_from_lines(latest).select(
-        "end_ns", F.md5(F.array_join("samples", "\n")).alias("samples"), F.size("samples").alias("n_lines"), "family")
+           .option("path", path).option("checkpointLocation", progress))
+    closed = spark.read.schema("bucket long, rn int, line string, n long").parquet(path)
+    return _shown(jobs.windows_from_lines(closed.unionByName(jobs.open_windows(spark, progress))))
+
+
+@query("stream_late_lines", sql("""
+WITH m AS (SELECT max(ts_ns) - 600000000000 AS mark FROM b_error)
+SELECT bucket, count(*) AS lines FROM (SELECT ts_ns // 1800000000000 AS bucket FROM b_error, m WHERE (ts_ns // 1800000000000 + 1) * 1800000000000 <= mark) GROUP BY bucket""", "b_error"))
+def stream_late_lines(spark, sf):
+    """All lines fed once more, after the stream has closed its windows: what came too late for each."""
+    lines = B.table(spark, sf, "events")
+    feed, path, progress = (scratch(spark, x) for x in ("late-feed", "late-windows", "late-progress"))
+    for _ in range(2):
+        lines.write.mode("append").parquet(feed)
+        stream = B.log_lines_of(spark.readStream.schema(lines.schema).parquet(feed))
+        _drain(jobs.live_windows(stream).writeStream.format("parquet").outputMode("append")
+               .option("path", path).option("checkpointLocation", progress))
+    return jobs.late_lines(spark.read.schema("bucket long, rn int, line string, n long").parquet(path))
 
 
 @query("stream_candidate_intake", sql(f"""
-SELECT name, seq FROM (SELECT name, seq, row_number() OVER (PARTITION BY sig ORDER BY seq) AS rn FROM (SELECT name, seq, {signature()} AS sig FROM b_scenario)) WHERE rn = 1""", "b_scenario"))
+SELECT name, seq FROM (SELECT name, seq, row_number() OVER (PARTITION BY sig ORDER BY seq % 3, seq) AS rn FROM (SELECT name, seq, {signature()} AS sig FROM b_scenario)) WHERE rn = 1""", "b_scenario"))
 def stream_candidate_intake(spark, sf):
-    s = B.scenarios(spark, sf)
-    feed, path = scratch(spark, "feed"), scratch(spark, "accepted")
-    s.select("seq", "name", "alert", "log_samples").write.parquet(feed)
-    stream = spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed)
-    _drain(jobs.candidate_intake(stream, path, scratch(spark, "intake-progress")))
+    """Three batches with a restart before each: rows by seq modulo three."""
+    s = B.scenarios(spark, sf).select("seq", "name", "alert", "log_samples")
+    feed, path, progress = (scratch(spark, x) for x in ("feed", "accepted", "intake-progress"))
+    for batch in range(3):
+        s.where(F.col("seq") % 3 == batch).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(s.schema).parquet(feed)
+        _drain(jobs.candidate_intake(stream, path, progress))
     return jobs.accepted(spark, path).select("name", "seq")
 
 

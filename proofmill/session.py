@@ -19,6 +19,9 @@ def tune(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
         ("spark.sql.adaptive.skewJoin.enabled", "true"),
         ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"),
+        # keyed stream state on disk, not on the heap
+        ("spark.sql.streaming.stateStore.providerClass",
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"),
         # a repeated key keeps its last value, as JSON readers commonly do
         ("spark.sql.variant.allowDuplicateKeys", "true"),
     ):

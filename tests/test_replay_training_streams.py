@@ -231,19 +231,29 @@ def test_live_windows_equal_the_batch_and_drop_late_lines(spark, tmp_path):
     feed_and_run(rows[:150])
     feed_and_run(rows[150:])
     feed_and_run([(999, 10)])  # far behind the watermark
-    latest = spark.read.schema("bucket long, rn int, line string").parquet(out)
+    latest = spark.read.schema("bucket long, rn int, line string, n long").parquet(out)
     got = {r["end_ns"]: (r["samples"], r["family"]) for r in jobs.windows_from_lines(latest).collect()}
+    assert [tuple(r) for r in jobs.late_lines(latest).collect()] == [(0, 1)]
+    whole = jobs.windows_from_lines(latest.unionByName(jobs.open_windows(spark, progress))).collect()
+    every = R.build_windows(mk(rows).select("seq", "ts_ns", "line"), limit=5).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, every))  # the last window is still open
+    feed_and_run([(1000 + i, 20 + i) for i in range(40)] + [(2000, 99_000)])  # a late burst, and the next window
+    latest = spark.read.schema("bucket long, rn int, line string, n long").parquet(out)
+    assert [tuple(r) for r in jobs.late_lines(latest).collect()] == [(0, 41)]
+    assert 90_000 // 1800 in {r["bucket"] for r in latest.where("rn IS NOT NULL").collect()}
     batch = R.build_windows(mk(rows[:-1]).select("seq", "ts_ns", "line"), limit=5)
     assert got == {r["end_ns"]: (r["samples"], r["family"]) for r in batch.collect()}
 
 
 def test_intake_skips_content_seen_in_earlier_batches(spark, make, tmp_path):
     feed, path, progress = (str(tmp_path / x) for x in ("feed", "accepted", "progress"))
-    for batch in ([scenario(1), scenario(2)], [scenario(3), scenario(4, log_samples=["x"])]):
+    for batch in ([scenario(2), scenario(1)], [scenario(0), scenario(4, log_samples=["x"])], [scenario(5, log_samples=["x"])]):
         make.scenarios(batch).select("seq", "name", "alert", "log_samples").write.mode("append").parquet(feed)
         stream = spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed)
         run(jobs.candidate_intake(stream, path, progress))
     assert sorted(r["name"] for r in jobs.accepted(spark, path).collect()) == ["monitor-s1", "monitor-s4"]
+    state = spark.read.format("statestore").load(progress).select("value.groupState.name").collect()
+    assert sorted(r["name"] for r in state) == ["monitor-s1", "monitor-s4"]
 
 
 def test_resume_leaves_done_scenarios_out(spark, make):
