@@ -453,21 +453,27 @@ def chat_samples(spark, sf):
 @query("trial_sink", sql("""
 SELECT run, count(*) AS trials, count(*) FILTER (verdict = 'PASS') AS passes FROM b_result GROUP BY run""", "b_result"))
 def trial_sink(spark, sf):
-    path = scratch(spark, "trials")
-    sinks.append_trials(O.trial_results(B.trials(spark, sf), B.scenarios(spark, sf)), path)
-    return spark.read.parquet(path).groupBy("run").agg(
+    """Two batches, the second one first as a stage that never got committed, and both written again."""
+    sink = sinks.trial_sink(spark, scratch(spark, "trials"))
+    rows = O.trial_results(B.trials(spark, sf), B.scenarios(spark, sf))
+    sink.stage(rows.where("trial > 1"), "late")
+    for _ in range(2):
+        sink.write(rows.where("trial <= 1"), "early")
+        sink.write(rows.where("trial > 1"), "late")
+    return sink.read().groupBy("run").agg(
         F.count(F.lit(1)).alias("trials"), F.count_if(F.col("verdict") == "PASS").alias("passes"))
 
 
 @query("raw_output_fact", sql("""
 SELECT arm, count(*) AS n, count(*) FILTER (parse_failed) AS parse_failures, round(sum(reward), 6) AS total FROM b_fact GROUP BY arm""", "b_fact"))
 def raw_output_fact(spark, sf):
-    path = scratch(spark, "fact")
+    sink = sinks.raw_output_sink(spark, scratch(spark, "fact"))
     outs = B.outputs(spark, sf).select("arm", "scenario", "sample_idx", "raw")
     scored = O.with_reward(O.ground(O.attach_scenarios(O.parse_outputs(outs), B.scenarios(spark, sf))))
     parts = [c for c in scored.columns if c.startswith("p_")]
-    sinks.append_raw_outputs(scored.select(*KEYS, "raw", "reward", "parse_failed", *parts), path)
-    return spark.read.parquet(path).groupBy("arm").agg(
+    for _ in range(2):
+        sink.write(scored.select(*KEYS, "raw", "reward", "parse_failed", *parts), "outputs")
+    return sink.read().groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("parse_failed").alias("parse_failures"),
         r6(F.sum("reward")).alias("total"))
 

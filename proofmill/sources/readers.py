@@ -78,6 +78,25 @@ def ingest_candidates(spark: SparkSession, path: str) -> DataFrame:
         "name", F.regexp_replace("file", r"\.json$", "")))
 
 
+def load_candidate_folders(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Candidates of several folders, ``dir_order`` being the folder's place in the list, which
+    goes before ``file`` where names repeat (see ``dedup.unique_names``). One scan reads them all.
+    A folder named twice counts at its first place; a folder that is missing is an error.
+    """
+    make, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    whole = [make(p).getFileSystem(conf).makeQualified(make(p)).toUri().toString() for p in paths]
+    plain = lambda uri: F.regexp_replace(uri, "^([A-Za-z0-9]+):/+", "$1:/")
+    folder = plain(F.regexp_extract("folder", "^(.*)/[^/]*$", 1))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(paths).select(
+        F.col("_metadata.file_path").alias("folder"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    places = F.array(*[plain(F.lit(uri)) for uri in whole])
+    placed = files.select(F.struct((F.array_position(places, folder) - 1).cast("int").alias("dir_order"), "file").alias("file"), "raw")
+    rows = parse_scenario_files(placed)
+    at = rows["file"]
+    return rows.select(at["dir_order"].alias("dir_order"), at["file"].alias("file"), *[c for c in rows.columns if c not in ("file", "name")],
+                       F.coalesce("name", F.regexp_replace(at["file"], r"\.json$", "")).alias("name"))
+
+
 def with_seq(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``seq``, the position in the order of the given columns (file, for files)."""
     return running_totals(df, [F.col(c).asc() for c in order], {"seq": F.lit(1)})

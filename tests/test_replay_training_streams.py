@@ -260,3 +260,61 @@ def test_resume_leaves_done_scenarios_out(spark, make):
     done = spark.createDataFrame([("monitor-s1",)], "scenario string")
     rows = make.scenarios([scenario(i) for i in (3, 1, 2)])
     assert [r["name"] for r in sinks.todo(rows, done, 1).collect()] == ["monitor-s2"]
+
+
+def test_a_batch_is_in_the_folder_once_however_often_it_is_written(spark, tmp_path):
+    sink = sinks.trial_sink(spark, str(tmp_path / "trials"))
+    rows = lambda lo, hi: spark.range(lo, hi).select("id", (F.col("id") % 2).alias("run"))
+    with pytest.raises(FileNotFoundError):
+        sink.read()
+    sink.write(rows(0, 4), "a")
+    sink.stage(rows(4, 6), "b")  # a job that died before its commit
+    assert sorted(r["id"] for r in sink.read().collect()) == [0, 1, 2, 3]
+    sink.write(rows(4, 6), "b")
+    sink.write(rows(4, 6), "b")
+    sink.write(rows(0, 4), "a")
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(6))
+    late = sink.stage(rows(4, 6), "b")  # a second writer of the same batch comes too late
+    sink.commit("b", late)
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(6)) and set(sink.commits()) == {"a", "b"}
+    assert sink.discard_stages() == 2 and sorted(r["run"] for r in sink.read().collect()) == [0, 0, 0, 1, 1, 1]
+
+
+def test_a_job_that_fails_while_writing_leaves_nothing_to_read(spark, tmp_path):
+    sink = sinks.CommittedFolder(spark, str(tmp_path / "x"))
+    bad = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sink.write(bad, "one")
+    assert sink.commits() == {}
+    sink.write(spark.range(100), "one")
+    assert sink.read().count() == 100
+
+
+def test_streams_go_to_an_own_sink(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    taken = {}
+
+    class Own:
+        def write(self, rows, batch):
+            taken[batch] = sorted(r["id"] for r in rows.collect())
+
+    folder = sinks.CommittedFolder(spark, str(tmp_path / "out"))
+    for lo in (0, 3):
+        spark.range(lo, lo + 3).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema("id long").parquet(feed)
+        run(sinks.stream_to(stream, Own(), str(tmp_path / "own")))
+        run(sinks.stream_to(stream, folder, str(tmp_path / "folder")))
+    assert taken == {"batch-0": [0, 1, 2], "batch-1": [3, 4, 5]}
+    assert sorted(r["id"] for r in folder.read().collect()) == list(range(6))
+
+
+def test_folders_in_their_order(spark, tmp_path):
+    from proofmill.operators import dedup
+    for folder, names in (("z last", ["a", "b"]), ("b", ["b", "c"]), ("c+1%", ["c"])):
+        (tmp_path / folder).mkdir()
+        for name in names:
+            (tmp_path / folder / f"{name}.json").write_text(json.dumps({"name": name}) if name != "c" else "broken")
+    paths = [str(tmp_path / f) for f in ("c+1%", "z last", "b")]
+    got = dedup.unique_names(readers.load_candidate_folders(spark, paths)).collect()
+    assert sorted((r["name"], r["dir_order"], r["unreadable"], r["is_first"]) for r in got) == [
+        ("a", 1, False, True), ("b", 1, False, True), ("b", 2, False, False), ("c", 0, True, True), ("c", 2, True, False)]
