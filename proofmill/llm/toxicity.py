@@ -12,8 +12,12 @@ sample and are rare in the clean ones. A sentence's features are the kernel valu
 words with each landmark, whitened by the landmarks' own kernel matrix (Nyström). Only
 documents are labelled, so the machine is trained on sentences in rounds: all sentences of
 clean documents are negative; of each toxic document the sentence that scores highest is
-positive, and any that matches a landmark better than all clean sentences do. A document's score is that of its worst sentence, through a fitted sigmoid. Each worker
-computes a word's values once and keeps them in a bounded table.
+positive, and any that matches a landmark better than all clean sentences do. A document's score comes from its worst
+sentence and from its worst different words, which tell several insults spread over a text from
+one chance match, against its number of different words, as long texts match more by chance: it
+is the larger one of two logistic curves fitted on the same documents, of the sentence alone and of
+all of these. Each worker computes a word's values once
+and keeps them in a bounded table.
 
 Kernel values below ``CUT`` count as zero; an upper bound on the kernel, cheap to take for
 whole blocks of words, finds the words for which that holds.
@@ -47,6 +51,8 @@ DECAY = 0.7
 POWER = 4
 CUT = 0.65
 THRESHOLD = 0.7
+#: Share of the sample's clean documents that may pass the threshold where labels overlap.
+CLEAN_PASSES = 0.002
 #: Letters of a landmark, at least and at most, and how many more its windows may have.
 SHORTEST, LONGEST, SLACK = 4, 9, 2
 #: Marks around every word, so a landmark may tell a word's start and end from its inside.
@@ -58,6 +64,7 @@ PIECE = 48
 KEPT_WORDS = 600_000
 _ORDER = 3
 _POOL = np.array([1.0, 0.5, 0.25])
+_PAIRS = 3
 _CODES = 32
 _ROUNDS = 4
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -242,6 +249,11 @@ class Words:
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the features of its sentences that have one other than zero."""
+        return [sentences for sentences, _, _ in self.described(texts)]
+
+    def described(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text the features of its sentences and of its different words, those that have
+        one other than zero, and how many different words it has."""
         split = [(t.translate(_BLANKS) if "\t" in t or "\r" in t else t).replace("\n", " \n ").split(" ") for t in texts]
         known = self.number
         fresh = {w for tokens in split for w in tokens if w not in known}
@@ -252,7 +264,7 @@ class Words:
         self._learn(sorted(fresh))
         return [self._features(tokens) for tokens in split]
 
-    def _features(self, tokens: list[str]) -> np.ndarray:
+    def _features(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         at = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
         rows = self.row[at]
         some = np.flatnonzero(rows)
@@ -260,12 +272,16 @@ class Words:
         for place, value in self._spelled(tokens, at):
             some = np.append(some, place)
             values.append(value)
+        different = int((np.bincount(at) > 0).sum())
         if not values:
-            return np.empty((0, len(self.landmarks.strings)))
+            none = np.empty((0, len(self.landmarks.strings)))
+            return none, none, different
+        values = np.array(values)
         number = np.concatenate(([0], np.cumsum(self.end[at])[:-1]))[some]
         order = np.argsort(number, kind="stable")
         cuts = np.flatnonzero(np.diff(number[order])) + 1
-        return np.array([_pooled(block) for block in np.split(np.array(values)[order], cuts)])
+        return (np.array([_pooled(block) for block in np.split(values[order], cuts)]),
+                np.unique(values, axis=0), different)
 
     def _spelled(self, tokens: list[str], at: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Values of runs of four or more letters written apart, at the run's first token."""
@@ -290,18 +306,33 @@ class Model:
     slope: float
     shift: float
     constant: float | None = None
+    #: The second curve: weights of the worst sentence and of what ``spread_of`` tells, and shift.
+    spread: np.ndarray | None = None
 
     def scores(self, words: Words, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
+        found = words.described(texts)
         # a sentence without any value counts as zero, every text has room for one
-        worst = np.array([(f @ self.weights).max(initial=0.0) for f in words.sentences(texts)])
-        return 1 / (1 + np.exp(-np.clip(self.slope * (worst + self.bias) + self.shift, -50, 50)))
+        worst = np.array([(f @ self.weights).max(initial=0.0) for f, _, _ in found])
+        curve = self.slope * (worst + self.bias) + self.shift
+        if self.spread is not None and len(found):
+            x = np.array([spread_of(w @ self.weights, n) for _, w, n in found])
+            curve = np.maximum(curve, np.column_stack((worst + self.bias, x)) @ self.spread[:-1] + self.spread[-1])
+        return 1 / (1 + np.exp(-np.clip(curve, -50, 50)))
 
     def words(self) -> Words:
         return Words(Landmarks(self.landmarks))
 
 
+def spread_of(words: np.ndarray, different: int) -> np.ndarray:
+    """The decisions of a document's worst different words, in pairs of falling rank, as they are
+    and over the logarithm of its number of different words."""
+    best = np.sort(words[words > 0])[::-1][:2 * _PAIRS]
+    pairs = np.pad(best, (0, 2 * _PAIRS - len(best))).reshape(_PAIRS, 2).sum(axis=1)
+    return np.concatenate((pairs, pairs / max(1.0, math.log1p(different))))
+
+
 def _strings(text: str) -> set[str]:
     """All letter strings of landmark length in the text's words."""
     found = set()
@@ -382,19 +413,32 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 5.0) -
     return w
 
 
-def _sigmoid(value: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of labels 0 and 1, weighted to the share of label 1."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: np.ndarray) -> np.ndarray:
+    """Weights and shift of the logistic curve of labels 0 and 1 over columns, weighted to the share
+    of label 1, by Newton steps."""
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    x = np.column_stack((value, np.ones(len(value))))
-    w = np.array([1.0, 0.0])
-    for _ in range(60):
+    x = np.column_stack((x, np.ones(len(x))))
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (weight * (p - y)) + 1e-2 * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), grad)
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
         w = w - step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def _sentence_curve(value: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """Slope and shift over the worst sentence's decision, whose own bound is zero."""
+    return _logistic(value[:, None], y, prior, np.full(2, 1e-2))
+
+
+def _joint_curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """Weights and shift over columns of any scale."""
+    middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    w = _logistic((x - middle) / scale, y, prior, np.array([1e-1] * x.shape[1] + [1e-3]))
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * middle / scale).sum())
 
 
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS,
@@ -415,22 +459,28 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: i
     values, vectors = np.linalg.eigh(landmarks.gram())
     white = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
 
-    @F.pandas_udf("array<binary>")
-    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<sentences binary, words binary, different int>")
+    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = Words(Landmarks(strings))
         for texts in batches:
-            yield pd.Series([[row.astype("<f4").tobytes() for row in found] for found in words.sentences(list(texts))])
+            found = words.described(list(texts))
+            yield pd.DataFrame({
+                "sentences": [f.astype("<f4").tobytes() for f, _, _ in found],
+                "words": [f.astype("<f4").tobytes() for _, f, _ in found], "different": [n for _, _, n in found]})
 
-    rows = sample.select("doc_id", label, describe("text").alias("f")).collect()
+    rows = sample.select("doc_id", label, describe("text").alias("f")).select("doc_id", label, "f.*").collect()
     rows.sort(key=lambda r: (r[label], r["doc_id"]))
+    matrix = lambda b: np.frombuffer(b, "<f4").reshape(-1, len(strings)).astype(float)
     # one zero row stands for a document's sentences without any landmark
-    raw = [np.array([np.frombuffer(b, "<f4") for b in r["f"]] + [np.zeros(len(strings))]) for r in rows]
+    raw = [np.vstack((matrix(r["sentences"]), np.zeros(len(strings)))) for r in rows]
+    spread = [(matrix(r["words"]), r["different"]) for r in rows]
     y = np.array([r[label] for r in rows])
-    return _train(landmarks, raw, y, white, prior)
+    return _train(landmarks, raw, spread, y, white, prior)
 
 
-def _train(landmarks: Landmarks, raw: list[np.ndarray], y: np.ndarray, white: np.ndarray, prior: float) -> Model:
-    """The model of the documents' sentence features and labels, in rounds.
+def _train(landmarks: Landmarks, raw: list[np.ndarray], spread: list[tuple[np.ndarray, int]], y: np.ndarray,
+           white: np.ndarray, prior: float) -> Model:
+    """The model of the documents' sentence features, word features and labels, in rounds.
 
     Positive are the worst sentence of each toxic document, by the machine so far, its sentences
     that match a landmark clearly better than any sentence of a clean document does, and the
@@ -456,8 +506,17 @@ def _train(landmarks: Landmarks, raw: list[np.ndarray], y: np.ndarray, white: np
             break
         worst = again
     top = np.array([(h @ w[:-1]).max() for h in held])
-    slope, shift = _sigmoid(top + w[-1], y, prior)
-    return Model(landmarks.strings, white @ w[:-1], float(w[-1]), slope, shift)
+    weights = white @ w[:-1]
+    x = np.column_stack((top + w[-1], [spread_of(f @ weights, n) for f, n in spread]))
+    pass_, clean = math.log(THRESHOLD / (1 - THRESHOLD)), y == 0
+    # a worst sentence decides by itself only above all clean documents of the sample
+    alone = _sentence_curve(x[:, 0], y, prior)
+    alone[-1] += min(0.0, pass_ - float((x[clean, 0] * alone[0] + alone[-1]).max()) - 1e-9)
+    # beside it labels are weighted up to evenly, as far as few of those documents pass
+    curve = _joint_curve(x, y, prior)
+    room = pass_ - float(np.quantile(x[clean] @ curve[:-1] + curve[-1], 1 - CLEAN_PASSES, method="higher")) - 1e-9
+    curve[-1] += min(max(room, 0.0), max(math.log((1 - prior) / prior), 0.0))
+    return Model(landmarks.strings, weights, float(w[-1]), float(alone[0]), float(alone[-1]), None, curve)
 
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:

