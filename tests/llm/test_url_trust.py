@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from proofmill.llm import url_trust as U
@@ -17,6 +18,23 @@ def brute_parts(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host):])[0]
 
 
+def solved(nodes, edges, seeds):
+    """The limits as solutions of linear equations."""
+    at = {h: n for n, h in enumerate(nodes)}
+    links = np.zeros((len(nodes), len(nodes)))
+    for (a, b), n in edges.items():
+        links[at[a], at[b]] += n
+    out = links.sum(axis=1, keepdims=True)
+    links = np.divide(links, out, out=np.zeros_like(links), where=out > 0)
+    s = np.array([seeds.get(h, (0.0, 0.0)) for h in nodes]).reshape(-1, 2)
+    one = np.eye(len(nodes))
+    # hosts without links send a walk back to the seeds
+    back = np.where(out > 0, 0, s[:, 0] / max(s[:, 0].sum(), 1e-300))
+    trust = np.linalg.solve(one - U.DAMPING * (links + back).T, (1 - U.DAMPING) * s[:, 0])
+    distrust = np.linalg.solve(one - U.DAMPING * (1 - s[:, 1:]) * links, s[:, 1])
+    return trust, distrust
+
+
 def brute(pages):
     urls, edges = [], {}
     for page_id, url, html in pages:
@@ -33,15 +51,9 @@ def brute(pages):
             s[2] += 1
             if rule:
                 s[rule.verdict == "block"] += 1
-    nodes = set(seeds) | {h for e in edges for h in e}
-    start = {h: [seeds[h][i] / seeds[h][2] if h in seeds else 0.0 for i in (0, 1)] for h in nodes}
-    score = start
-    for _ in range(U.ROUNDS):
-        new = {h: list(start[h]) for h in nodes}
-        for (a, b), n in edges.items():
-            new[b][0] += U.DAMPING * score[a][0] * n / sum(m for (x, _), m in edges.items() if x == a)
-            new[a][1] += U.DAMPING * score[b][1] * n / sum(m for (_, y), m in edges.items() if y == b)
-        score = new
+    nodes = sorted(set(seeds) | {h for e in edges for h in e})
+    trust, distrust = solved(nodes, edges, {h: (s[0] / s[2], s[1] / s[2]) for h, s in seeds.items()})
+    score = {h: (trust[n], distrust[n]) for n, h in enumerate(nodes)}
     return [(i, h, p, r.text if r else None, r.verdict if r else "block" if h and score[h][1] >= U.THRESHOLD
                    and score[h][1] > score[h][0] else "allow") for i, h, p, r in urls]
 
@@ -76,11 +88,38 @@ def test_verdicts_equal_brute_force_and_sql(spark, seed):
     assert sorted(sql, key=repr) == got
 
 
+def scores(spark, seeds, edges):
+    rows = spark.createDataFrame([(h, float(t), float(d)) for h, (t, d) in seeds.items()], "host string, trust double, distrust double")
+    links = spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n long")
+    return {r["host"]: (r["trust"], r["distrust"]) for r in U.propagate(rows, links).collect()}
+
+
 def test_trust_follows_links_and_distrust_runs_against_them(spark):
-    seeds = spark.createDataFrame([("good", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, trust double, distrust double")
-    edges = spark.createDataFrame([("good", "friend", 1), ("ally", "bad", 1), ("bad", "victim", 1)], "src string, dst string, n long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in U.propagate(seeds, edges).collect()}
-    assert got["friend"] == (pytest.approx(.85), 0) and got["ally"] == (0, pytest.approx(.85)) and got["victim"] == (0, 0)
+    got = scores(spark, {"good": (1, 0), "bad": (0, 1)}, {("good", "friend"): 1, ("ally", "bad"): 1, ("bad", "victim"): 1})
+    assert got["good"][0] + got["friend"][0] == pytest.approx(1) and got["friend"] == (pytest.approx(.85 / 1.85), 0)
+    assert got["ally"] == (0, pytest.approx(.85)) and got["bad"] == (0, 1) and got["victim"] == (0, 0)
+
+
+def test_distrust_does_not_depend_on_how_many_link(spark):
+    for linkers in (1, 2, 10):
+        got = scores(spark, {"bad": (0, 1)}, {(f"l{i}", "bad"): 3 for i in range(linkers)})
+        assert [got[f"l{i}"][1] for i in range(linkers)] == pytest.approx([.85] * linkers)
+
+
+def test_mutual_links_do_not_add_up(spark):
+    for share in (.142, .15):
+        a, b = (scores(spark, {"a": (0, share)}, {("a", "b"): 1, ("b", "a"): 1})[h][1] for h in "ab")
+        assert a == pytest.approx(share / (1 - (1 - share) * .85 ** 2)) and b == pytest.approx(.85 * a) and a < U.THRESHOLD
+
+
+def test_a_chain_longer_than_twenty_hops_and_the_limit(spark):
+    chain = {(f"h{i:02}", f"h{i + 1:02}"): 1 for i in range(45)} | {("h05", "h04"): 2, ("h30", "h02"): 1}
+    seeds = {"h45": (0, 1), "h00": (1, 0), "h20": (.4, .3)}
+    got = scores(spark, seeds, chain)
+    nodes = sorted({h for e in chain for h in e})
+    trust, distrust = solved(nodes, chain, seeds)
+    assert [got[h][0] for h in nodes] == pytest.approx(trust, abs=1e-8)
+    assert [got[h][1] for h in nodes] == pytest.approx(distrust, abs=1e-8) and got["h21"][1] > 0
 
 
 def test_of_equally_long_rules_the_first_wins(spark):
