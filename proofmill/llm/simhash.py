@@ -209,17 +209,24 @@ def _by_neighbourhood(points: DataFrame, bits: int) -> DataFrame:
     near, far = bits // 2, bits - bits // 2
     flips = [sum(1 << i for i in chosen) for size in range(far + 1) for chosen in combinations(range(64), size)]
     signed = [f - (1 << 64) if f >> 63 else f for f in flips]
-    if near != far:
-        raise ValueError("an even number of bits is needed for dense cells")
     # a fixed number of flips, 2,081 for four bits
     met = points.select(F.explode(F.lit(signed)).alias("flip"), "a").select(
         F.col("a").bitwiseXOR(F.col("flip")).alias("at"), "a")
-    least = met.groupBy("at").agg(F.min("a").alias("b"))
-    return met.join(least, "at").where("a <> b").select("a", "b").distinct()
+    if near == far:
+        least = met.groupBy("at").agg(F.min("a").alias("b"))
+        return met.join(least, "at").where("a <> b").select("a", "b").distinct()
+    # an odd distance splits into a near and a far side: those on the near side of a shared
+    # fingerprint link to its smallest point on the far side, and the other way round
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("at"))) <= near
+    least = met.groupBy("at").agg(F.min("a").alias("any"), F.min(F.when(close, F.col("a"))).alias("nearest"))
+    both = met.join(least, "at")
+    return both.where("nearest IS NOT NULL AND a <> nearest").select("a", F.col("nearest").alias("b")).unionByName(
+        both.where(close & (F.col("a") != F.col("any"))).select("a", F.col("any").alias("b"))).distinct()
 
 
 def _linked(found: DataFrame, bits: int, dense: int) -> DataFrame:
-    """(fingerprint, component_id) of fingerprints with ids least-combined over their component.
+    """(fingerprint, root, component_id) of fingerprints: the least one of their component and the
+    least id of it.
 
     ``found``: doc_id, fingerprint. Fingerprints without a link keep their own smallest id.
     """
@@ -229,7 +236,7 @@ def _linked(found: DataFrame, bits: int, dense: int) -> DataFrame:
     named = points.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select("fingerprint", "component_id")
+    return named.join(ids, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS, dense: int = DENSE) -> DataFrame:
@@ -242,21 +249,25 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS, dense
 
 def representatives(docs: DataFrame, bits: int = BITS, words: int = WORDS, dense: int = DENSE) -> DataFrame:
     """The documents with one of each near-duplicate group: the row of the smallest id, and among
-    rows of that id the one of the smallest text digest. Own columns only.
+    rows of that id the one of the smallest text digest; of rows equal in both one. Own columns only.
 
-    Only rows in a Bloom bitmap of the others are shuffled to be left out.
+    Only rows in a Bloom bitmap of the others, or of rows that stand there twice, are shuffled.
     """
     row = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_of()), 256)
     found = written(fingerprints(docs, ["doc_id", row.alias("row")], words=words), "fingerprints")
     named = _linked(found, bits, dense)
-    placed = written(found.join(named, "fingerprint").select("doc_id", "row", "component_id"), "placed")
-    stays = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
-        F.min("row").alias("stay"))
-    leaves = placed.join(stays, placed.component_id.eqNullSafe(stays.component_id)).where(
-        "row <> stay").select(F.col("row").alias("__leaves"))
+    # a group is told by its root, as one id may stand in several groups
+    placed = written(found.join(named, "fingerprint").select("doc_id", "row", "root"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stays = placed.groupBy("root").agg(first).select("root", F.col("first.row").alias("stay"))
+    leaves = placed.join(stays, "root").where("row <> stay").select(F.col("row").alias("__leaves"))
     leaves = written(leaves, "leaves")
     gone = bloom.members(leaves, F.col("__leaves"), 5)
+    twice = bloom.repeated(placed.select("row"), F.col("row"), 7)
     marked = bloom.probe(docs.withColumn("__row", row), gone, F.col("__row"), 5, "__near_hit")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = marked.where("__near_hit").join(leaves, F.col("__row") == F.col("__leaves"), "left_anti")
-    return marked.where("not __near_hit").select(*own).unionByName(maybe.select(*own))
+    marked = bloom.probe(marked, twice, F.col("__row"), 7, "__twice_hit")
+    own, hit = [F.col(f"`{c}`") for c in docs.columns], F.col("__near_hit") | F.col("__twice_hit")
+    maybe = marked.where(hit).join(leaves, F.col("__row") == F.col("__leaves"), "left_anti")
+    # equal rows are reduced map-side to one of them
+    once = maybe.groupBy("__row").agg(F.any_value(F.struct(*own)).alias("__one")).select("__one.*")
+    return marked.where(~hit).select(*own).unionByName(once)

@@ -63,7 +63,7 @@ def brute_components(points, bits):
     return {p: find(p) for p in points}
 
 
-@pytest.mark.parametrize("seed, bits, dense", [(1, 4, 8192), (2, 4, 3), (3, 2, 8192), (4, 0, 8192)])
+@pytest.mark.parametrize("seed, bits, dense", [(1, 4, 8192), (2, 4, 3), (3, 2, 8192), (4, 0, 8192), (5, 3, 8192), (6, 3, 3), (7, 1, 3), (8, 5, 8192)])
 def test_links_close_to_the_brute_force_components(spark, seed, bits, dense):
     points = near_points(seed)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
@@ -85,5 +85,8 @@ def test_near_duplicates_of_odd_rows(documents, collected):
     left = simhash.representatives(docs)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 3, 5, 9]
+    again = documents([(8, body), (8, body), (3, body), (3, body), (3, body), (4, "alone here"), (4, "alone here"), (4, None)])
+    assert sorted((r["doc_id"], r["text"] or "") for r in simhash.representatives(again).collect()) == [
+        (3, body), (4, ""), (4, "alone here")]
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.representatives(documents([])).count() == 0
