@@ -5,20 +5,23 @@ Fixed patterns find assignments, access keys and long hex runs. In wider credent
 cheapest segmentation into known words, dates, repeats, sequences, keyboard walks and brute
 force spans needs at least ``10 ** min_log10_guesses`` guesses. A brute force character costs the
 alphabet of the classes that the value mixes, so random values are found from 6 characters if they
-mix two classes, with letters or digits alone from 9. Known words are a short fixed
+mix two classes, with letters or digits alone from 9; letters that can be spoken like a word count as
+one, so such values are found from 13. Known words are a short fixed
 list and the words of the document itself, so ordinary prose after "password is" stays cheap.
 Words inside a credential value, or inside a copy of one elsewhere in the text, are not known by
 that: no value makes itself or another one cheap.
 
 Defined cases: null and empty texts hold no secret; texts are scanned whole, however long;
 offsets are code points, end exclusive; a guess span inside one base span is left out, one that reaches beyond is kept whole;
-equal spans cannot occur twice; repeated rows give equal rows; an empty table gives none.
+equal spans cannot occur twice; the guesses told of a value longer than ``LONG_VALUE`` are a lower
+bound; repeated rows give equal rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +31,8 @@ from .common import python_ready, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 9.0
+#: Values longer than this are measured only until they are proven dear enough.
+LONG_VALUE = 256
 SPANS = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 
 _ASSIGN = re.compile(
@@ -61,6 +66,11 @@ KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./",
             "2q", "3wa", "4esz", "5rdx", "6tfc", "7ygv", "8uhb", "9ijn", "0okm", "-pl,")
 
 _LOG10 = math.log10
+#: A word of Latin letters with at most three consonants or vowels in a row, accents apart.
+_SPOKEN = re.compile(r"(?:(?!q[^u])[bcdfghj-np-tvwxzß]\u0327?){0,3}(?:[aeiouy][\u0300-\u036f]*){1,3}"
+                     r"(?:(?:(?!q[^u])[bcdfghj-np-tvwxzß][\u0300-\u036f]*){1,3}(?:[aeiouy][\u0300-\u036f]*){1,3})*"
+                     r"(?:[bcdfghj-np-tvwxzß][\u0300-\u036f]*){0,3}")
+_SPEECH = 0.7           # five guesses a character of a word that can be spoken
 _BRUTE = 1.0            # ten guesses a character of a plain word or number
 _SEGMENT = _LOG10(3)    # the order and number of the segments has to be guessed too
 _YEARS = 120
@@ -102,9 +112,13 @@ def brute_cost(value: str) -> float:
     """log10 of the guesses a character of ``value``, by the classes of characters it mixes.
 
     Plain words, in one case or with a capital, and numbers count ten guesses a character, also
-    several of one kind joined by single signs such as ``e-mail`` or ``12:30``.
+    several of one kind joined by single signs such as ``e-mail`` or ``12:30``. A single word that
+    can be spoken, vowels and consonants taking turns, counts five.
     """
     words = _LETTERS.findall(value)
+    if words == [value] and value[1:] in (value[1:].lower(), value[1:].upper()) and _SPOKEN.fullmatch(
+            unicodedata.normalize("NFD", value.lower())):
+        return _SPEECH
     size = 26 if words else 0
     size += 26 if any(w != w.upper() and w[1:] != w[1:].lower() for w in words) else 0
     size += 10 if _DIGITS.search(value) else 0
@@ -112,11 +126,12 @@ def brute_cost(value: str) -> float:
     return _BRUTE if size in (0, 10, 26, 33) else _LOG10(size)
 
 
-def guess_cost(value: str, ranks: dict[str, int], brute: float = _BRUTE) -> float:
+def guess_cost(value: str, ranks: dict[str, int], brute: float = _BRUTE, enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     ``ranks`` has the rank, from 1, of each known word in lower case; ``brute`` is the cost of a
-    character that no other kind covers.
+    character that no other kind covers. Once no segmentation of the whole can need less than
+    ``enough``, the bound that proves it is returned instead.
     """
     n = len(value)
     if not n:
@@ -161,22 +176,29 @@ def guess_cost(value: str, ranks: dict[str, int], brute: float = _BRUTE) -> floa
             if length % 2 == 0 and length >= 4 and low[start:start + length // 2] == low[start + length // 2:end]:
                 half = start + length // 2  # a block written twice costs about as much as once
                 offer(end, best[half] + _LOG10(2) + _SEGMENT)
+        if best[end] >= enough and end >= _MAX_WORD and max(step_run, walk_run, same_run) <= _MAX_WORD:
+            # but for a run still going on, every longer segmentation has a cut among these
+            least = min(best[end - _MAX_WORD + 1:end + 1])
+            if least >= enough:
+                return least
     return best[n]
 
 
 def without_values(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without these spans and without the strings equal to one, in any case, elsewhere."""
-    copies: dict[str, set[tuple[str, int]]] = {}
-    for value in {text[a:b].lower() for a, b in spans}:
+    # by a value's longest word: where it may stand around that word, as (place of the word, length)
+    shapes: dict[str, set[tuple[int, int]]] = {}
+    values = {text[a:b].lower() for a, b in spans}
+    for value in values:
         word = max(_WORD.finditer(value), key=lambda m: len(m[0]), default=None)
         if word:
-            copies.setdefault(word[0], set()).add((value, word.start()))
+            shapes.setdefault(word[0], set()).add((word.start(), len(value)))
     cut = list(spans)
     for m in _WORD.finditer(text):
-        for value, at in copies.get(m[0].lower(), ()):
+        for at, length in shapes.get(m[0].lower(), ()):
             start = m.start() - at
-            if start >= 0 and text[start:start + len(value)].lower() == value:
-                cut.append((start, start + len(value)))
+            if start >= 0 and text[start:start + length].lower() in values:
+                cut.append((start, start + length))
     return redact(text, sorted(cut), " ")
 
 
@@ -208,7 +230,8 @@ def scan(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[
             assigned = [m.span(2) for m in _ASSIGN.finditer(text)]
             ranks = document_ranks(without_values(text, values + assigned + base))
             for start, end in asked:
-                cost = guess_cost(text[start:end], ranks, brute_cost(text[start:end]))
+                value = text[start:end]
+                cost = guess_cost(value, ranks, brute_cost(value), min_log10_guesses if len(value) > LONG_VALUE else math.inf)
                 if cost >= min_log10_guesses:
                     found.append(("guess", start, end, cost))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -146,3 +148,36 @@ def test_guess_spans_reach_beyond_base_spans():
         assert [s[:3] for s in spans if s[0] != "guess"] == [base] and guesses(text) == [value]
         assert secrets.redact(text, [s[1:3] for s in spans]) == clean
     assert [s[0] for s in secrets.scan("password=Sup3rPw9xQ7z. token: 'k3x9q2vzzp4'")] == ["assign", "assign"]
+
+
+def test_many_values_and_long_ones_take_time_in_proportion():
+    words = "alpha"
+    lines = "\n".join(f"pwd is {words}{i:06}xQ#" for i in range(8000))
+    start = time.perf_counter()
+    found = secrets.scan(lines)
+    assert time.perf_counter() - start < 12  # it took a minute when each word was compared with each value
+    assert len(found) == 8000
+    blob = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789", k=400_000))
+    start = time.perf_counter()
+    assert [s[:3] for s in secrets.scan(f"pwd is {blob}")] == [("guess", 7, 400_007)]
+    assert time.perf_counter() - start < 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["abc", "cba", "qwe", "aaaaaaaaaaaaaaa", "19", "1987", "dragon", "x", "7", "zz", "2511", "Q#", "abcdefghijklm"]),
+                max_size=14).map("".join), st.floats(1, 14))
+def test_the_early_end_is_a_bound_on_the_right_side(value, enough):
+    ranks = {"dragon": 12}
+    whole, bound = secrets.guess_cost(value, ranks), secrets.guess_cost(value, ranks, enough=enough)
+    assert bound <= whole + 1e-9 and (bound >= enough) == (whole >= enough)
+
+
+def test_prose_behind_a_credential_word_is_no_secret():
+    for text in ("the secret is confidential", "auth is important here", "login is available", "Access key is unavailable",
+                 "the password is compulsory.", "token is Deprecated", "login is obligatorio", "the secret is nécessaire",
+                 "password is überflüssig", "auth is RECOMMENDED", "the passphrase is unchangeable"):
+        assert guesses(text) == [], text
+    rng = random.Random(6)
+    drawn = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (10, 12, 14) for _ in range(200)]
+    found = [bool(guesses(f"the pwd is {value}, then")) for value in drawn]
+    assert sum(found) / len(found) > .85 and all(found[400:])
