@@ -230,6 +230,7 @@ class Words:
         self.single = np.zeros(1024, dtype=bool)         # whether it is one letter
         self.end[1] = True
         self.values = [np.zeros(len(self.landmarks.strings))]
+        self.rows: dict[bytes, int] = {}                 # of the values seen: words alike share one
 
     def _learn(self, fresh: list[str]) -> None:
         parts = [pieces(w) for w in fresh]
@@ -244,8 +245,10 @@ class Words:
             self.end[n] = word.endswith(_ENDS)
             self.single[n] = len(own[0]) == 3
             if values := [found[p] for p in own if p in found]:
-                self.row[n] = len(self.values)
-                self.values.append(np.max(values, axis=0))
+                most = np.max(values, axis=0)
+                self.row[n] = self.rows.setdefault(most.tobytes(), len(self.values))
+                if self.row[n] == len(self.values):
+                    self.values.append(most)
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the features of its sentences that have one other than zero."""
@@ -269,10 +272,13 @@ class Words:
         rows = self.row[at]
         some = np.flatnonzero(rows)
         values = [self.values[r] for r in rows[some].tolist()]
+        words = [self.values[r] for r in set(rows[some].tolist())]
         for place, value in self._spelled(tokens, at):
+            if not any(np.array_equal(value, w) for w in words):
+                words.append(value)
             some = np.append(some, place)
             values.append(value)
-        different = int((np.bincount(at) > 0).sum())
+        different = len(set(tokens))
         if not values:
             none = np.empty((0, len(self.landmarks.strings)))
             return none, none, different
@@ -281,7 +287,7 @@ class Words:
         order = np.argsort(number, kind="stable")
         cuts = np.flatnonzero(np.diff(number[order])) + 1
         return (np.array([_pooled(block) for block in np.split(values[order], cuts)]),
-                np.unique(values, axis=0), different)
+                np.array(words), different)
 
     def _spelled(self, tokens: list[str], at: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Values of runs of four or more letters written apart, at the run's first token."""
