@@ -111,32 +111,24 @@ def _count_below(place: str, buckets: int, strict: bool) -> Column:
 
 
 def share_by_key(
-    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, spread: Column,
+    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, spread: Column | None = None,
     hot: int = 1000,
 ) -> DataFrame:
     """Left-join one summary row per key back onto the rows when few keys may be huge.
 
-    The ``hot`` most frequent keys (a fixed number of rows) are broadcast, so their rows
-    are served at once. Any other key holds less than 1/``hot`` of the table and goes through
-    an ordinary join; rows already served, and rows with a null key, which match nothing, are
-    spread by ``spread`` so that they do not meet in one partition.
+    The ``hot`` most frequent keys (a fixed number of rows) are broadcast. Their rows, and rows with
+    a null key, which match nothing, are done there and reach no exchange; any other key holds less
+    than 1/``hot`` of the table and goes through an ordinary join. Both parts read ``rows``: what is
+    costly to make should lie behind a shuffle or a table, which they share. (``spread`` is not
+    needed any more.)
     """
     values = [c for c in summary.columns if c not in keys]
     top = summary.orderBy(F.desc(count), *keys).limit(hot)
-    top = top.select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values],
-                     F.lit(True).alias("__served"))
+    top = top.select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__served"))
     step = rows.join(F.broadcast(top), keys, "left")
     served = F.coalesce(F.col("__served"), F.lit(False))
     for k in keys:
         served = served | F.col(k).isNull()
-    step = step.withColumn("__spread", F.when(served, spread.cast("string")).otherwise(F.lit("")))
-    cold = summary.select(*[F.col(k).alias(f"__cold_{k}") for k in keys],
-                          *[F.col(c).alias(f"__cold_{c}") for c in values],
-                          F.lit("").alias("__cold_spread"))
-    on = F.col("__spread") == F.col("__cold_spread")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__cold_{k}"))
-    step = step.join(cold, on, "left")
-    return step.select(
-        *rows.columns,
-        *[F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")).alias(c) for c in values])
+    done = step.where(served).select(*rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in values])
+    rest = step.where(~served).select(*rows.columns).join(summary, keys, "left").select(*rows.columns, *values)
+    return done.unionByName(rest)

@@ -298,13 +298,20 @@ def attach_scenarios(outputs: DataFrame, scenarios: DataFrame) -> DataFrame:
     return outputs.join(s.withColumnRenamed("name", "scenario"), "scenario", "left")
 
 
+def outputs_without_scenario(outputs: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(arm, outputs, names): what ``score_outputs`` leaves out because no scenario has the name."""
+    lost = outputs.select("arm", "scenario").join(scenarios.select(F.col("name").alias("scenario")), "scenario", "left_anti")
+    per = lost.groupBy("arm", "scenario").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("arm").agg(F.sum("n").alias("outputs"), F.count(F.lit(1)).alias("names"))
+
+
 def score_outputs(
     outputs: DataFrame, scenarios: DataFrame, spec: RewardSpec = RewardSpec()
 ) -> DataFrame:
     """The fact table every comparison reads: one row per output, verdicts and parts.
 
     Outputs are parsed before the join, so that the shuffle carries each answer once and
-    log lines only on the scenario side.
+    log lines only on the scenario side. ``outputs_without_scenario`` counts those left out.
     """
     rows = attach_scenarios(parse_outputs(outputs), scenarios).filter(F.col("expects_yes").isNotNull())
     scored = with_reward(ground(rows), spec)

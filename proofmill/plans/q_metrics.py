@@ -93,6 +93,24 @@ def stratified_scores(spark, sf):
     return M.stratified_scores(rows, stratum).withColumn("mean_reward", r6("mean_reward"))
 
 
+@query("stratified_origin", sql("""
+SELECT s.source AS stratum, arm, count(*) AS n, round(avg(reward), 6) AS mean_reward, count(*) FILTER (f.expects_yes AND grounded) AS citation_pass,
+  count(*) FILTER (NOT f.expects_yes AND grounded) AS false_positives
+FROM b_fact f JOIN (SELECT name, source FROM b_scenario) s ON s.name = f.scenario WHERE sample_idx = -1 GROUP BY ALL""", "b_fact", "b_scenario"))
+def stratified_origin(spark, sf):
+    s = B.scenarios(spark, sf).select(F.col("name").alias("scenario"), "source")
+    return M.stratified_scores(fact(spark, sf).join(s, "scenario"), F.col("source")).withColumn("mean_reward", r6("mean_reward"))
+
+
+@query("outputs_without_scenario", sql("""
+SELECT arm, count(*) AS outputs, count(DISTINCT scenario) AS names FROM b_fact
+WHERE scenario IN (SELECT name FROM b_scenario WHERE quality IS NULL) GROUP BY arm""", "b_fact", "b_scenario"))
+def outputs_without_scenario(spark, sf):
+    """Outputs of all scenarios against those that carry a label."""
+    gold, _ = B.golden_and_candidates(spark, sf)
+    return O.outputs_without_scenario(B.outputs(spark, sf), gold)
+
+
 # ---- paired comparison ---------------------------------------------------------------
 
 

@@ -219,6 +219,15 @@ def test_share_by_key_with_one_hot_key(spark):
         assert got == plain and len(got) == 3000
 
 
+def test_rows_of_hot_keys_reach_no_exchange(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = share_by_key(rows, sums, ["k"], "n")
+    parts = str(out._jdf.queryExecution().sparkPlan()).split("Union")[1]
+    done = parts.split("\n:- ")[1].split("\n+- ")[0]  # the first branch: one broadcast join
+    assert "BroadcastHashJoin" in done and "SortMergeJoin" not in done and "Exchange hash" not in done.split("TakeOrdered")[0]
+
+
 def test_paired_counts_flip_on_negatives(spark):
     rows = [(arm, name, -1, yes, g) for name, yes, was, now in [
         ("p1", True, False, True), ("p2", True, True, False), ("n1", False, False, True), ("n2", False, True, False), ("p3", True, True, True)]
