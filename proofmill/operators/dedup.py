@@ -47,9 +47,7 @@ def find_duplicates(rows: DataFrame, against: DataFrame | None = None) -> DataFr
     firsts = every.groupBy("signature").agg(
         F.min(F.struct("side", "seq", "name")).alias("first"), F.count(F.lit(1)).alias("n"),
     ).filter(F.col("n") > 1)
-    linked = share_by_key(
-        own, firsts, ["signature"], "n",
-        F.xxhash64("seq", "name"))
+    linked = share_by_key(own, firsts, ["signature"], "n")
     first = F.col("first")
     return linked.filter(
         first.isNotNull() & ~((first["side"] == 1) & (first["seq"] == F.col("seq")))
@@ -62,7 +60,7 @@ def unique_names(rows: DataFrame) -> DataFrame:
     """Adds ``is_first``: the first row of each name by (dir_order, file) is kept."""
     firsts = rows.groupBy("name").agg(
         F.min(F.struct("dir_order", "file")).alias("first"), F.count(F.lit(1)).alias("n"))
-    linked = share_by_key(rows, firsts, ["name"], "n", F.xxhash64("dir_order", "file"))
+    linked = share_by_key(rows, firsts, ["name"], "n")
     return linked.withColumn(
         "is_first", F.struct("dir_order", "file") == F.col("first")).drop("first", "n")
 

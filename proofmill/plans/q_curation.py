@@ -256,7 +256,7 @@ def signatures(spark, sf):
     groups = rows.groupBy("signature").agg(
         F.count(F.lit(1)).alias("copies"), F.min_by("name", "seq").alias("first_name"))
     from ..functions.ordering import share_by_key
-    return share_by_key(rows, groups, ["signature"], "copies", F.col("seq")).select("name", "copies", "first_name")
+    return share_by_key(rows, groups, ["signature"], "copies").select("name", "copies", "first_name")
 
 
 def _dups(own: str, against: str | None = None) -> str:
@@ -314,7 +314,7 @@ def prompt_signatures(spark, sf):
     rows = once(B.chat(spark, sf), sig=D.prompt_signature(F.col("user"))).select(
         "scenario", "line_no", "sig").repartition("line_no")
     groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("same"), F.min("line_no").alias("first_line"))
-    return share_by_key(rows, groups, ["sig"], "same", F.col("line_no")).select("scenario", "same", "first_line")
+    return share_by_key(rows, groups, ["sig"], "same").select("scenario", "same", "first_line")
 
 
 _LEAK = f"""SELECT scenario FROM (SELECT split, scenario, {_PROMPT_SIG} || chr(2) || {_PROMPT_LOGS} AS sig FROM b_chat) v
