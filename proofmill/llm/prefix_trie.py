@@ -248,7 +248,7 @@ def nodes(conversations: DataFrame, bits: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("rep"), F.max("length").alias("longest"),
         F.min_by("length", "conv_id").alias("rep_length"), F.min("points").alias("node_points"),
         F.min("depth").alias("node_depth")), "groups")
-    placed = written(share_by_key(shared, groups.select(*_KEY, "n_convs", "rep", "longest"), _KEY, "n_convs", F.col("conv_id")), "members")
+    placed = written(share_by_key(shared, groups.select(*_KEY, "n_convs", "rep", "longest"), _KEY, "n_convs"), "members")
     own = F.col("rep") == F.col("conv_id")
     # of each conversation the deepest node that has a smaller member: its own nodes begin below
     joins = written(placed.where(~own).groupBy("conv_id").agg(

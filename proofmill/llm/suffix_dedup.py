@@ -434,7 +434,7 @@ def _reduced(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal segments of the whole corpus reduced to the earliest, and the spans of the others."""
     firsts = written(rows.groupBy("m", "bytes").agg(
         F.min(F.struct("id", "tie", "start", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    joined = share_by_key(rows, firsts, ["m", "bytes"], "copies", F.xxhash64("id", "start"))
+    joined = share_by_key(rows, firsts, ["m", "bytes"], "copies")
     spans = joined.where("NOT (id = first.id AND tie = first.tie AND start = first.start)").select(
         F.lit(None).cast("long").alias("m"), "id", "tie", "start", "n", F.lit(None).cast("binary").alias("bytes"))
     return firsts.select("m", "first.id", "first.tie", "first.start", "first.n", "bytes"), spans
