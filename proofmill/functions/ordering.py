@@ -111,16 +111,14 @@ def _count_below(place: str, buckets: int, strict: bool) -> Column:
 
 
 def share_by_key(
-    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, spread: Column | None = None,
-    hot: int = 1000,
+    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, hot: int = 1000,
 ) -> DataFrame:
     """Left-join one summary row per key back onto the rows when few keys may be huge.
 
     The ``hot`` most frequent keys (a fixed number of rows) are broadcast. Their rows, and rows with
     a null key, which match nothing, are done there and reach no exchange; any other key holds less
     than 1/``hot`` of the table and goes through an ordinary join. Both parts read ``rows``: what is
-    costly to make should lie behind a shuffle or a table, which they share. (``spread`` is not
-    needed any more.)
+    costly to make should lie behind a shuffle or a table, which they share.
     """
     values = [c for c in summary.columns if c not in keys]
     top = summary.orderBy(F.desc(count), *keys).limit(hot)

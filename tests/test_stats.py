@@ -214,7 +214,7 @@ def test_share_by_key_with_one_hot_key(spark):
     rows = rows.withColumn("k", F.when(F.col("id") == 7, F.lit(None)).otherwise(F.col("k")))
     sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     for hot in (1, 5, 1000):
-        got = {r["id"]: (r["n"], r["first"]) for r in share_by_key(rows, sums, ["k"], "n", F.col("id"), hot).collect()}
+        got = {r["id"]: (r["n"], r["first"]) for r in share_by_key(rows, sums, ["k"], "n", hot).collect()}
         plain = {r["id"]: (r["n"], r["first"]) for r in rows.join(sums, "k", "left").collect()}
         assert got == plain and len(got) == 3000
 
