@@ -31,8 +31,22 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def reused(rows: DataFrame) -> DataFrame:
     """Rows that several branches of a plan read: kept on the executors' disks from the first
-    job that needs them. No job runs before, and parts lost with an executor are made again."""
-    return rows.persist(StorageLevel.DISK_ONLY)
+    job that needs them. No job runs before, and parts lost with an executor are made again.
+    ``release`` frees them."""
+    _reused.append(rows.persist(StorageLevel.DISK_ONLY))
+    return _reused[-1]
+
+
+_reused: list[DataFrame] = []
+
+
+def release() -> int:
+    """Frees what operators kept for results that are done by now; a result that is used again
+    afterwards is made anew. Returns how many tables that were."""
+    n = len(_reused)
+    while _reused:
+        _reused.pop().unpersist()
+    return n
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
