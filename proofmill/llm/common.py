@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import pathlib
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, python_workers
 
 #: Rows per Arrow batch where a row holds a whole text, so a batch of long texts stays small.
 TEXT_ROWS = 1024
@@ -30,9 +27,29 @@ def written(rows: DataFrame, what: str) -> DataFrame:
     rows.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(rows.schema).parquet(path)
     table._written_at = path
+    if _passing:
+        _passing[-1].append(table)
     return table
 
 
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end of the block, the tables that ``written`` made in it, but for those given
+    to the function that the block gets. What is still needed has to be written or collected by then."""
+    made, kept = [], []
+    _passing.append(made)
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        _passing.remove(made)
+        for table in made:
+            if not any(table is k for k in kept):
+                discard(table)
+
+
 def discard(rows: DataFrame) -> None:
     """Deletes a table that ``written`` made, once nothing reads it any more."""
     spark = rows.sparkSession
@@ -50,23 +67,12 @@ def fold(column: str, parts: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts).cast("int")
 
 
-_shipped: set[str] = set()
-
-
 def python_ready(spark: SparkSession) -> None:
     """Prepares Python on the executors: this package is sent along once per application, so
-    workers can import it wherever they start, and Arrow batches hold at most TEXT_ROWS rows."""
+    workers can import it wherever they start, and Arrow batches hold at most TEXT_ROWS rows, from
+    here on in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = pathlib.Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")  # the driver serves it to all
-    with zipfile.ZipFile(path, "w") as archive:
-        for file in sorted(package.rglob("*.py")):
-            archive.write(file, file.relative_to(package.parent))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
+    python_workers(spark)
 
 
 def clear_labels(labels: DataFrame, label: str) -> DataFrame:

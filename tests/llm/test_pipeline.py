@@ -92,3 +92,24 @@ def test_registered():
     assert numbers == list(range(1, 11)) and set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "exact_dedup", "simhash_near_dedup", "secret_scan", "packing"]
+
+
+def test_tables_made_on_the_way_are_deleted(spark):
+    import os
+    from proofmill.llm.common import passing, written
+
+    there = lambda rows: os.path.isdir(rows._written_at.removeprefix("file://").removeprefix("file:"))
+    before = written(spark.range(3), "before")
+    with passing() as keep:
+        way = written(spark.range(4), "way")
+        with passing() as inner:
+            deep = inner(written(way.where("id > 1"), "deep"))
+        result = keep(written(deep, "result"))
+        assert there(way) and there(deep)
+    assert there(before) and there(result) and not there(way) and sorted(r["id"] for r in result.collect()) == [2, 3]
+    try:
+        with passing():
+            lost = written(spark.range(2), "lost")
+            raise ValueError
+    except ValueError:
+        assert not there(lost)
