@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proofmill.llm import exact_dedup, packing, quality, secrets, simhash
-from proofmill.llm.common import table, written
+from proofmill.llm.common import discard, passing, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over the documents; each result is written and read again. What a stage
+    wrote on its way, and the result before it, is deleted then."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
