@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import reused
+from .prefilter import flag_possible
 
 _HEX = 4  # 16^4 = 65,536 hash buckets
 
@@ -111,14 +112,15 @@ def _count_below(place: str, buckets: int, strict: bool) -> Column:
 
 
 def share_by_key(
-    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, hot: int = 1000,
+    rows: DataFrame, summary: DataFrame, keys: list[str], count: str, hot: int = 1000, sparse: bool = False,
 ) -> DataFrame:
     """Left-join one summary row per key back onto the rows when few keys may be huge.
 
     The ``hot`` most frequent keys (a fixed number of rows) are broadcast. Their rows, and rows with
     a null key, which match nothing, are done there and reach no exchange; any other key holds less
     than 1/``hot`` of the table and goes through an ordinary join. Both parts read ``rows``: what is
-    costly to make should lie behind a shuffle or a table, which they share.
+    costly to make should lie behind a shuffle or a table, which they share. ``sparse`` says that
+    most keys have no summary: a Bloom prefilter then keeps their rows out of the join, too.
     """
     values = [c for c in summary.columns if c not in keys]
     top = summary.orderBy(F.desc(count), *keys).limit(hot)
@@ -127,6 +129,9 @@ def share_by_key(
     served = F.coalesce(F.col("__served"), F.lit(False))
     for k in keys:
         served = served | F.col(k).isNull()
+    if sparse:
+        step = flag_possible(step, summary, keys, "__possible")
+        served = served | ~F.col("__possible")
     done = step.where(served).select(*rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in values])
     rest = step.where(~served).select(*rows.columns).join(summary, keys, "left").select(*rows.columns, *values)
     return done.unionByName(rest)

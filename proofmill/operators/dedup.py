@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
+from ..functions.prefilter import possible
 from ..functions.stage import once
 from ..session import reused
 
@@ -47,7 +48,7 @@ def find_duplicates(rows: DataFrame, against: DataFrame | None = None) -> DataFr
     firsts = every.groupBy("signature").agg(
         F.min(F.struct("side", "seq", "name")).alias("first"), F.count(F.lit(1)).alias("n"),
     ).filter(F.col("n") > 1)
-    linked = share_by_key(own, firsts, ["signature"], "n")
+    linked = share_by_key(own, firsts, ["signature"], "n", sparse=True)
     first = F.col("first")
     return linked.filter(
         first.isNotNull() & ~((first["side"] == 1) & (first["seq"] == F.col("seq")))
@@ -84,9 +85,11 @@ def train_valid_leaks(chat: DataFrame) -> DataFrame:
     signed = chat
     if "signature" not in chat.columns:
         signed = reused(once(chat, signature=prompt_signature(F.col("user"))).drop("user"))
-    train = signed.filter(F.col("split") == "train").select("signature").distinct()
-    return signed.filter(F.col("split") == "valid").join(train, "signature", "left_semi").drop(
-        "signature")
+    train = signed.filter(F.col("split") == "train").select("signature")
+    valid = signed.filter(F.col("split") == "valid").select("signature")
+    # the smaller side is filtered by nothing, it filters the larger one
+    leaked = possible(train, valid, ["signature"]).distinct()
+    return signed.filter(F.col("split") == "valid").join(leaked, "signature", "left_semi").drop("signature")
 
 
 def contaminated_prompts(chat: DataFrame, golden: DataFrame) -> DataFrame:
@@ -95,7 +98,8 @@ def contaminated_prompts(chat: DataFrame, golden: DataFrame) -> DataFrame:
         chat = once(chat, logs=_line_digest(prompt_log_lines(F.col("user"))))
     if "logs" not in golden.columns:
         golden = golden.select(_golden_digest().alias("logs"))
-    return chat.join(golden.select("logs").distinct(), "logs", "left_semi").drop("logs")
+    held = golden.select("logs").distinct()
+    return possible(chat, held, ["logs"]).join(held, "logs", "left_semi").drop("logs")
 
 
 def _line_digest(lines) -> Column:
@@ -113,7 +117,7 @@ def shared_lines(rows: DataFrame, golden: DataFrame, lines: str = "log_samples")
         "name", F.explode(F.transform(X.signature_lines(F.col(lines)),
                                       lambda x: F.sha2(x["message"], 256))).alias("message"))
     held = message(golden).select("message").distinct()
-    return message(rows).join(held, "message", "left_semi").groupBy("name").agg(
+    return possible(message(rows), held, ["message"]).join(held, "message", "left_semi").groupBy("name").agg(
         F.count(F.lit(1)).alias("shared_lines"))
 
 

@@ -240,7 +240,7 @@ def duplicate_names(
     firsts = names.groupBy("name").agg(
         F.min(F.struct("side", "seq")).alias("__first"), F.count(F.lit(1)).alias("__n"),
     ).filter(F.col("__n") > 1)
-    linked = share_by_key(candidates, firsts, ["name"], "__n")
+    linked = share_by_key(candidates, firsts, ["name"], "__n", sparse=True)
     first = F.col("__first")
     known = F.coalesce(first["side"] == 0, F.lit(False))
     if within_batch:

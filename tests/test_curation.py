@@ -148,3 +148,19 @@ def test_exemplars_fall_back_to_the_first_ones(make):
     rows = rows.withColumn("rubric", F.lit("'근거 발견: 예'로 판정하면 정답"))
     got = {(r["axis"], r["name"]) for r in V.pick_exemplars(rows).collect()}
     assert ("unrelated-trap", "monitor-s1") in got and len(got) == 14
+
+
+def test_prefilter_drops_no_match_and_few_others_pass(spark):
+    from proofmill.functions.prefilter import flag_possible, possible
+    rows = spark.range(4000).select(F.when(F.col("id") % 400 == 7, F.lit(None)).otherwise(F.concat(F.lit("k"), "id")).alias("k"),
+                                    (F.col("id") % 3).alias("m"), "id")
+    side = rows.where("id % 10 = 0").select("k", "m").unionByName(spark.createDataFrame([(None, 1), ("other", 2)], "k string, m long"))
+    for bits in (1 << 20, 1 << 12):
+        got = {r["id"]: r["hit"] for r in flag_possible(rows, side, ["k", "m"], "hit", bits).collect()}
+        assert len(got) == 4000 and all(got[i] for i in range(0, 4000, 10) if i % 400 != 7)
+        assert not any(got[i] for i in range(7, 4000, 400))
+    few = possible(rows, side, ["k", "m"]).count()
+    assert 400 <= few <= 405
+    assert possible(rows, side.limit(0), ["k"]).count() == 0 and flag_possible(rows.limit(0), side, ["k"], "hit").count() == 0
+    plan = possible(rows, side, ["k", "m"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

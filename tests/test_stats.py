@@ -216,6 +216,9 @@ def test_share_by_key_with_one_hot_key(spark):
     for hot in (1, 5, 1000):
         got = {r["id"]: (r["n"], r["first"]) for r in share_by_key(rows, sums, ["k"], "n", hot).collect()}
         plain = {r["id"]: (r["n"], r["first"]) for r in rows.join(sums, "k", "left").collect()}
+        few = sums.where("n > 1 and first < 40")
+        thin = {r["id"]: r["first"] for r in share_by_key(rows, few, ["k"], "n", hot, sparse=True).collect()}
+        assert thin == {r["id"]: r["first"] for r in rows.join(few, "k", "left").collect()}
         assert got == plain and len(got) == 3000
 
 
