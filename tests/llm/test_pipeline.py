@@ -89,7 +89,7 @@ def test_odd_tables_pass_every_stage(spark, folder):
 
 def test_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "exact_dedup", "simhash_near_dedup", "secret_scan", "packing"]
 
