@@ -78,17 +78,27 @@ def ingest_candidates(spark: SparkSession, path: str) -> DataFrame:
         "name", F.regexp_replace("file", r"\.json$", "")))
 
 
-def load_candidate_folders(spark: SparkSession, paths: list[str]) -> DataFrame:
+def load_candidate_folders(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
     """Candidates of several folders, ``dir_order`` being the folder's place in the list, which
     goes before ``file`` where names repeat (see ``dedup.unique_names``). One scan reads them all.
     A folder named twice counts at its first place; a folder that is missing is an error.
+
+    ``lines`` reads files of one candidate a line, as ``sinks.write_candidates`` makes them: the
+    layout for more candidates than a file system bears files. ``file`` then is the file's name and
+    the line's place in it, in the order of the lines; blank lines are skipped.
     """
     make, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     whole = [make(p).getFileSystem(conf).makeQualified(make(p)).toUri().toString() for p in paths]
     plain = lambda uri: F.regexp_replace(uri, "^([A-Za-z0-9]+):/+", "$1:/")
     folder = plain(F.regexp_extract("folder", "^(.*)/[^/]*$", 1))
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(paths).select(
-        F.col("_metadata.file_path").alias("folder"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    name = F.col("_metadata.file_name")
+    if lines:
+        digits = lambda n: F.lpad(n.cast("string"), 19, "0")
+        name = F.concat_ws("#", name, digits(F.col("_metadata.file_block_start")), digits(F.monotonically_increasing_id()))
+    files = spark.read.option("wholetext", not lines).option("pathGlobFilter", "*.json").text(paths).select(
+        F.col("_metadata.file_path").alias("folder"), name.alias("file"), F.col("value").alias("raw"))
+    if lines:
+        files = files.filter(F.col("raw").rlike(r"(?U)\S"))
     places = F.array(*[plain(F.lit(uri)) for uri in whole])
     placed = files.select(F.struct((F.array_position(places, folder) - 1).cast("int").alias("dir_order"), "file").alias("file"), "raw")
     rows = parse_scenario_files(placed)

@@ -318,3 +318,51 @@ def test_folders_in_their_order(spark, tmp_path):
     got = dedup.unique_names(readers.load_candidate_folders(spark, paths)).collect()
     assert sorted((r["name"], r["dir_order"], r["unreadable"], r["is_first"]) for r in got) == [
         ("a", 1, False, True), ("b", 1, False, True), ("b", 2, False, False), ("c", 0, True, True), ("c", 2, True, False)]
+
+
+def test_folders_of_lines(spark, tmp_path):
+    """Many candidates a file, in the order of their lines; no file per candidate."""
+    from proofmill.operators import dedup
+    for folder, text in (("z", '{"name": "a"}\n\n{"name": "b"}\n{"name": "a"}\n'), ("b", '{"name": "b"}\nbroken\n')):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0.json").write_text(text)
+    rows = readers.load_candidate_folders(spark, [str(tmp_path / f) for f in ("z", "b")], lines=True)
+    got = dedup.unique_names(rows).orderBy("dir_order", "file").collect()
+    assert [(r["name"] if not r["unreadable"] else None, r["dir_order"], r["unreadable"], r["is_first"]) for r in got] == [
+        ("a", 0, False, True), ("b", 0, False, True), ("a", 0, False, False), ("b", 1, False, False), (None, 1, True, True)]
+    assert len({r["file"] for r in got}) == 5
+
+
+def _candidate_files(monkeypatch, spark, tmp_path):
+    """The JSON files that ``audit_folders`` writes, and its rows, over documents of its own."""
+    from proofmill.plans import bridge, q_curation
+    names = spark.range(30).selectExpr("id AS seq", "concat('n', id % 20) AS name")
+    monkeypatch.setattr(bridge, "candidates", lambda s, sf: names)
+    monkeypatch.setattr(q_curation, "scratch", lambda s, what: str(tmp_path / what))
+    got = q_curation.audit_folders(spark, "").collect()
+    return len(list((tmp_path / "folders").rglob("*.json"))), got
+
+
+def test_folder_audit_writes_no_file_per_candidate(monkeypatch, spark, tmp_path):
+    files, got = _candidate_files(monkeypatch, spark, tmp_path)
+    assert len(got) == 30 and sum(r["is_first"] for r in got) == 20
+    assert files < 20
+
+
+def test_trials_are_scored_once_for_all_their_stages(monkeypatch, spark, tmp_path):
+    from proofmill.plans import bridge, q_outputs
+    runs = spark.sparkContext.accumulator(0)
+
+    def scored(trials, scenarios):
+        def seen(trial):
+            runs.add(1)
+            return trial
+        return trials.withColumn("trial", F.udf(seen, "int")("trial"))
+
+    rows = spark.range(10).selectExpr("'r' AS run", "cast(id % 5 AS int) AS trial", "'PASS' AS verdict")
+    monkeypatch.setattr(bridge, "trials", lambda s, sf: rows)
+    monkeypatch.setattr(bridge, "scenarios", lambda s, sf: None)
+    monkeypatch.setattr(q_outputs.O, "trial_results", scored)
+    monkeypatch.setattr(q_outputs, "scratch", lambda s, what: str(tmp_path / what))
+    assert [tuple(r) for r in q_outputs.trial_sink(spark, "").collect()] == [("r", 10, 10)]
+    assert runs.value == 10
