@@ -8,7 +8,7 @@ from .. import fixed_values as K
 from ..functions import text as X
 from ..functions.ordering import share_by_key
 from ..functions.prefilter import possible
-from ..functions.stage import once
+from ..functions.stage import let, once
 from ..session import reused
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -38,12 +38,13 @@ def find_duplicates(rows: DataFrame, against: DataFrame | None = None) -> DataFr
     Both tables have seq, name and signature. Rows of ``against`` all come first. A match
     among the rows themselves is reported as well, with partner_side ``batch``.
     """
-    # both uses below read one shuffle of narrow rows, so signatures are computed once
-    own = rows.select("seq", "name", "signature").repartition("seq", "name")
-    own = own.withColumn("side", F.lit(1))
+    # all uses below read narrow rows that are kept, so signatures are computed once: a shuffle
+    # would be made anew wherever a use needs other columns or filters than the next
+    own = reused(rows.select("seq", "name", "signature")).withColumn("side", F.lit(1))
     every = own
     if against is not None:
-        every = own.unionByName(against.select("seq", "name", "signature", F.lit(0).alias("side")))
+        old = reused(against.select("seq", "name", "signature"))
+        every = own.unionByName(old.withColumn("side", F.lit(0)))
     # a signature may cover a third of the table: only its first row and its size travel
     firsts = every.groupBy("signature").agg(
         F.min(F.struct("side", "seq", "name")).alias("first"), F.count(F.lit(1)).alias("n"),
@@ -68,16 +69,28 @@ def unique_names(rows: DataFrame) -> DataFrame:
 
 def prompt_signature(content) -> Column:
     """Signature of a built prompt: its alert lines and its normalised log lines."""
-    lines = F.split(content, _LINE_ENDS)
+    return _parts_digest(prompt_parts(content))
+
+
+def prompt_parts(content) -> Column:
+    """The lines of a built prompt that count: ``alert`` as they are, ``logs`` normalised."""
     starts = lambda line: X.any_of([line.startswith(p) for p in K.PROMPT_ALERT_LINE_STARTS])
-    return F.sha2(F.to_json(F.struct(
-        F.filter(lines, starts).alias("alert"), prompt_log_lines(content).alias("logs"))), 256)
+    return let(F.split(content, _LINE_ENDS), lambda lines: F.struct(
+        F.filter(lines, starts).alias("alert"), _log_lines(lines).alias("logs")))
 
 
 def prompt_log_lines(content) -> Column:
     """Normalised log lines of a built prompt."""
-    lines = F.filter(F.split(content, _LINE_ENDS), lambda line: line.startswith("- ["))
-    return F.transform(lines, lambda line: X.normalize_message(F.substr(line, F.lit(3))))
+    return _log_lines(F.split(content, _LINE_ENDS))
+
+
+def _log_lines(lines) -> Column:
+    logs = F.transform(F.filter(lines, lambda line: line.startswith("- [")), lambda line: F.substr(line, F.lit(3)))
+    return F.transform(logs, X.normalize_message)
+
+
+def _parts_digest(parts) -> Column:
+    return F.sha2(F.to_json(parts), 256)
 
 
 def train_valid_leaks(chat: DataFrame) -> DataFrame:
@@ -136,9 +149,9 @@ def audit_summary(candidates: DataFrame, golden: DataFrame, chat: DataFrame) ->
         with_signature(golden).select(F.array(
             entry("content", signature, F.lit("golden")),
             entry("lines", _golden_digest(), F.lit("golden"))).alias("keys")),
-        chat.select(F.array(
-            entry("prompt", prompt_signature(F.col("user")), F.col("split")),
-            entry("lines", _line_digest(prompt_log_lines(F.col("user"))), F.lit("chat"))).alias("keys")),
+        once(chat, parts=prompt_parts(F.col("user"))).select(F.array(
+            entry("prompt", _parts_digest(F.col("parts")), F.col("split")),
+            entry("lines", _line_digest(F.col("parts.logs")), F.lit("chat"))).alias("keys")),
     ]
     keys = sides[0].unionByName(sides[1]).unionByName(sides[2]).select(F.explode("keys").alias("k"))
     n = lambda role: F.count_if(F.col("k.role") == role).alias(f"n_{role}")

@@ -164,3 +164,20 @@ def test_prefilter_drops_no_match_and_few_others_pass(spark):
     assert possible(rows, side.limit(0), ["k"]).count() == 0 and flag_possible(rows.limit(0), side, ["k"], "hit").count() == 0
     plan = possible(rows, side, ["k", "m"])._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_signatures_are_computed_once_for_both_tables(spark):
+    """Firsts, frequent keys and the join read kept rows, not the signatures' making."""
+    made = spark.sparkContext.accumulator(0)
+
+    def sign(seq):
+        made.add(1)
+        return str(seq % 4)
+
+    signed = lambda lo, hi: spark.range(lo, hi).selectExpr("id AS seq", "concat('n', id) AS name").withColumn(
+        "signature", F.udf(sign, "string")("seq"))
+    got = D.find_duplicates(signed(0, 10), signed(100, 102)).collect()
+    assert {(r["seq"], r["earlier"], r["partner_side"]) for r in got} == {
+        (0, "n100", "against"), (4, "n100", "against"), (8, "n100", "against"), (1, "n101", "against"), (5, "n101", "against"),
+        (9, "n101", "against"), (6, "n2", "batch"), (7, "n3", "batch")}
+    assert made.value == 12
