@@ -112,3 +112,29 @@ def test_large_objects_need_no_regex_stack(spark):
     flat = '{"a":[' + ",".join(['"x\\n{"'] * 50_000) + "]}"
     rows = spark.createDataFrame([("pre " + flat + " }",)], "raw string")
     assert O.extract_objects(rows).first()["json"] == flat
+
+
+def test_normalising_equals_its_rules_one_after_the_other(spark):
+    """The scan ahead of the rules and the literal names change no result."""
+    import random
+
+    rules = [
+        (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"), (r"\b[0-9a-f]{16,32}\b", "<hex>"),
+        (r"\b\d{13}-\d+\b", "<record>"), (r"\b\d{4}-\d{2}-\d{2}T[\d:.]+Z\b", "<ts>"), (r"joinCode=[A-Z0-9]{4}", "joinCode=<code>"),
+        (r"\b(?:playerName|guestName)=\S+", "player=<name>")]
+    number = (r"\b\d+\b", "<n>")
+    pieces = ["0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "deadbeefdeadbeef", "0" * 13 + "-", "2026-01-02T03:04:05.6Z", "joinCode=AB12", "playerName=",
+              "guestName=", "x", "é", "예", " ", " ", "́", "7", "42", "٣", "\U0001d7ce" * 13, "-", "_", "=", "f" * 33, "join", "\n", "<", "Z"]
+    rng = random.Random(7)
+    values = [("".join(rng.choice(pieces) for _ in range(rng.randint(0, 7))),) for _ in range(3000)] + [(None,)]
+
+    def plain(value, rules):
+        for pattern, placeholder in rules:
+            value = F.regexp_replace(value, X.rx(pattern), placeholder)
+        return X.strip_ws(value)
+
+    rows = spark.createDataFrame(values, "v string")
+    got = rows.select("v", X.normalize_message(F.col("v")).alias("m"), plain(F.col("v"), [*rules, number]).alias("m_want"),
+                      X.normalize_alert_text(F.col("v")).alias("a"), plain(F.col("v"), rules).alias("a_want"))
+    assert got.where("NOT (m <=> m_want) OR NOT (a <=> a_want)").collect() == []
+    assert got.where("m LIKE '%<uuid>%'").count() and got.where("m LIKE '%<record>%'").count() and got.where("m LIKE '%player=<name>%'").count()
