@@ -116,24 +116,27 @@ def log_line_reasons(c, catalog) -> Column:
         by_logger.setdefault(logger, []).append((template, level))
 
     def one(p: Column) -> Column:
-        known, level_ok, family_ok = F, F, F
-        family = X.thread_family(p["thread"])
+        known = F
         for logger, messages in by_logger.items():
-            at = p["logger"] == logger
-            known = known.when(at, X.any_of(
+            known = known.when(p["logger"] == logger, X.any_of(
                 [X.matches_template(p["message"], t) for t, _ in messages]))
+        seen = F.struct(X.thread_family(p["thread"]).alias("family"), known.otherwise(False).alias("known"))
+        return F.when(~p["ok"], F.array(F.lit("format"))).otherwise(let(seen, lambda s: found(p, s["family"], s["known"])))
+
+    def found(p: Column, family: Column, known: Column) -> Column:
+        level_ok, family_ok = F, F
+        for logger, messages in by_logger.items():
+            at = p["logger"] == logger
             level_ok = level_ok.when(at, X.any_of(
                 [(p["level"] == lv) & X.matches_template(p["message"], t) for t, lv in messages]))
             allowed = catalog.logger_families.get(logger)
             if allowed:
                 family_ok = family_ok.when(at, family.isNull() | family.isin(*allowed))
-        known = known.otherwise(False)
-        found = _flat(
+        return _flat(
             F.when(family.isNull(), _say("thread", p["thread"])),
             F.when(~known, _say("unknown message of", p["logger"])),
             F.when(known & ~level_ok.otherwise(True), _say("level", p["level"])),
             F.when(known & ~family_ok.otherwise(True), _say("family", family)))
-        return F.when(~p["ok"], F.array(F.lit("format"))).otherwise(found)
 
     return _per_line(c["parsed"], one)
 
