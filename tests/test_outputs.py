@@ -114,3 +114,21 @@ def test_variant_rules_go_before_the_marker(spark, make):
     assert got == {"production": "a\nMARK b", "x": "a rule\nMARK b", "y": "a\nMARK b end"}
     with pytest.raises(ValueError):
         P.PromptVariants("a", {"x": ("r", "gone")}).column()
+
+
+def test_citations_with_other_blanks_than_their_line(spark):
+    rows = spark.createDataFrame([
+        (None, ["a b"]), ("", ["a b"]), (" \t", ["a b"]), ("a  b", ["x a b y"]), ("a b", ["x a  b y"]), ("a b", ["a", "b a"]), ("a b", None), ("b", ["a", None, "b"])],
+        "evidence string, lines array<string>")
+    got = rows.select(O.cites_log(F.col("evidence"), F.col("lines")).alias("c")).collect()
+    assert [r["c"] for r in got] == [False, False, False, True, True, False, False, True]
+
+
+def test_without_a_citation_no_line_is_squashed(monkeypatch, spark):
+    """Nor is one for a citation that some line holds when the citation alone is squashed."""
+    whole = O.X.squash_ws
+    monkeypatch.setattr(O.X, "squash_ws", lambda v: whole(v) if "evidence" in str(v) else
+                        F.raise_error(F.lit("squashed")).cast("string"))
+    rows = spark.createDataFrame([(None, ["a b"]), ("a  b", ["a z b", "x a b y"])], "evidence string, lines array<string>")
+    got = rows.select(O.cites_log(F.col("evidence"), F.col("lines")).alias("c")).collect()
+    assert [r["c"] for r in got] == [False, True]
